@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm import chat, mixing, packing, quality
+from tracewell.llm import chat, extraction, mixing, packing, quality, secrets, token_counts
+
+#: Labelled documents whose words train the model of ordinary strings.
+LABELLED = 1000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,10 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(Scratch(spark, "op1").save(pieces, "pieces"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     scratch = Scratch(spark, "op4")
@@ -31,6 +38,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def secret_model(spark: SparkSession, sf_dir: str) -> list[float]:
+    """Models from generated samples and words of labelled good documents (a bounded sample by hash order)."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    good = good.orderBy(F.xxhash64("doc_id")).limit(LABELLED)
+    ordinary = secrets.document_samples(_table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+    return secrets.train(secrets.generated_samples(spark).unionByName(ordinary))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.with_spans(docs, secret_model(spark, sf_dir))
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     measured = Scratch(spark, "op9").save(
@@ -51,7 +86,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack_sequences": op1_pack_sequences,
+        "op2_token_counts": op2_token_counts,
         "op4_quality_rules": op4_quality_rules,
+        "op6_html_extract": op6_html_extract,
+        "op7_secret_scan": op7_secret_scan,
         "op9_mix_sources": op9_mix_sources,
         "op10_chat_format": op10_chat_format,
     }
