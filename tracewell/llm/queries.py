@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm import chat, extraction, mixing, packing, quality, secrets, token_counts
+from tracewell.llm import chat, embeddings, extraction, mixing, neardup, packing, quality, secrets, token_counts
 
 #: Labelled documents whose words train the model of ordinary strings.
 LABELLED = 1000
@@ -38,6 +38,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op5"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extraction.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
@@ -66,6 +70,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op8"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     measured = Scratch(spark, "op9").save(
@@ -88,8 +96,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pack_sequences": op1_pack_sequences,
         "op2_token_counts": op2_token_counts,
         "op4_quality_rules": op4_quality_rules,
+        "op5_minhash_dedup": op5_minhash_dedup,
         "op6_html_extract": op6_html_extract,
         "op7_secret_scan": op7_secret_scan,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_mix_sources": op9_mix_sources,
         "op10_chat_format": op10_chat_format,
     }
