@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm import chat, embeddings, extraction, mixing, neardup, packing, quality, secrets, token_counts
+from tracewell.llm import chat, embeddings, extraction, language_model, mixing, neardup, packing, quality, secrets, token_counts
 
 #: Labelled documents whose words train the model of ordinary strings.
 LABELLED = 1000
@@ -28,6 +28,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     scratch = Scratch(spark, "op4")
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack_sequences": op1_pack_sequences,
         "op2_token_counts": op2_token_counts,
+        "op3_lm_score": op3_lm_score,
         "op4_quality_rules": op4_quality_rules,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_html_extract": op6_html_extract,
