@@ -64,7 +64,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
             / F.sum("w").over(onward)
         ).alias("level"),
     )
-    level = F.min(F.when(F.col("cap") / F.col("w") > F.col("level"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("cap") / F.col("w") > F.col("level"), F.col("level"))).over(everything)
     target = F.least(F.col("cap"), F.coalesce(level * F.col("w"), F.col("cap")))
     return levels.select("source", "source_size", target.alias("target"))
 
@@ -129,7 +129,8 @@ def _plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _pareto() -> Column:
     """Random odds divided by inclusion odds."""
-    return (F.col("mix_u") / (1 - F.col("mix_u"))) / (F.col("chance") / (1 - F.col("chance")))
+    chance = F.nullif(F.col("chance"), F.lit(0.0))
+    return (F.col("mix_u") / (1 - F.col("mix_u"))) / (chance / (1 - chance))
 
 
 def mix(sized: DataFrame, measured: DataFrame | None = None, **options) -> DataFrame:
@@ -181,7 +182,7 @@ goals as (
   select source, source_size, target,
          case when source_size > 0 then floor(target / source_size) else 0 end::bigint as certain
   from (select source, source_size,
-               least(cap, coalesce(min(case when cap / w > level then level end) over () * w, cap)) as target from levels)),
+               least(cap, coalesce(max(case when cap / w > level then level end) over () * w, cap)) as target from levels)),
 g as (
   select *, target - certain * source_size as missing,
          case when source_size > 0 then target / source_size - certain else 0.0 end::double as chance from goals),
