@@ -133,6 +133,19 @@ def test_language_model_is_a_distribution():
     assert inner[:2].sum() + inner[4] == pytest.approx(1) and inner[2:4].sum() == pytest.approx(1 - shares.unseen)
 
 
+def test_language_model_grows_with_the_corpus():
+    """More training tokens give more buckets, singles and bins; bins part the tokens of any corpus; contexts are told apart by 32 bits."""
+    small, large = language_model.Sizes(10**5), language_model.Sizes(10**11)
+    assert (small.singles, language_model.ENDINGS, language_model.CLASSES) == (32, 8, 64)
+    assert large.buckets > 16 * small.buckets and large.singles > small.singles and large.bins > small.bins
+    mass = np.zeros(language_model.LEVELS)
+    mass[[0, 10, 14, 18, 22]] = 5
+    assert small.limits(mass) == (1, 2**15 - 1, 2**19 - 1)
+    with np.errstate(over="ignore"):
+        at = language_model.features(np.array([7, 1, 7 + (1 << 16), 1], dtype=np.uint32), np.array([0, 2, 4]), 1 << 20)
+    assert at[1, 1] != at[1, 3]
+
+
 def statistics(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]

@@ -1,8 +1,9 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 A token's probability is that of its class given the words before it, times its own share of the class. The
-``SINGLES`` most frequent tokens are classes of their own; the others are classed by how often they occur in the
-training texts and by a hash of their last letters. The class factor is a softmax over sums of weights of hashed
+most frequent tokens are classes of their own; the others are classed by how often they occur in the
+training texts and by a hash of their last letters. Bins of counts hold like shares of the training tokens, and with
+the training tokens the feature buckets, single tokens and bins grow (``Sizes``). The class factor is a softmax over sums of weights of hashed
 features: a bias, the word before, the two words before (n-grams) and the second and third word before (skips).
 Within a class tokens have their relative frequency; in the classes of the rarest, the share of tokens never seen
 follows from the numbers of words seen once and twice.
@@ -13,7 +14,8 @@ answers each block with the corpus counts of its words; neither a count table no
 whole, and there are as many parts as blocks need. Training takes ``ROUNDS`` rounds, each over its share of the
 blocks, all of them once: every task starts from the same weights, takes stochastic gradient steps (observed class
 minus a class drawn from the model) and returns its change; changes are averaged by tokens, streamed through as
-many tasks as there are slices of the weights. Weights have a fixed size, so they may be sent to all tasks.
+many tasks as there are slices of the weights. Weights grow with the square root of the training tokens and are sent
+to all tasks; a round has so many tasks that their changes are about as large as the texts.
 
 Defined results: a null text is empty and holds the end token alone; a null id counts as the empty string for
 the fold; equal rows give equal rows; without training texts nothing is known and class weights stay zero; an empty
@@ -40,13 +42,19 @@ from tracewell.llm.tokenizing import by_size
 
 BLOCK = 16 << 20
 FOLDS = 10
-SINGLES = 16
-ENDINGS = 4
+#: The least numbers, of a small corpus; ``Sizes`` has those of a larger one.
+SINGLES = 32
+ENDINGS = 8
 BINS = (1, 15, 255)  # the largest count of each bin but the last
 CLASSES = SINGLES + ENDINGS * (len(BINS) + 1)
 BUCKETS = 1 << 15
 ROUNDS = 4
 SLICES = 16
+BUCKETS_PER_ROOT = 8  # buckets per square root of the training tokens
+LEVELS = 48  # counts by powers of two, from which bins are made
+TOPS = SINGLES + 8 * LEVELS  # more than there are single tokens for any number of training tokens
+TRAINERS = 8
+TOKEN_BYTES = 6
 STEP = 0.5
 BATCH = 4096
 BLOCKS_PER_PART = 16
@@ -61,7 +69,7 @@ ANSWERS = (
     "top_words array<long>, top_counts array<long>, top_endings array<long>"
 )
 CODED = (
-    "block long, turn int, doc_ids array<long>, held array<boolean>, bounds array<long>, classes binary, hashes binary, "
+    "block long, turn int, doc_ids array<long>, held array<boolean>, bounds array<long>, classes binary, hashes binary, ids binary, "
     "known array<long>, base array<double>, inner array<double>"
 )
 
@@ -164,9 +172,9 @@ def corpus_counts(blocks: DataFrame, parts: int) -> DataFrame:
         ending[at] = np.concatenate([unpacked(r["endings"], np.uint8) for r in rows])
         until = np.cumsum([0, *map(len, words)])
         out = [{"block": r["block"], "part": r["part"], "counts": packed(c[at[a:b]])} for r, a, b in zip(rows, until, until[1:], strict=False)]
-        top = np.argsort(-c, kind="stable")[:SINGLES]
+        top = np.argsort(-c, kind="stable")[:TOPS]
         seen = c > 0
-        mass = np.bincount((np.searchsorted(np.array(BINS), c[seen], "left") * ENDINGS + ending[seen]), weights=c[seen].astype(float), minlength=CLASSES - SINGLES)
+        mass = np.bincount(level(c[seen]) * ENDINGS + ending[seen], weights=c[seen].astype(float), minlength=LEVELS * ENDINGS)
         facts = {"total": c.sum(), "distinct": seen.sum(), "once": (c == 1).sum(), "twice": (c == 2).sum(), "mass": mass.astype(np.int64)}
         facts |= {"part": rows[0]["part"], "top_words": distinct[top], "top_counts": c[top], "top_endings": ending[top]}
         return pa.Table.from_pylist([*out, facts], schema=_schema(ANSWERS))
@@ -176,29 +184,57 @@ def corpus_counts(blocks: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(answer, ANSWERS)
 
 
+def level(counts: np.ndarray) -> np.ndarray:
+    """The power of two at or below each count."""
+    return np.frexp(counts.astype(float))[1].astype(np.int64) - 1
+
+
+class Sizes:
+    """How large the model is for a number of training tokens."""
+
+    def __init__(self, total: int):
+        self.buckets = BUCKETS
+        while self.buckets < BUCKETS_PER_ROOT * total**0.5:
+            self.buckets *= 2
+        doublings = (self.buckets // BUCKETS).bit_length() - 1
+        self.singles = SINGLES + 8 * doublings
+        self.bins = len(BINS) + doublings // 2  # besides that of words seen once or never
+
+    def limits(self, mass: np.ndarray) -> tuple[int, ...]:
+        """The largest count of each bin but the last: bins of like mass, from the mass of each level of counts."""
+        upto = np.cumsum(mass[1:])
+        cuts = [int(np.searchsorted(upto, upto[-1] * k / self.bins)) + 1 for k in range(1, self.bins)]
+        last = int(np.flatnonzero(mass)[-1]) if mass.any() else 0
+        return (1, *[2 ** (k + 1) - 1 for k in sorted(set(cuts)) if k < last])
+
+
 class Shares:
     """What is known of the corpus in a few numbers: totals, the single tokens and the tokens in each class."""
 
-    def __init__(self, total: int, distinct: int, once: int, twice: int, singles: list[tuple[int, int]], mass: list[int]):
+    def __init__(
+        self, total: int, distinct: int, once: int, twice: int, singles: list[tuple[int, int]], mass: list[int],
+        bins: tuple[int, ...] = BINS, room: int = SINGLES,
+    ):
+        self.bins, self.room, self.endings = np.array(bins), room, len(mass) // (len(bins) + 1)
         self.total, self.distinct = total, distinct
         self.unseen = once / (once + 2 * twice) if once else 1.0
         words = np.array([w for w, _ in singles], dtype=np.int64)
         self.single_counts = np.array([c for _, c in singles], dtype=np.int64)
         self.single_hashes = _feature_hash(words)
-        self.mass = np.zeros(CLASSES)
+        self.mass = np.zeros(room + len(mass))
         self.mass[: len(singles)] = self.single_counts
-        self.mass[SINGLES:] = mass
+        self.mass[room:] = mass
 
     def classes(self, hashes: np.ndarray, counts: np.ndarray, endings: np.ndarray) -> np.ndarray:
-        found = SINGLES + np.searchsorted(np.array(BINS), counts, "left") * ENDINGS + endings
+        found = self.room + np.searchsorted(self.bins, counts, "left") * self.endings + endings
         for k, (h, c) in enumerate(zip(self.single_hashes, self.single_counts, strict=True)):
             found[(hashes == h) & (counts == c)] = k
-        return found.astype(np.uint8)
+        return found.astype(np.uint16)
 
     def inner(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 of each word's share of its class."""
         share = counts / np.maximum(self.mass[classes], 1)
-        rare = (classes >= SINGLES) & (classes < SINGLES + ENDINGS)
+        rare = (classes >= self.room) & (classes < self.room + self.endings)
         share = np.where(rare, np.where(counts > 0, share * (1 - self.unseen), self.unseen), share)
         return np.log10(np.maximum(share, 1e-300))
 
@@ -207,7 +243,7 @@ class Shares:
 
 
 def _code(shares: Shares, parts: int, left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block with the corpus counts of its words: classes and feature hashes by token, sums by document."""
+    """A block with the corpus counts of its words: classes and feature hashes by word, sums by document."""
     answers = {r["part"]: r["counts"] for r in right.to_pylist()}
     out = []
     for row in left.to_pylist():
@@ -222,24 +258,24 @@ def _code(shares: Shares, parts: int, left: pa.Table, right: pa.Table) -> pa.Tab
         out.append(
             {
                 "block": row["block"], "turn": int(row["block"] % ROUNDS), "doc_ids": row["doc_ids"], "held": row["held"], "bounds": row["bounds"],
-                "classes": packed(classes[tokens]), "hashes": packed(hashes.astype(np.uint16)[tokens]),
+                "classes": packed(classes), "hashes": row["features"], "ids": row["ids"],
                 "known": sums((counts > 0).astype(np.int64)), "base": sums(shares.base(counts)), "inner": sums(shares.inner(counts, classes)),
             }
         )
     return pa.Table.from_pylist(out, schema=_schema(CODED))
 
 
-def features(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def features(hashes: np.ndarray, bounds: np.ndarray, many: int = BUCKETS) -> np.ndarray:
     """Feature buckets of each token: [4, tokens]; before a text's first word stands a mark of its own."""
     before = []
     place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
     for k in (1, 2):
         w = np.zeros(len(hashes), dtype=U)
         w[k:] = hashes[:-k]
-        before.append(np.where(place >= k, w, U(1 << 16) + U(k)))
+        before.append(np.where(place >= k, w, U(1 << 32) + U(k)))
     one, two = before
-    seeds = [one * U(4) + U(1), (one << U(20) | two) * U(4) + U(2), two * U(4) + U(3)]
-    hashed = [mix(s) % U(BUCKETS - 1) + U(1) for s in seeds]
+    seeds = [one * U(4) + U(1), (mix(one) + two) * U(4) + U(2), two * U(4) + U(3)]
+    hashed = [mix(s) % U(many - 1) + U(1) for s in seeds]
     return np.stack([np.zeros(len(hashes), dtype=U), *hashed]).astype(np.int32)
 
 
@@ -253,7 +289,8 @@ def class_weights(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.array(row["bounds"]), unpacked(row["classes"], np.uint8), unpacked(row["hashes"], np.uint16)
+    ids = unpacked(row["ids"], np.int32)
+    return np.array(row["bounds"]), unpacked(row["classes"], np.uint16)[ids], unpacked(row["hashes"], np.uint32)[ids]
 
 
 def learn(weights: np.ndarray, row: dict, step: float) -> int:
@@ -263,7 +300,9 @@ def learn(weights: np.ndarray, row: dict, step: float) -> int:
     if not len(at):
         return 0
     with np.errstate(over="ignore"):
-        buckets = features(hashes, bounds)
+        buckets = features(hashes, bounds, len(weights))
+    many = weights.shape[1]
+    visits = np.zeros(len(weights), dtype=np.int64)
     random = np.random.default_rng(row["block"] & 0xFFFFFFFF)
     flat = weights.reshape(-1)
     for a in range(0, len(at), BATCH):
@@ -271,16 +310,19 @@ def learn(weights: np.ndarray, row: dict, step: float) -> int:
         b, observed = buckets[:, mine], classes[mine].astype(np.int64)
         chance = class_weights(weights, b).cumsum(axis=1)
         drawn = (chance < random.random((len(mine), 1), dtype=np.float32) * chance[:, -1:]).sum(axis=1)
-        visits = np.bincount(b.reshape(-1), minlength=BUCKETS)
-        for feature in b:
-            size = (step / (visits[feature] / CLASSES**0.5 + 4)).astype(np.float32)
-            np.add.at(flat, feature * CLASSES + observed, size)
-            np.subtract.at(flat, feature * CLASSES + np.minimum(drawn, CLASSES - 1), size)
+        np.add.at(visits, b.reshape(-1), 1)
+        for feature in b.astype(np.int64):
+            size = (step / (visits[feature] / many**0.5 + 4)).astype(np.float32)
+            np.add.at(flat, feature * many + observed, size)
+            np.subtract.at(flat, feature * many + np.minimum(drawn, many - 1), size)
+        visits[b] = 0
     return len(at)
 
 
-def train(coded: DataFrame, spark, scratch: Scratch) -> np.ndarray:
-    weights = np.zeros((BUCKETS, CLASSES), dtype=np.float32)
+def train(coded: DataFrame, spark, buckets: int, classes: int, total: int) -> np.ndarray:
+    weights = np.zeros((buckets, classes), dtype=np.float32)
+    height = buckets // SLICES
+    trainers = max(TRAINERS, total * TOKEN_BYTES // (ROUNDS * weights.nbytes))
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)
         step = STEP / (1 + turn / ROUNDS)
@@ -291,8 +333,9 @@ def train(coded: DataFrame, spark, scratch: Scratch) -> np.ndarray:
                 for row in batch.to_pylist():
                     tokens += learn(mine, row, step)
             if tokens:
-                parts = np.split((mine - start.value) * np.float32(tokens), SLICES)
-                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([tokens] * SLICES), pa.array([p.tobytes() for p in parts])], names=["slice", "tokens", "part"])
+                for k in range(SLICES):
+                    part = (mine[k * height : (k + 1) * height] - start.value[k * height : (k + 1) * height]) * np.float32(tokens)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tokens]), pa.array([part.tobytes()])], names=["slice", "tokens", "part"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
@@ -306,12 +349,11 @@ def train(coded: DataFrame, spark, scratch: Scratch) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tokens]), pa.array([(part / tokens).astype(np.float32).tobytes()])], names=["slice", "tokens", "part"])
 
         kinds = "slice int, tokens long, part binary"
-        share = coded.where(F.col("turn") == turn).select("block", "held", "bounds", "classes", "hashes")
+        share = coded.where(F.col("turn") == turn).select("block", "held", "bounds", "classes", "hashes", "ids").coalesce(trainers)
         summed = share.mapInArrow(change, kinds).repartition(SLICES, "slice").mapInArrow(add, kinds)
-        for row in summed.collect():  # SLICES rows, together as large as the weights
-            height = BUCKETS // SLICES
-            weights[row["slice"] * height : (row["slice"] + 1) * height] += np.frombuffer(row["part"], dtype=np.float32).reshape(height, CLASSES)
-        start.unpersist()
+        for row in summed.toLocalIterator():  # a slice at a time
+            weights[row["slice"] * height : (row["slice"] + 1) * height] += np.frombuffer(row["part"], dtype=np.float32).reshape(height, classes)
+        start.destroy()
     return weights
 
 
@@ -322,28 +364,34 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
     parts = max(SLICES, blocks.count() // BLOCKS_PER_PART)
     answers = scratch.save(corpus_counts(blocks, parts), "answers")
     facts = answers.where("block is null")
-    sums = facts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "once", "twice")], *[F.coalesce(F.sum(F.get("mass", F.lit(k))), F.lit(0)) for k in range(CLASSES - SINGLES)]).first()
+    sums = facts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "once", "twice")]).first()
     tops = facts.select(F.inline(F.arrays_zip("top_words", "top_counts", "top_endings"))).where("top_counts > 0")
-    top = tops.orderBy(F.desc("top_counts"), "top_words").limit(SINGLES).collect()
-    mass = list(sums[4:])
+    total = int(sums[0])
+    sizes = Sizes(total)
+    top = tops.orderBy(F.desc("top_counts"), "top_words").limit(sizes.singles).collect()
+    mass = np.zeros((LEVELS, ENDINGS), dtype=np.int64)
+    for r in facts.select(F.posexplode("mass").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        mass[divmod(r["k"], ENDINGS)] = r["n"]
     for r in top:
-        mass[int(np.searchsorted(np.array(BINS), r["top_counts"], "left")) * ENDINGS + r["top_endings"]] -= r["top_counts"]
-    shares = Shares(*sums[:4], [(r["top_words"], r["top_counts"]) for r in top], mass)
+        mass[level(np.array(r["top_counts"])), r["top_endings"]] -= r["top_counts"]
+    bins = sizes.limits(mass.sum(axis=1))
+    binned = np.zeros((len(bins) + 1, ENDINGS), dtype=np.int64)
+    np.add.at(binned, np.searchsorted(np.array(bins), 1 << np.arange(LEVELS), "left"), mass)
+    shares = Shares(*sums[:4], [(r["top_words"], r["top_counts"]) for r in top], binned.reshape(-1).tolist(), bins, sizes.singles)
     code = partial(_code, shares, parts)
     replies = answers.where("block is not null").select(F.col("block").alias("of"), "part", "counts")
     coded = blocks.drop("learned").groupBy("block").cogroup(replies.groupBy("of")).applyInArrow(lambda left, right: code(left, right), CODED)
     coded = scratch.save(coded, "coded")
     scratch.drop("blocks")
     scratch.drop("answers")
-    weights = spark.sparkContext.broadcast(train(coded, spark, scratch))
-    total = int(sums[0])
+    weights = spark.sparkContext.broadcast(train(coded, spark, sizes.buckets, len(shares.mass), total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 bounds, classes, hashes = _arrays(row)
                 with np.errstate(over="ignore"):
-                    buckets = features(hashes, bounds)
+                    buckets = features(hashes, bounds, len(weights.value))
                 logs = np.zeros(len(classes))
                 for a in range(0, len(classes), BATCH):
                     chance = class_weights(weights.value, buckets[:, a : a + BATCH])
