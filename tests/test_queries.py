@@ -24,6 +24,12 @@ def test_sql(spark, sf_dir, con, name):
     compare.assert_same(QUERIES[name](spark, sf_dir), con, SQL[name])
 
 
+@pytest.mark.parametrize("name", ["st_tumbling", "st_sessions", "st_first_seen", "st_latest"])
+def test_streams_read_tables_of_several_parts(spark, sf_dir, con, tmp_path, name):
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    compare.assert_same(QUERIES[name](spark, str(tmp_path)), con, SQL[name])
+
+
 def test_entry_points(spark):
     assert set(SQL) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0

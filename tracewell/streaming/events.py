@@ -13,7 +13,12 @@ LATE = "2 hours"
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
     """The event table as a stream, its times as instants so that watermarks apply."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory():
+        stream = reader.parquet(f"{folder}/{name}")
+    else:
+        stream = reader.option("pathGlobFilter", name).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 
 
