@@ -75,6 +75,15 @@ def test_packing_patterns_hold_their_demand():
     assert sum(times for _, times in found.patterns) <= 1.01 * math.ceil(lengths @ demand / 2048) + 1
 
 
+def test_packing_proves_its_gap_over_all_lengths():
+    """Remainders concentrated where greedy patterns are poor."""
+    random = np.random.default_rng(1)
+    lengths = np.arange(1, 2049)
+    demand = random.integers(1, 20, 2048) + np.where((lengths >= 700) & (lengths <= 900), random.integers(500, 1500, 2048), 0)
+    found = packing.Patterns(lengths, demand)
+    assert sum(times for _, times in found.patterns) <= (1 + 2 * packing.GAP) * found.bound
+
+
 def test_token_counts(spark, sf_dir, documents):
     model = token_counts.unigram()
 

@@ -31,8 +31,6 @@ SEQUENCE = 2048
 CLOSING_ID = 1
 BUCKETS = 1024
 GAP = 1e-3
-#: Pivots times squared number of lengths; beyond it the patterns found so far are used.
-MAX_WORK = 300_000_000
 REFRESH = 400
 COLUMNS = 64
 #: So few pieces are also filled by subset sums alone, and the better of both is used.
@@ -125,7 +123,7 @@ class Patterns:
         inverse = np.linalg.inv(basis)
         bound = float(self.lengths @ self.demand) / self.sequence
         pivots, fresh = 0, 0
-        while pivots * len(self.lengths) ** 2 <= MAX_WORK:
+        while True:
             if pivots - fresh >= REFRESH:
                 inverse, fresh = np.linalg.inv(basis), pivots
                 amount = inverse @ self.demand
