@@ -2,8 +2,8 @@ r"""Secret scans: fixed patterns and character Markov models, with DataFrame fun
 
 Fixed kinds, leftmost and non-overlapping each: ``assign`` (a key name, ``:`` or ``=``, a value of six characters
 or more), ``access`` (``AKIA`` and capitals or digits, 20 characters or more), ``hex`` (24 lower-case hex digits or
-more). A further kind, ``random``, covers runs of ``MIN_RUN`` or more characters of ``ALPHABET`` that overlap no
-fixed span: two first-order Markov models over characters, one of random strings and one of ordinary
+more). A further kind, ``random``, covers runs of ``MIN_RUN`` or more characters of ``ALPHABET``, or what fixed
+spans leave of them: two first-order Markov models over characters, one of random strings and one of ordinary
 identifiers, are trained on labelled samples, and a run whose log-likelihood ratio exceeds ``MIN_RATIO`` per
 character is taken for a secret.
 
@@ -122,6 +122,22 @@ def _located(text: Column, pattern: str, kind: int) -> Column:
     return F.aggregate(F.filter(pairs, lambda x: x["found"].isNotNull()), zero, step, lambda acc: acc["spans"])
 
 
+def _uncovered(run: Column, fixed: Column) -> Column:
+    """What the fixed spans leave of a run: its pieces of MIN_RUN or more characters."""
+    zero = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,found:string>>").alias("pieces"))
+
+    def upto(acc: Column, end: Column) -> Column:
+        found = F.substr(run["found"], acc["at"] - run["start"] + 1, end - acc["at"])
+        piece = F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(KINDS.index("random")).alias("kind"), found.alias("found"))
+        return F.when(end - acc["at"] >= MIN_RUN, F.concat(acc["pieces"], F.array(piece))).otherwise(acc["pieces"])
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), upto(acc, x["start"]).alias("pieces"))
+
+    overlapping = F.array_sort(F.filter(fixed, lambda x: (x["start"] < run["end"]) & (run["start"] < x["end"])))
+    return F.aggregate(overlapping, zero, step, lambda acc: upto(acc, run["end"]))
+
+
 def with_spans(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     """Add ``spans``: array of (start, end, kind), kinds numbered as in KINDS, sorted by start, then kind."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -135,7 +151,7 @@ def with_spans(docs: DataFrame, model: list[float], text: str = "text") -> DataF
             F.when(body.rlike(HEX), _located(body, HEX, 2)).otherwise(none),
         ),
     ).withColumn("_runs", F.when(body.rlike(RUN), _located(body, RUN, 3)).otherwise(none))
-    alone = F.filter("_runs", lambda r: ~F.exists("_fixed", lambda x: (x["start"] < r["end"]) & (r["start"] < x["end"])))
+    alone = F.when(F.size("_fixed") == 0, F.col("_runs")).otherwise(F.flatten(F.transform("_runs", lambda r: _uncovered(r, F.col("_fixed")))))
     random = F.filter(alone, lambda r: log_ratio(r["found"], model) > MIN_RATIO * F.length(r["found"]))
     spans = F.array_sort(F.transform(F.concat("_fixed", random), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     return fixed.withColumn("spans", F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).drop("_fixed", "_runs")
