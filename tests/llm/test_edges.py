@@ -130,6 +130,18 @@ def test_extraction(spark):
     assert extraction.extract(rows.where("page_id < 0")).collect() == []
 
 
+def test_extraction_drops_no_article_by_loose_marks():
+    one, two = "The first paragraph of a story, long enough to count as the text of a page.", "A second paragraph of the same story, which is about as long as the first one."
+    text = f"<p>{one}</p><p>{two}</p>"
+    for opened in ('<div style="overflow:hidden">', '<div class="overflow-hidden">', '<div class="content no-sidebar">', '<div id="page" class="has-sidebar">', '<form id="aspnetForm">', '<div class="widget">'):
+        end = "</form>" if "form" in opened else "</div>"
+        assert extraction.main_text(f"<body><nav><a href=/>Home</a></nav>{opened}{text}{end}<footer>All rights</footer></body>") == f"{one}\n{two}"
+    assert extraction.main_text(f'<article><div style="overflow:hidden">{text}</div></article>') == f"{one}\n{two}"
+    assert extraction.main_text(f'<body><svg viewBox="0 0 1 1" /><p>{one}</p><svg><text>no</text></svg><p>{two}</p></body>') == f"{one}\n{two}"
+    for opened in ("<div hidden>", '<div hidden="">', '<div style="color:red; display: none">', '<div aria-hidden="true">', '<div class="cookie-banner">', '<div class="x sidebar">'):
+        assert extraction.main_text(f"<body>{text}{opened}<p>{two[2:]}</p></div></body>") == f"{one}\n{two}"
+
+
 def test_embeddings(spark):
     a, b = [1.0, 0.0, 0.0], [0.99, 0.05, 0.0]
     rows = [(1, a), (2, a), (3, b), (4, None), (5, []), (6, [0.0] * 3), (7, [1.0, None, 0.0]), (8, [float("nan"), 1.0, 0.0]), (9, [0.0, 1.0, 0.0]), (None, a), (3, b), (10, [1.0, 0.0])]

@@ -1,8 +1,9 @@
 """HTML extraction by line-block distribution.
 
 Markup is stripped to lines, one per block element. A line's length counts its text outside links; inside
-elements that never hold an article (menus, forms, notices and so on, by name or by a word of class, id or role)
-it has none. Lengths are summed over sliding windows of ``WINDOW`` lines. Where the sum surges over ``SURGE`` the
+elements that never hold an article (menus, forms, notices and so on, by name or by a whole token of class, id or
+role) it has none; on a page without an article or main element no such element is left out that holds more than half
+of the page's text outside links. Hidden elements (``hidden``, ``display: none``, ``aria-hidden="true"``) always are. Lengths are summed over sliding windows of ``WINDOW`` lines. Where the sum surges over ``SURGE`` the
 main text begins, where it dives to nothing it ends, and the lines between are kept. A line inside an article
 or main element counts ``SURGE`` more, and where there are such lines the others count nothing; so an article's
 short lines are kept as well. A page where nothing surges keeps all lines outside those elements.
@@ -28,15 +29,18 @@ WINDOW = 3
 SURGE = 80
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
+    r"|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
     r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|select|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>"
     r"|<[!?/][^>]*>",
     re.I | re.S,
 )
 HINTED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+MAY_HIDE = re.compile(r"hidden|display", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 SPACE = re.compile(r"\s+")
-WORDS = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[-_]+")
 #: Elements that end a line, that never hold an article, and that are never closed.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -55,13 +59,44 @@ COMMENTS = frozenset("comment comments disqus reply replies respond discussion".
 CLOSED_BY = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "option": frozenset({"option"})}
 
 
+def hides(attributes: str) -> bool:
+    """Whether the attributes make an element invisible."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or (name == "style" and NO_DISPLAY.search(value)) or (name == "aria-hidden" and value.strip().lower() == "true"):
+            return True
+    return False
+
+
+def marks_of(attributes: str) -> set[str]:
+    """Tokens of class, id, role and label; one made of MARKS alone (cookie-banner) counts as its words."""
+    found: set[str] = set()
+    for hint in HINTED.findall(attributes):
+        for token in "".join(hint).lower().split():
+            parts = set(PARTS.split(token)) - {""}
+            found |= parts if parts <= MARKS else {token}
+    return found
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, length outside links, inside an article) of every line outside elements that never hold one."""
+    lines, large, marked = _lines(page, frozenset())
+    return _lines(page, large)[0] if large and not marked else lines
+
+
+def _lines(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool]], frozenset[int], bool]:
+    """Lines as above, where elements left out but for those spared hold most text, and whether there is an article."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, outside, article, of readers' comments
-    outside = article = links = remarks = 0
+    outside = article = links = remarks = invisible = 0
+    visible = 0  # characters outside links so far
+    starts: list[tuple[int, bool, bool]] = []  # of each open element: place, left out by its marks, hidden
+    before: dict[int, int] = {}  # place of an element left out by its marks: characters before it, then inside it
+    seen = False
 
     def flush() -> None:
         nonlocal linked
@@ -73,13 +108,20 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         linked = 0
 
     def pop(n: int) -> None:
-        nonlocal outside, article, links, remarks
+        nonlocal outside, article, links, remarks, invisible
+        for place, out, hidden in starts[n:]:
+            invisible -= hidden
+            if out:
+                before[place] = visible - before[place]
+        del starts[n:]
         for tag, out, main, remark in stack[n:]:
             outside, article, remarks, links = outside - out, article - main, remarks - remark, links - (tag == "a")
         del stack[n:]
 
     def add(text: str) -> None:
-        nonlocal linked
+        nonlocal linked, visible
+        if text and not links and not invisible:
+            visible += len(text.strip())
         if text and not outside:
             parts.append(text)
             if links:
@@ -112,23 +154,34 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if stack and tag in CLOSED_BY.get(stack[-1][0], ()):
             pop(len(stack) - 1)
         attributes = token["attributes"]
-        words = {w for hint in HINTED.findall(attributes) for w in WORDS.findall("".join(hint).lower())} if attributes else set()
+        words = marks_of(attributes) if attributes else set()
         remark = bool(words & COMMENTS) and tag not in ("html", "body")
         main = tag in ("article", "main") and not remark and not remarks
         if main and outside:
             # an article does not sit in a menu: what is still open was not closed
             pop(next(n for n, entry in enumerate(stack) if entry[1]))
-        out = not main and tag not in ("html", "body") and (tag in NEVER or remark or (tag == "header" and not article) or bool(HIDDEN.search(attributes)))
+        hidden = not main and tag not in ("html", "body") and hides(attributes)
+        out = not main and tag not in ("html", "body") and (tag in NEVER or remark or (tag == "header" and not article))
         if not out and not main and tag in BLOCKS and tag not in ("html", "body", "h1") and words & MARKS:
             out = not (article and words <= {"header"})
         if tag in VOID or attributes.endswith("/"):
             continue
+        seen = seen or main
+        left_out = out and not hidden
+        if left_out:
+            before[token.start()] = visible
+        starts.append((token.start(), left_out, hidden))
+        invisible += hidden
+        if token.start() in spared:
+            out = remark = False
+        out = out or hidden
         stack.append((tag, out, main, remark))
         outside, article, remarks, links = outside + out, article + main, remarks + remark, links + (tag == "a")
     rest = page[last:]
     add(rest[: rest.rfind("<")] if re.search(r"<[a-z/!][^>]*$", rest, re.I) else rest)
     flush()
-    return lines
+    pop(0)
+    return lines, frozenset(place for place, inside in before.items() if 2 * inside > visible), seen
 
 
 def main_text(page: str | None) -> str:
