@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm import language_model, mixing, packing, quality, queries, secrets, token_counts
+from tracewell.llm import language_model, mixing, neardup, packing, quality, queries, secrets, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -225,32 +225,65 @@ def classes(pairs, nodes):
     return {n: find(n) for n in nodes}
 
 
-def shingle_set(text):
+def shingle_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or (Counter([tuple(words)]) if words else Counter())
+
+
+def alike(one, other):
+    common = (one & other).total()
+    return common >= 0.8 * (one.total() + other.total() - common)
 
 
 def test_minhash_dedup(spark, sf_dir, documents):
-    sets = {d.doc_id: shingle_set(d.text) for d in documents}
+    sets = {d.doc_id: shingle_counts(d.text) for d in documents}
     ids = sorted(sets)
     pairs = []
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            small, large = sorted((len(sets[a]), len(sets[b])))
-            if small and small >= 0.8 * large:
-                common = len(sets[a] & sets[b])
-                if common >= 0.8 * (small + large - common):
-                    pairs.append((a, b))
+            small, large = sorted((sets[a].total(), sets[b].total()))
+            if small and small >= 0.8 * large and alike(sets[a], sets[b]):
+                pairs.append((a, b))
     assert pairs
     got = queries.op5_minhash_dedup(spark, sf_dir).collect()
     assert {r.doc_id: r.class_id for r in got} == classes(pairs, ids)
     assert all(r.kept == (r.doc_id == r.class_id) for r in got) and len(got) == len(documents)
 
 
+def edited(random, words, edits):
+    words = list(words)
+    for at in random.integers(0, len(words), edits):
+        words[at] = f"e{random.integers(1 << 40)}"
+    return words
+
+
+def test_minhash_dedup_of_large_groups_of_near_copies(spark):
+    """2,000 edited copies of one text, with repeated passages, a chain of versions, and texts that share half: all links."""
+    random = np.random.default_rng(21)
+    base = [f"w{k}" for k in random.integers(0, 400, 120)]
+    base += base[:40]
+    texts = [edited(random, base, int(random.integers(0, 12))) for _ in range(2000)]
+    version = [f"v{k}" for k in range(150)]
+    for _ in range(60):
+        texts.append(version := edited(random, version, 2))
+    passage = [f"p{k}" for k in range(60)]
+    texts += [passage + [f"q{random.integers(1 << 40)}" for _ in range(50)] for _ in range(300)]
+    counts = [shingle_counts(" ".join(t)) for t in texts]
+    names = {s: k for k, s in enumerate({(s, n) for c in counts for s, m in c.items() for n in range(m)})}
+    sizes = np.array([c.total() for c in counts])
+    held = np.zeros((len(texts), len(names)), dtype=np.float32)
+    for k, c in enumerate(counts):
+        held[k, [names[s, n] for s, m in c.items() for n in range(m)]] = 1
+    common = held @ held.T
+    linked = np.triu(common >= 0.8 * (sizes[:, None] + sizes[None, :] - common) - 1e-3, 1)
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(rows, Scratch(spark, "t")).collect()}
+    expected = classes(zip(*(x.tolist() for x in linked.nonzero()), strict=True), range(len(texts)))
+    assert len(set(expected.values())) > 300 and got == expected
+
+
 def test_weighted_darts_estimate_similarity():
     """Equal coordinates estimate the weighted Jaccard similarity: sum of least weights over sum of greatest."""
-    from tracewell.llm import neardup
-
     random = np.random.default_rng(5)
     elements = random.integers(1, 1 << 62, 200).astype(np.uint64)
     a, b = random.uniform(0.1, 6, 200), random.uniform(0.1, 6, 200)
