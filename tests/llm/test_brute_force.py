@@ -165,26 +165,54 @@ def statistics(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside)
 
 
+def reached(values, share):
+    ordered = np.sort(values)
+    return ordered[int(np.ceil(share * len(ordered) - 1e-9)) - 1]
+
+
+def squared(rows, centre, scatter):
+    off = rows - centre
+    return np.einsum("ni,ij,nj->n", off, np.linalg.inv(scatter), off)
+
+
 def mcd(rows):
-    """The same estimate by numpy, for the rows of one group: squared distances."""
-    d = len(quality.FLOOR)
-    floor = np.diag([(1000 * f) ** 2 for f in quality.FLOOR.values()])
-
-    def reached(values, share):
-        ordered = np.sort(values)
-        return ordered[int(np.ceil(share * len(ordered))) - 1]
-
-    capped = np.minimum(rows, 8191)
-    centre = np.array([reached(capped[:, i], 0.5) for i in range(d)], dtype=float)
-    spread = np.array([reached(np.minimum(np.abs(rows[:, i] - centre[i]), 8191), 0.5) for i in range(d)])
-    scatter = np.diag((1.4826 * spread) ** 2) + floor
-    for _ in range(quality.STEPS + 1):
-        off = rows - centre
-        distance = np.einsum("ni,ij,nj->n", off, np.linalg.inv(scatter), off)
-        bins = np.minimum(np.floor(distance * 32), quality.BINS - 1)
+    """Reweighted minimum-covariance-determinant estimate of one group by numpy: its rows in reach, centre and covariance."""
+    d, floors = rows.shape[1], 1000 * np.array(list(quality.FLOOR.values()))
+    floor = np.diag(floors**2)
+    median = np.array([reached(rows[:, i] >> 3, 0.5) * 8 + 4.0 for i in range(d)])
+    width = np.sqrt(np.array([1.4826 * 8 * reached(np.abs(rows[:, i] - median[i]).astype(int) >> 3, 0.5) for i in range(d)]) ** 2 + floors**2)
+    z = (rows - median) / width
+    starts = [(median, np.diag(width**2))]
+    for shape in (np.tanh(z), z / np.sqrt((z * z).sum(axis=1) + 1e-12)[:, None]):
+        cov = np.cov(np.round(1000 * shape).T, bias=True).reshape(d, d) + np.eye(d) * 100.0**2
+        starts.append((median, cov * np.outer(width, width) / 1e6))
+
+    def step(centre, scatter):
+        bins = np.floor(np.log2(squared(rows, centre, scatter) + 2.0**-10) * 16)
         near = rows[bins <= reached(bins, quality.KEPT_SHARE)]
-        centre, scatter = near.mean(axis=0), np.cov(near.T, bias=True) + floor
-    return distance
+        scatter = np.cov(near.T, bias=True).reshape(d, d) + floor
+        return np.linalg.slogdet(scatter)[1], near.mean(axis=0), scatter
+
+    best = min((step(*step(*s)[1:]) for s in starts), key=lambda e: e[0])
+    while (later := step(*best[1:]))[0] < best[0] - quality.FALL:
+        best = later
+    edge = quality.consistency(quality.KEPT_SHARE, d) * quality.chi_squared_quantile(quality.REWEIGHT_TAIL, d)
+    near = rows[squared(rows, *best[1:]) <= edge]
+    factor = quality.consistency(1 - quality.REWEIGHT_TAIL, d)
+    return (len(near), near.mean(axis=0), factor * (np.cov(near.T, bias=True).reshape(d, d) + floor)) if len(near) else (0, np.zeros(d), np.zeros((d, d)))
+
+
+def drawn(own, wider):
+    weight = own[0] / (own[0] + quality.PRIOR)
+    return own[0], weight * own[1] + (1 - weight) * wider[1], weight * own[2] + (1 - weight) * wider[2]
+
+
+def test_chi_squared():
+    assert quality.chi_squared_quantile(0.05, 6) == pytest.approx(12.5916, abs=1e-3)
+    assert quality.chi_squared_quantile(0.25, 6) == pytest.approx(7.8408, abs=1e-3)
+    sample = np.random.default_rng(2).normal(size=(200_000, 6))
+    near = sample[(sample**2).sum(axis=1) <= quality.chi_squared_quantile(0.25, 6)]
+    assert quality.consistency(0.75, 6) * near.var(axis=0).mean() == pytest.approx(1, abs=0.01)
 
 
 def test_quality_rules(spark, documents, sf_dir):
@@ -195,20 +223,43 @@ def test_quality_rules(spark, documents, sf_dir):
         expected = statistics(texts[r.doc_id].text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == expected
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-        assert r.kept == (not r.base_failed and r.distance <= quality.CUTOFF)
+        assert r.kept == (not r.base_failed and r.distance <= quality.chi_squared_quantile(quality.TAIL, 6))
 
 
 def test_quality_distances(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").withColumn("lang", quality.F.lit("en")).withColumn("source", quality.F.lit("one"))
+    """Distances of all rows by numpy, over three languages and sources of very different sizes, nulls among them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    group = quality.F.pmod(quality.F.xxhash64("doc_id"), quality.F.lit(20))
+    docs = docs.withColumn("lang", quality.F.when(group < 12, "en").when(group < 18, "de")).withColumn("source", quality.F.when(group % 7 > 0, "s1").when(group > 6, "s2"))
     scratch = Scratch(spark, "test")
     measured = scratch.save(quality.with_statistics(docs).drop("text"), "measured")
-    passed = measured.where(~quality.base_failed())
     names = list(quality._vector())
-    vectors = passed.select("doc_id", *[quality.F.round(1000 * v).cast("long").alias(k) for k, v in quality._vector().items()]).orderBy("doc_id").toPandas()
-    expected = mcd(vectors[names].to_numpy())
-    got = quality.judge(measured, scratch).where("distance is not null").select("doc_id", "distance").orderBy("doc_id").toPandas()
-    assert got["doc_id"].tolist() == vectors["doc_id"].tolist()
-    assert np.allclose(got["distance"], expected, rtol=1e-6)
+    passed = measured.where(~quality.base_failed())
+    rows = passed.select("doc_id", "lang", "source", *[quality.F.round(1000 * v).cast("long").alias(k) for k, v in quality._vector().items()]).toPandas()
+    whole = mcd(rows[names].to_numpy())
+    expected = {}
+    for _, of_lang in rows.groupby("lang", dropna=False):
+        lang = drawn(mcd(of_lang[names].to_numpy()), whole)
+        for _, own in of_lang.groupby("source", dropna=False):
+            _, centre, scatter = drawn(mcd(own[names].to_numpy()), lang)
+            expected |= dict(zip(own["doc_id"], squared(own[names].to_numpy(), centre, scatter), strict=True))
+    assert len(rows.groupby(["lang", "source"], dropna=False)) >= 6
+    got = {r.doc_id: r.distance for r in quality.judge(measured, scratch).where("distance is not null").collect()}
+    assert got.keys() == expected.keys()
+    close = np.array([abs(got[k] - v) <= 0.02 * v + 0.01 for k, v in expected.items()])
+    assert close.all(), (1 - close.mean(), [(got[k], v) for (k, v), c in zip(expected.items(), close) if not c][:5])
+
+
+def test_quality_rules_find_outliers_in_small_groups(spark):
+    """Ten ordinary documents and one of symbols, a source of their own, beside a large source of the same language."""
+    random = np.random.default_rng(4)
+    vocabulary = ["".join(random.choice(list("abcdefghijklmnop"), random.integers(3, 9))) for _ in range(3000)]
+    text = lambda: " ".join(random.choice(vocabulary, 150)).capitalize() + "."
+    rows = [(k, text(), "en", "large") for k in range(400)] + [(1000 + k, text(), "en", "small") for k in range(10)]
+    rows.append((2000, " ".join(w + "$#|" for w in random.choice(vocabulary, 150)), "en", "small"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.keep_good(docs, Scratch(spark, "t")).select("doc_id").collect()}
+    assert kept == {r[0] for r in rows} - {2000}
 
 
 def classes(pairs, nodes):

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.scratch import Scratch
 from tracewell.llm.components import components
+from tracewell.llm.joins import within_bound
 from tracewell.llm.tokenizing import by_size
 
 SHINGLE = 5
@@ -194,11 +195,6 @@ def weighted_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "node long, text_a long, elements array<long>")
 
 
-def within_bound(rows: DataFrame) -> DataFrame:
-    """The rows of a saved table of ids, marked for broadcast only where there are few enough."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
-
-
 def _facts(sets: DataFrame) -> DataFrame:
     """node, size (least number of elements of its texts), shared (of them, at most so many occur in other nodes), lonely."""
     each = sets.select("node", F.explode("elements").alias("element"))
@@ -287,7 +283,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMIL
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     several = placed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     members = scratch.save(placed.join(several.select("bucket"), "bucket").select("node", "bucket"), "members")
-    wanted = within_bound(scratch.save(members.select(F.col("node").alias("doc_id")).distinct(), "wanted"))
+    wanted = within_bound(scratch.save(members.select(F.col("node").alias("doc_id")).distinct(), "wanted"), BROADCAST_IDS)
     sets = weighted_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"))
     sets = scratch.save(sets.groupBy("node", "text_a").agg(F.first("elements").alias("elements")), "sets")
     facts = scratch.save(_facts(sets).where(F.col("shared") >= F.lit(similarity) * F.col("size")), "facts")
@@ -308,7 +304,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMIL
         """Compare each node with the first leader of its open buckets."""
         asked = open_buckets(rooted, order).where(F.col("root") != F.col("leader.root"))
         pairs = asked.groupBy("node").agg(F.min("leader").alias("leader")).select("node", F.col("leader.node").alias("other"))
-        return scratch.save(_compared(pairs, sets, similarity).distinct(), name)
+        return scratch.save(_compared(pairs, sets, similarity), name).distinct()
 
     central = F.struct("lonely", F.xxhash64("node").alias("hash"))
     first = turn(rows.withColumn("root", F.col("node")), central, "first")
@@ -339,13 +335,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, similarity: float = SIMIL
 def keep_first(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents without all but one of each class, with the columns of ``docs``; repeated rows of one id are one."""
     judged = scratch.save(near_duplicates(docs, scratch), "judged")
-    gone = within_bound(scratch.save(judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
+    gone = within_bound(scratch.save(judged.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone"), BROADCAST_IDS)
     repeated = scratch.save(judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"), "repeated")
     names = {c: f"_doc{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     stay = plain.join(gone, F.col(names["doc_id"]) == F.col("_gone"), "left_anti")
     if not repeated.isEmpty():
-        again = within_bound(repeated)
+        again = within_bound(repeated, BROADCAST_IDS)
         here = F.col(names["doc_id"]) == F.col("_again")
         # equal ids are told apart by their rows alone: the first by text, then by all other columns
         first = Window.partitionBy(names["doc_id"]).orderBy(names["text"], *[F.col(n).cast("string") for n in names.values()])

@@ -2,17 +2,21 @@ r"""Quality rules: robust multivariate outliers, with DataFrame functions only.
 
 Fixed rules first: a document fails with fewer than ``MIN_WORDS`` words or with more than 30 of 100 words in
 repeated eight-word windows. The others are judged by their statistics, each transformed to a bounded scale
-and rounded to thousandths so that sums do not depend on the order of rows. For each language and source a
-minimum-covariance-determinant estimate of centre and scatter is found by concentration steps: from the median
-and the median deviation on, the ``KEPT_SHARE`` of rows with the smallest Mahalanobis distance give the next
-mean and covariance. Rows beyond ``CUTOFF`` (squared distance) are rejected. ``FLOOR`` is added to each
-standard deviation, so a statistic that most documents share exactly is judged on a natural scale.
-
-A language and source with fewer than ``MIN_GROUP`` rows is judged with the other small groups of its
-language; where these are few as well, with all such rows.
+and rounded to thousandths so that sums do not depend on the order of rows.
+
+For each language and source, each language and all rows a minimum-covariance-determinant estimate is made: four
+starts (scales of median deviations alone, hyperbolic tangents, spatial signs, a hashed quarter of the rows) take two
+concentration steps each, the ``KEPT_SHARE`` of rows with the smallest Mahalanobis distance giving the next mean and
+covariance; the start with the least determinant goes on until no determinant falls any more. The covariance is then
+made consistent at the normal distribution and reweighted once: mean and covariance of all rows inside the
+``REWEIGHT_TAIL`` quantile of chi-squared. ``FLOOR`` regularises each standard deviation, so a statistic that most
+documents share exactly is judged on a natural scale. A language's estimate is drawn to that of all rows, and that of
+a language and source to its language's, by the weight of ``PRIOR`` rows; so groups of any size are judged alike, a
+few rows mostly by their language, many by themselves. Rows beyond the ``TAIL`` quantile of chi-squared are rejected.
 
 All texts are read in one pass without a shuffle: windows, lines and counts stay inside the row. Steps after
-that read a narrow table. Quantiles come from counts over at most ``BINS`` bins per group.
+that read a narrow table. Quantiles come from counts by bin (bins of the logarithm for distances, without a largest
+one); tables of a row per group are broadcast up to ``GROUPS`` rows and joined by a shuffle beyond.
 
 Defined results: a null text has no words and fails; null language or source are values of their own; rows
 that are equal get the same verdict each; an empty table gives an empty table; further columns are kept as
@@ -21,20 +25,29 @@ they are. ``kept`` is never null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scratch import Scratch
+from tracewell.llm.joins import within_bound
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 20
 WINDOW = 8
 REPEAT_PERCENT = 30
-MIN_GROUP = 200
 KEPT_SHARE = 0.75
-STEPS = 3
-BINS = 4096
-CUTOFF = 60.0
+REWEIGHT_TAIL = 0.025
+#: At the normal distribution so many clean documents would be lost.
+TAIL = 1e-9
+PRIOR = 50
+#: A log determinant that falls by less has stopped.
+FALL = 1e-3
+#: Medians are found to within 8 thousandths.
+START_SHIFT = 3
+GROUPS = 100_000
+EVERYTHING = 0
 #: Standard deviations added to each statistic's own, in its unit.
 FLOOR = {"word_length": 0.05, "symbols": 0.15, "capitals": 0.15, "dup_lines": 0.10, "repeats": 0.08, "echoes": 0.05}
 
@@ -110,88 +123,177 @@ def _vector(s: str = "stats") -> dict[str, Column]:
     }
 
 
-def _moments(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Mean and lower Cholesky factor of the floored covariance of each group, as columns."""
-    d = len(names)
+def _moments(rows: DataFrame, keys: list[str], d: int, floors: list[float]) -> DataFrame:
+    """Rows, mean and lower Cholesky factor of the floored covariance of x0, x1, ... for each key, and the log determinant.
+
+    The xs are whole numbers, so their sums do not depend on the order of rows.
+    """
     sums = [F.sum(f"x{i}").cast("double").alias(f"s{i}") for i in range(d)]
     products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).cast("double").alias(f"p{i}_{j}") for i in range(d) for j in range(i + 1)]
-    found = rows.groupBy("group").agg(F.count("*").alias("n"), *sums, *products)
-    found = found.select("group", "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(d)], *[f"p{i}_{j}" for i in range(d) for j in range(i + 1)])
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *products)
+    scatter = {(i, j): F.col(f"p{i}_{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("n") * F.col("n")) for i in range(d) for j in range(i + 1)}
+    scatter = {(i, j): F.greatest(v, F.lit(0.0)) + F.lit(floors[i] ** 2) if i == j else v for (i, j), v in scatter.items()}
+    found = found.select(*keys, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(d)], *[v.alias(f"c{i}_{j}") for (i, j), v in scatter.items()])
+    return _factored(found, d)
+
+
+def _factored(found: DataFrame, d: int) -> DataFrame:
+    """Covariances c to their lower Cholesky factor l, and the log determinant."""
+    kept = [c for c in found.columns if not (c[0] == "c" and c[1].isdigit())]
     for i in range(d):
         for j in range(i + 1):
-            scatter = F.col(f"p{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-            if i == j:
-                scatter = F.greatest(scatter, F.lit(0.0)) + F.lit((1000 * FLOOR[names[i]]) ** 2)
             known = sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-            factor = F.sqrt(F.greatest(scatter - known, F.lit(1.0))) if i == j else (scatter - known) / F.col(f"l{j}_{j}")
-            found = found.withColumn(f"l{i}_{j}", factor)
-    return found.drop("n", *[f"p{i}_{j}" for i in range(d) for j in range(i + 1)])
+            rest = F.col(f"c{i}_{j}") - known
+            found = found.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}_{j}"))
+    factors = [f"l{i}_{j}" for i in range(d) for j in range(i + 1)]
+    return found.select(*kept, *factors, sum((2 * F.log(f"l{i}_{i}") for i in range(d)), F.lit(0.0)).alias("logdet"))
 
 
-def _distance(names: list[str]) -> Column:
-    """Squared Mahalanobis distance of x to the group's m and l, by forward substitution."""
+def _distance(d: int) -> Column:
+    """Squared Mahalanobis distance of x to m and l, by forward substitution."""
     whitened: list[Column] = []
-    for i in range(len(names)):
+    for i in range(d):
         rest = F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}_{k}") * whitened[k] for k in range(i)), F.lit(0.0))
         whitened.append(rest / F.col(f"l{i}_{i}"))
     return sum((z * z for z in whitened), F.lit(0.0))
 
 
-def _quantile(rows: DataFrame, bins: dict[str, Column], share: float) -> DataFrame:
-    """Per group and named binned value: the bin where the given share of rows is reached."""
-    long = rows.select("group", F.explode(F.array(*[F.struct(F.lit(k).alias("of"), v.cast("int").alias("bin")) for k, v in bins.items()])).alias("b"))
-    counts = long.groupBy("group", "b.of", "b.bin").count()
-    each = Window.partitionBy("group", "of")
-    running = each.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = counts.select("group", "of", "bin", F.sum("count").over(running).alias("until"), F.sum("count").over(each).alias("all"))
-    return reached.where(F.col("until") >= share * F.col("all")).groupBy("group").pivot("of", list(bins)).agg(F.min("bin"))
+def _quantiles(rows: DataFrame, keys: list[str], bins: list[Column], share: float) -> DataFrame:
+    """Per key, for each binned value: the bin where the given share of rows is reached, as q0, q1, ...
 
+    Rows are counted by bin first, so what meets in one task for a key is its bins and not its rows.
+    """
+    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("of"), v.cast("int").alias("bin")) for i, v in enumerate(bins)])).alias("b"))
+    counts = long.groupBy(*keys, "b.of", "b.bin").agg(F.count("*").alias("n"))
+    held = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("of", "bin", "n"))).alias("held"))
 
-def _with_key(rows: DataFrame) -> DataFrame:
-    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in ("lang", "source"))
-    return rows.withColumns({"g1": F.concat_ws("\x1f", lang, source), "g2": lang})
+    def reached(i: int) -> Column:
+        mine = F.filter("held", lambda b: b["of"] == i)
+        total = F.aggregate(mine, F.lit(0).cast("long"), lambda t, b: t + b["n"])
+        start = F.struct(F.lit(0).cast("long").alias("until"), F.lit(None).cast("int").alias("at"))
+        step = lambda t, b: F.struct((t["until"] + b["n"]).alias("until"), F.coalesce(t["at"], F.when(t["until"] + b["n"] >= F.lit(share) * total, b["bin"])).alias("at"))
+        return F.aggregate(mine, start, step)["at"]
+
+    return held.select(*keys, *[reached(i).alias(f"q{i}") for i in range(len(bins))])
+
+
+def chi_squared_tail(x: float, d: int) -> float:
+    """P(chi-squared of an even number d of degrees > x)."""
+    return math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(d // 2))
 
 
-def _groups(judged: DataFrame) -> DataFrame:
-    """g1 -> group: language and source, or a wider one where that is small."""
-    sizes = _with_key(judged).groupBy("g1", "g2").agg(F.count("*").alias("n1"))
-    small = F.when(F.col("n1") < MIN_GROUP, F.col("n1")).otherwise(0)
-    sizes = sizes.withColumn("n2", F.sum(small).over(Window.partitionBy("g2")))
-    chosen = F.when(F.col("n1") >= MIN_GROUP, F.col("g1")).when(F.col("n2") >= MIN_GROUP, F.concat(F.lit("rest "), F.col("g2"))).otherwise("rest")
-    return sizes.select("g1", chosen.alias("group"))
+def chi_squared_quantile(tail: float, d: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_squared_tail(middle, d) > tail else (low, middle)
+    return high
+
+
+def consistency(share: float, d: int) -> float:
+    """What the covariance of the ``share`` of normal rows that are nearest the centre is multiplied with."""
+    return share / (1 - chi_squared_tail(chi_squared_quantile(1 - share, d), d + 2))
+
+
+def _starts(each: DataFrame, d: int, floors: list[float]) -> DataFrame:
+    """Four first estimates a group, by start: scales alone, hyperbolic tangents, spatial signs, and a hashed quarter of the rows."""
+    bin_of = lambda x: F.shiftright(x, START_SHIFT)
+    centre = _quantiles(each, ["group"], [bin_of(F.col(f"x{i}")) for i in range(d)], 0.5)
+    centre = centre.select("group", *[(F.shiftleft(F.col(f"q{i}").cast("long"), START_SHIFT) + (1 << START_SHIFT) // 2).cast("double").alias(f"m{i}") for i in range(d)])
+    off = [F.abs(F.col(f"x{i}") - F.col(f"m{i}")).cast("long") for i in range(d)]
+    spread = _quantiles(each.join(centre, "group"), ["group"], [bin_of(v) for v in off], 0.5)
+    widths = [F.sqrt(F.pow(1.4826 * F.shiftleft(F.col(f"q{i}").cast("long"), START_SHIFT), 2) + F.lit(floors[i] ** 2)).alias(f"w{i}") for i in range(d)]
+    return centre.join(spread, "group").select("group", *[f"m{i}" for i in range(d)], *widths)
+
+
+def _first_estimates(each: DataFrame, scales: DataFrame, d: int, floors: list[float]) -> DataFrame:
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"w{i}") for i in range(d)]
+    length = F.sqrt(sum((v * v for v in z), F.lit(1e-12)))
+    whole = lambda v: F.round(1000 * v).cast("long")
+    shapes = F.array(
+        F.struct(F.lit(1).alias("start"), *[whole(F.tanh(v)).alias(f"x{i}") for i, v in enumerate(z)]),
+        F.struct(F.lit(2).alias("start"), *[whole(v / length).alias(f"x{i}") for i, v in enumerate(z)]),
+    )
+    shaped = each.join(scales, "group").select("group", F.explode(shapes).alias("s")).select("group", "s.*")
+    # shapes in units of the scales: the factor's rows times the scales give the factor in units of x
+    found = _moments(shaped, ["group", "start"], d, [100.0] * d).drop("n", "logdet", *[f"m{i}" for i in range(d)]).join(scales, "group")
+    unit = ["start", *[f"m{i}" for i in range(d)]]
+    turned = found.select("group", *unit, *[(F.col(f"l{i}_{j}") * F.col(f"w{i}") / 1000).alias(f"l{i}_{j}") for i in range(d) for j in range(i + 1)])
+    plain = scales.withColumn("start", F.lit(0)).select("group", *unit, *[(F.col(f"w{i}") if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in range(d) for j in range(i + 1)])
+    quarter = each.where(F.pmod(F.xxhash64(*[f"x{i}" for i in range(d)]), F.lit(4)) == 0)
+    drawn = _moments(quarter, ["group"], d, floors).withColumn("start", F.lit(3)).select(*plain.columns)
+    return plain.unionByName(turned).unionByName(drawn)
+
+
+def _concentrated(each: DataFrame, estimate: DataFrame, d: int, floors: list[float], scratch: Scratch, name: str) -> DataFrame:
+    """One concentration step: mean and covariance of the ``KEPT_SHARE`` of rows that are nearest by the estimate."""
+    # bins of the logarithm, so there is no largest one: 16 to a doubling of the squared distance
+    near = each.join(within_bound(estimate.drop("n", "logdet"), GROUPS), "group").withColumn("bin", F.floor(F.log2(_distance(d) + 2.0**-10) * 16).cast("int"))
+    edges = scratch.save(_quantiles(near.select("group", "start", "bin"), ["group", "start"], [F.col("bin")], KEPT_SHARE), f"{name}_edges")
+    kept = near.select("group", "start", "bin", *[f"x{i}" for i in range(d)]).join(within_bound(edges, GROUPS), ["group", "start"]).where("bin <= q0")
+    return scratch.save(_moments(kept, ["group", "start"], d, floors), name)
+
+
+def _shrunk(own: DataFrame, wider: DataFrame, by: str, d: int) -> DataFrame:
+    """Centre and covariance of ``own`` drawn to those of the wider group, by the weight of ``PRIOR`` rows."""
+    names = [f"m{i}" for i in range(d)] + [f"c{i}_{j}" for i in range(d) for j in range(i + 1)]
+    wide = wider.select(F.col("group").alias(by), *[F.col(c).alias(f"wide_{c}") for c in names])
+    weight = F.col("n") / (F.col("n") + F.lit(float(PRIOR)))
+    mixed = [(weight * F.col(c) + (1 - weight) * F.col(f"wide_{c}")).alias(c) for c in names]
+    return own.join(wide, by).select(*[c for c in own.columns if c not in names], *mixed)
+
+
+def estimates(vectors: DataFrame, d: int, floors: list[float], scratch: Scratch) -> DataFrame:
+    """Centre and factor for each language and source, of stored rows (lang_group, group, x0, x1, ...)."""
+    xs = [f"x{i}" for i in range(d)]
+    levels = F.array(F.col("group"), F.col("lang_group"), F.lit(EVERYTHING))
+    each = vectors.select(F.explode(levels).alias("group"), *xs)
+    scales = within_bound(scratch.save(_starts(each, d, floors), "scales"), GROUPS)
+    estimate = scratch.save(_first_estimates(each, scales, d, floors), "start")
+    for step in (1, 2):
+        estimate = _concentrated(each, estimate, d, floors, scratch, f"try{step}")
+    best = estimate.groupBy("group").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+    estimate, step, falling = scratch.save(estimate.join(best, ["group", "start"]), "best"), 0, True
+    while falling:
+        step += 1
+        later = _concentrated(each, estimate, d, floors, scratch, f"step{step}")
+        least = later.select(F.lit(1).alias("turn"), *estimate.columns).unionByName(estimate.select(F.lit(0).alias("turn"), *estimate.columns))
+        both = least.groupBy("group").agg(
+            F.min_by(F.struct(*estimate.columns[1:]), F.struct("logdet", "turn")).alias("e"),
+            (F.max(F.when(F.col("turn") == 0, F.col("logdet"))) - F.min("logdet")).alias("fall"),
+        )
+        both = scratch.save(both.select("group", "e.*", "fall"), f"least{step}")
+        falling = (both.agg(F.max("fall")).first()[0] or 0) > FALL
+        estimate = both.drop("fall")
+    # consistency at the normal, then one reweighted estimate from all rows that are not far out
+    raw, edge = consistency(KEPT_SHARE, d), chi_squared_quantile(REWEIGHT_TAIL, d)
+    near = each.join(within_bound(estimate.drop("n", "logdet", "start"), GROUPS), "group").where(_distance(d) <= F.lit(raw * edge))
+    wide = scratch.save(_moments(near.select("group", *xs), ["group"], d, floors), "reweighted")
+    factor = consistency(1 - REWEIGHT_TAIL, d)
+    cells = [(F.lit(factor) * sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j + 1)), F.lit(0.0))).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)]
+    wide = wide.select("group", "n", *[f"m{i}" for i in range(d)], *cells)
+    # a group without a row in reach has no estimate of its own and takes the wider one
+    known = vectors.select("group", "lang_group").distinct().join(wide, "group", "left").fillna(0.0).fillna(0, ["n"])
+    langs = vectors.select(F.col("lang_group").alias("group"), F.lit(EVERYTHING).alias("every")).distinct().join(wide, "group", "left").fillna(0.0).fillna(0, ["n"])
+    lang = _shrunk(langs, wide.where(F.col("group") == EVERYTHING), "every", d)
+    return scratch.save(_factored(_shrunk(known, lang, "lang_group", d).drop("n", "lang_group"), d).drop("logdet"), "estimates")
 
 
 def judge(measured: DataFrame, scratch: Scratch) -> DataFrame:
     """Add ``distance`` (squared; null where a fixed rule failed) and ``kept`` to stored rows with stats, lang and source."""
     vector = _vector()
-    names = list(vector)
+    d, floors = len(vector), [1000 * FLOOR[k] for k in vector]
     columns = [F.col(f"`{c}`") for c in measured.columns]
     xs = [F.round(1000 * v).cast("long").alias(f"x{i}") for i, v in enumerate(vector.values())]
+    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in ("lang", "source"))
+    keys = [F.xxhash64(F.lit("lang"), lang).alias("lang_group"), F.xxhash64(F.lit("source"), lang, source).alias("group")]
     passed = measured.where(~base_failed())
-    groups = scratch.save(_groups(passed.select("lang", "source")), "groups")
-    grouped = scratch.save(_with_key(passed.select("lang", "source", *xs)).join(groups, "g1").drop("g1", "g2", "lang", "source"), "vectors")
-    # the start: medians, and median deviations as scales without correlation
-    centre = _quantile(grouped, {f"m{i}": F.least(F.col(f"x{i}"), F.lit(8191)) for i in range(len(names))}, 0.5)
-    off = grouped.join(centre, "group")
-    spread = _quantile(off.select("group", *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(len(names))]), {f"d{i}": F.least(F.col(f"x{i}"), F.lit(8191)) for i in range(len(names))}, 0.5)
-    start = centre.join(spread, "group").select(
-        "group",
-        *[F.col(f"m{i}").cast("double").alias(f"m{i}") for i in range(len(names))],
-        *[
-            (F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + F.lit((1000 * FLOOR[names[i]]) ** 2)) if i == j else F.lit(0.0)).alias(f"l{i}_{j}")
-            for i in range(len(names))
-            for j in range(i + 1)
-        ],
-    )
-    estimate = scratch.save(start, "estimate0")
-    for step in range(1, STEPS + 1):
-        near = grouped.join(estimate, "group").select("group", *[f"x{i}" for i in range(len(names))], F.least(F.floor(_distance(names) * 32), F.lit(BINS - 1)).alias("bin"))
-        within = _quantile(near, {"edge": F.col("bin")}, KEPT_SHARE)
-        estimate = scratch.save(_moments(near.join(within, "group").where("bin <= edge"), names), f"estimate{step}")
-    keyed = _with_key(passed.select("*", *xs)).join(groups, "g1")
-    judged = keyed.join(estimate, "group").select(*columns, _distance(names).alias("distance"))
+    found = estimates(scratch.save(passed.select(*keys, *xs), "vectors"), d, floors, scratch)
+    measures = F.struct(keys[1], *xs).alias("_own")
+    judged = passed.select(F.struct(*columns).alias("_row"), measures).select("_row", "_own.*").join(within_bound(found, GROUPS), "group")
+    judged = judged.select("_row.*", _distance(d).alias("distance"))
     failed = measured.where(base_failed()).select(*columns, F.lit(None).cast("double").alias("distance"))
-    return judged.unionByName(failed).withColumn("kept", F.coalesce(F.col("distance") <= CUTOFF, F.lit(False)))
+    return judged.unionByName(failed).withColumn("kept", F.coalesce(F.col("distance") <= F.lit(chi_squared_quantile(TAIL, d)), F.lit(False)))
 
 
 def keep_good(docs: DataFrame, scratch: Scratch) -> DataFrame:
