@@ -62,6 +62,27 @@ def test_packing(spark, sf_dir, documents):
     assert sequences <= 1.02 * math.ceil(tokens / packing.SEQUENCE) + 1
 
 
+def test_packing_ids_in_all_languages(spark):
+    """The cut words give the ids that the tokenizer gives for whole texts: every document of the larger table."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    got: dict = defaultdict(dict)
+    for r in packing.cut_documents(docs).collect():
+        got[r.doc_id][r.start] = np.frombuffer(r.ids, dtype="<u4").tolist()
+    found = [[i for start in sorted(pieces) for i in pieces[start]] for _, pieces in sorted(got.items())]
+    assert found == [[*e.ids, 1] for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_proves_its_gap_where_remainders_are_long():
+    random = np.random.default_rng(3)
+    found = packing.Patterns(np.arange(400, 1025), random.integers(50, 1000, 625))
+    assert sum(n for _, n in found.patterns) <= (1 + packing.GAP) * found.bound + len(found.lengths) / 2
+
+
 def test_packing_patterns_hold_their_demand():
     random = np.random.default_rng(1)
     lengths, demand = np.arange(1, 2049, 7), random.integers(1, 60, 293)
@@ -412,3 +433,51 @@ def test_mixing_meets_targets(spark, sf_dir):
     per = rows.merge(docs, on="doc_id").groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
     assert ((per["taken"] - per["target"]).abs() <= per["most"] / 2 + 1).all()
     assert per["target"].sum() == pytest.approx(mixing.SHARE * rows["size"].sum())
+
+
+def test_mixing_by_plain_python(spark):
+    """Water-fill and selection written out, over documents of very unequal sizes and a source that is held."""
+    random = np.random.default_rng(12)
+    rows = [(k, "w " * int(2 ** random.uniform(0, 9)), source) for k, source in enumerate(random.choice(["a", "b", "c", "d", None], 900, p=[0.02, 0.4, 0.3, 0.2, 0.08]))]
+    rows += [(k, t, s) for k, t, s in rows[:30]] + [(5000, None, "b"), (5001, "", "e")]
+    docs = [(k, t, s, len((t or "").split())) for k, t, s in rows]
+    sources = sorted({s for *_, s, _ in docs}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(n for *_, of, n in docs if of == s) for s in sources}
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    targets, free, left = {}, set(sources), 1.5 * sum(sizes.values())
+    while over := {s for s in free if left * weights[s] / sum(weights[x] for x in free) >= 2 * sizes[s]}:
+        for s in over:
+            targets[s] = 2.0 * sizes[s]
+        left, free = left - sum(targets[s] for s in over), free - over
+    targets |= {s: left * weights[s] / sum(weights[x] for x in free) for s in free}
+    expected = {}
+    for s in sources:
+        mine = [(k, t, n) for k, t, of, n in docs if of == s]
+        whole = int(targets[s] // sizes[s]) if sizes[s] else 0
+        missing = targets[s] - whole * sizes[s]
+        ranked = {}
+        for k, t, n in mine:
+            u = (int(hashlib.md5(":".join(["7", str(k), *([] if t is None else [t])]).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            tilt = min(2.0, max(0.5, n * len(mine) / sizes[s])) if sizes[s] else 1.0
+            ranked[k, t, n] = u / (1 - u) / tilt
+        total, taken = 0, set()
+        groups = sorted(ranked.items(), key=lambda e: e[1])
+        for (k, t, n), _ in groups if missing > 0 else []:
+            words = n * sum((k, t, n) == m for m in mine)
+            if total + words > missing:
+                break
+            total, taken = total + words, taken | {(k, t, n)}
+        rest = [(abs(missing - total - n), q, key) for key, q in ranked.items() for n in [key[2]] if key not in taken and abs(missing - total - n) < missing - total]
+        taken |= {min(rest)[2]} if rest else set()
+        for key in mine:
+            expected[key[0]] = (key[2] * (whole + (key in taken)), targets[s])
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    scratch = Scratch(spark, "t")
+    got = mixing.mix(mixing.with_size_and_rank(table), scratch).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.taken == expected[r.doc_id][0] and r.target == pytest.approx(expected[r.doc_id][1])
+    # longer documents come in more often, and none is shut out
+    extra = [(r.mix_size, r.copies - int(r.target // r.source_size)) for r in got if r.source in ("b", "c")]
+    long, short = ([c for n, c in extra if (n > 100) == side] for side in (True, False))
+    assert 0 < np.mean(short) < np.mean(long) <= 1

@@ -43,7 +43,7 @@ def clashing(df):
 
 def test_packing(spark, docs, empty):
     def pack(table):
-        pieces = packing.cut_documents(table).select("doc_id", "start", "length", "doc_tokens")
+        pieces = packing.cut_documents(table).select("doc_id", "start", "length", "doc_tokens", "piece_salt")
         return packing.pack(Scratch(spark, "t").save(pieces, "pieces")).collect()
 
     assert pack(empty) == []
@@ -106,11 +106,12 @@ def test_secrets_that_adjoin_fixed_spans(spark):
 
 
 def test_mixing(docs, empty):
-    assert mixing.copy_out(empty).collect() == []
-    copies = mixing.copy_out(clashing(docs))
+    spark = docs.sparkSession
+    assert mixing.copy_out(empty, Scratch(spark, "t")).collect() == []
+    copies = mixing.copy_out(clashing(docs), Scratch(spark, "t"))
     assert copies.columns[5:] == CLASHES
     assert all(r.stats == "mine" for r in copies.collect())
-    again = mixing.copy_out(clashing(docs).repartition(7))
+    again = mixing.copy_out(clashing(docs).repartition(7), Scratch(spark, "t"))
     assert sorted(map(repr, copies.collect())) == sorted(map(repr, again.collect()))
 
 

@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
-A source's target over its own size is the number of copies that each of its documents expects. The whole
-part of it is given to every document as certain copies; the fraction is the inclusion probability of one
-more copy. For that, documents rank by Pareto's variable, their random odds divided by their inclusion odds,
-and the first ones are taken until the words still missing are reached. At most one document more is taken
-where its size closes what then is left.
+A source's target over its own size is the number of copies that its documents expect. The whole part of it is given
+to every document as certain copies; the fraction sets the inclusion odds of one more copy, which are unequal: the
+source's odds times the document's size over the source's mean size, held between 1/``MOST_TILT`` and ``MOST_TILT``
+(so long documents, which close the missing words in fewer draws, come in more often, and none is shut out).
+Documents rank by Pareto's variable, their random odds divided by their inclusion odds, and the first ones are taken
+until the words still missing are reached. At most one document more is taken where its size closes what then is left.
 
 The random number of a document is a hash of its id and text, so reruns, lost tasks and other partitionings
 agree. No source is sorted whole: words are summed in ``SLOTS`` slots of the ranking variable, and only the
-slot where a source crosses its goal is sorted.
+slot where a source crosses its goal is sorted. Sources are ranked in ranges, and their level is found by sums.
+Tables of a row per source are broadcast up to ``SOURCES`` rows and joined by a shuffle beyond.
 
 Defined results: a null text has size 0; documents without words may be copied, which adds no words; a null
 source is a source of its own, ordered last; rows equal in id and text share one rank and are taken or left
@@ -20,11 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.scratch import Scratch
+from tracewell.llm.joins import within_bound
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2
+MOST_TILT = 2.0
 SLOTS = 4096
+RANGES = 64
+SOURCES = 100_000
 SEED = "7"
 
 
@@ -40,40 +48,44 @@ def with_size_and_rank(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     )
 
 
-def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES) -> DataFrame:
-    """One row per source: ``source_size`` and ``target``.
+def source_targets(sized: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES) -> DataFrame:
+    """One row per source: ``source_size``, ``n_docs`` and ``target``.
 
-    Targets are the level of weight at which all sources together take ``share`` of all words, each held at
-    ``max_copies`` times its size; what a held source leaves goes to the others by weight.
+    Targets are a level times weight, each held at ``max_copies`` times its size. What held sources leave goes to the
+    others by weight, until no further source is above; a pass over the sources' sums for each such turn.
     """
-    per_source = sized.groupBy("source").agg(F.sum("mix_size").alias("source_size"))
-    by_code_point = Window.orderBy(F.col("source").asc_nulls_last())
-    number = (F.row_number().over(by_code_point) - 1) % len(weights)
+    per_source = sized.groupBy("source").agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("n_docs"))
+    # ranks by code point without one sort of all: ranges in order, ranks inside them, and the rows of the ranges before
+    ranged = per_source.repartitionByRange(RANGES, F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    ranged = scratch.save(ranged, "sources")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows at most
+    offsets = ranged.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())
+    number = (F.col("before") + F.row_number().over(inside) - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (number + 1).cast("int"))
-    ranked = per_source.select(
-        "source", "source_size", weight.alias("w"), (F.lit(float(max_copies)) * F.col("source_size")).alias("cap")
-    )
-    held_first = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = held_first.rowsBetween(Window.unboundedPreceding, -1)
-    onward = held_first.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    levels = ranked.select(
-        "*",
-        (
-            (F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-            / F.sum("w").over(onward)
-        ).alias("level"),
+    ranked = ranged.join(F.broadcast(offsets), "range").select(
+        "source", "source_size", "n_docs", weight.alias("w"), (F.lit(float(max_copies)) * F.col("source_size")).alias("cap")
     )
-    level = F.max(F.when(F.col("cap") / F.col("w") > F.col("level"), F.col("level"))).over(everything)
-    target = F.least(F.col("cap"), F.coalesce(level * F.col("w"), F.col("cap")))
-    return levels.select("source", "source_size", target.alias("target"))
-
-
-def _plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    ranked = scratch.save(ranked, "weighed")
+    level, held = None, -1
+    while True:
+        above = F.lit(False) if level is None else F.col("cap") / F.col("w") <= F.lit(level)
+        everything, taken, left, n = ranked.agg(
+            F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0.0)), F.sum(F.when(~above, F.col("w"))), F.count(F.when(above, 1))
+        ).first()
+        if left is None or n == held:
+            break
+        level, held = (share * everything - taken) / left, n
+    target = F.col("cap") if left is None else F.least(F.col("cap"), F.lit(level) * F.col("w"))
+    return ranked.select("source", "source_size", "n_docs", target.alias("target"))
+
+
+def _plan(sized: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
     """Per source: certain copies, inclusion probability, the last rank taken and the document that fills up."""
     goals = targets.select(
         F.col("source").alias("goal_source"),
         "source_size",
+        "n_docs",
         "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("certain"),
     ).select(
@@ -81,8 +93,9 @@ def _plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
         (F.col("target") - F.col("certain") * F.col("source_size")).alias("missing"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") - F.col("certain")).otherwise(0.0).alias("chance"),
     )
+    goals = scratch.save(goals, "goals")
     same_source = F.col("source").eqNullSafe(F.col("goal_source"))
-    ranked = sized.select("source", "mix_size", "mix_u").join(goals, same_source).where("chance > 0")
+    ranked = sized.select("source", "mix_size", "mix_u").join(within_bound(goals, SOURCES), same_source).where("chance > 0")
     ranked = ranked.select("goal_source", "mix_size", "mix_u", "missing", _pareto().alias("q"))
     ranked = ranked.withColumn("slot", F.floor(F.col("q") / (1 + F.col("q")) * SLOTS))
 
@@ -95,6 +108,7 @@ def _plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("slot", (F.col("until") - F.col("words")).alias("before")), "slot").alias("at"))
         .select("cross_source", F.col("at.slot").alias("cross_slot"), F.col("at.before").alias("before"))
     )
+    crossing = within_bound(scratch.save(crossing, "crossing"), SOURCES)
     there = ranked.join(crossing, F.col("goal_source").eqNullSafe(F.col("cross_source")) & (F.col("slot") == F.col("cross_slot")))
     by_rank = Window.partitionBy("goal_source").orderBy("q")
     within = there.withColumn("until", F.col("before") + F.sum("mix_size").over(by_rank))
@@ -114,53 +128,56 @@ def _plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
             (F.col("missing") - F.coalesce("last_until", "before")).alias("gap"),
         )
     )
+    last = scratch.save(last, "last")
     filling = (
-        ranked.join(last, F.col("goal_source").eqNullSafe(F.col("last_source")))
+        ranked.join(within_bound(last, SOURCES), F.col("goal_source").eqNullSafe(F.col("last_source")))
         .where((F.col("q") > F.col("last_q")) & (F.abs(F.col("gap") - F.col("mix_size")) < F.col("gap")))
         .groupBy(F.col("goal_source").alias("fill_source"))
         .agg(F.min_by("mix_u", F.struct(F.abs(F.col("gap") - F.col("mix_size")), F.col("q"))).alias("fill_u"))
     )
-    return (
+    plan = (
         goals.join(last, F.col("goal_source").eqNullSafe(F.col("last_source")), "left")
         .join(filling, F.col("goal_source").eqNullSafe(F.col("fill_source")), "left")
-        .select("goal_source", "source_size", "target", "certain", "chance", "last_q", "fill_u")
+        .select("goal_source", "source_size", "n_docs", "target", "certain", "chance", "last_q", "fill_u")
     )
+    return within_bound(scratch.save(plan, "plan"), SOURCES)
 
 
 def _pareto() -> Column:
-    """Random odds divided by inclusion odds."""
+    """Random odds divided by inclusion odds: the source's, times the document's size over the source's mean, within bounds."""
     chance = F.nullif(F.col("chance"), F.lit(0.0))
-    return (F.col("mix_u") / (1 - F.col("mix_u"))) / (chance / (1 - chance))
+    relative = F.col("mix_size") * F.col("n_docs") / F.nullif(F.col("source_size"), F.lit(0))
+    tilt = F.least(F.lit(MOST_TILT), F.greatest(F.lit(1 / MOST_TILT), relative))
+    return (F.col("mix_u") / (1 - F.col("mix_u"))) / (chance / (1 - chance) * tilt)
 
 
-def mix(sized: DataFrame, measured: DataFrame | None = None, **options) -> DataFrame:
+def mix(sized: DataFrame, scratch: Scratch, measured: DataFrame | None = None, **options) -> DataFrame:
     """Add ``source_size``, ``target``, ``copies`` and ``taken`` to rows that carry ``mix_size`` and ``mix_u``.
 
     measured: the same rows with at least source, mix_size and mix_u, where these are stored apart from texts.
     """
     measured = sized if measured is None else measured
-    plan = _plan(measured, source_targets(measured, **options))
+    plan = _plan(measured, source_targets(measured, scratch, **options), scratch)
     added = (F.col("chance") > 0) & ((F.col("mix_q") <= F.col("last_q")) | (F.col("mix_u") == F.col("fill_u")))
     copies = F.col("certain") + F.coalesce(added.cast("long"), F.lit(0))
     kept = [F.col(f"`{c}`") for c in sized.columns]
     return (
-        sized.join(plan, F.col("source").eqNullSafe(F.col("goal_source")))
+        sized.select(F.struct(*kept).alias("_row"), "source", "mix_size", "mix_u")
+        .join(plan, F.col("source").eqNullSafe(F.col("goal_source")))
         .withColumn("mix_q", _pareto())
-        .select(*kept, "source_size", "target", copies.alias("copies"), (copies * F.col("mix_size")).alias("taken"))
+        .select("_row.*", "source_size", "target", copies.alias("copies"), (copies * F.col("mix_size")).alias("taken"))
     )
 
 
-def copy_out(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it, with the columns of ``docs``."""
-    plain = docs.select([F.col(f"`{c}`").alias(f"_doc{i}") for i, c in enumerate(docs.columns)])
+def copy_out(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+    """The mixed corpus: each document as often as the mix takes it, with the columns of ``docs``. Texts are not shuffled."""
     names = {c: f"_doc{i}" for i, c in enumerate(docs.columns)}
-    sized = with_size_and_rank(
-        plain.select("*", F.col(names["source"]).alias("source")), text=names["text"], doc_id=names["doc_id"]
-    )
-    taken = mix(sized).where("copies > 0")
-    return taken.select(
-        *[F.col(names[c]).alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy")
-    ).drop("mix_copy")
+    plain = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    sized = with_size_and_rank(plain.withColumn("source", F.col(names["source"])), text=names["text"], doc_id=names["doc_id"])
+    measured = scratch.save(sized.select("source", "mix_size", "mix_u"), "measured")
+    taken = mix(sized, scratch, measured, **options).where("copies > 0")
+    copied = taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copied.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 ORACLE = r"""
@@ -169,7 +186,7 @@ with sized as (
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
          (('0x' || substr(md5(concat_ws(':', '7', doc_id::varchar, text)), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double as u
   from documents),
-src as (select source, sum(size)::bigint as source_size from sized group by source),
+src as (select source, sum(size)::bigint as source_size, count(*) as n_docs from sized group by source),
 weighed as (
   select *, case (row_number() over (order by source asc nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w,
          2.0::double * source_size as cap from src),
@@ -179,16 +196,16 @@ levels as (
             / sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) as level
   from weighed),
 goals as (
-  select source, source_size, target,
+  select source, source_size, n_docs, target,
          case when source_size > 0 then floor(target / source_size) else 0 end::bigint as certain
-  from (select source, source_size,
+  from (select source, source_size, n_docs,
                least(cap, coalesce(max(case when cap / w > level then level end) over () * w, cap)) as target from levels)),
 g as (
   select *, target - certain * source_size as missing,
          case when source_size > 0 then target / source_size - certain else 0.0 end::double as chance from goals),
 ranked as (
   select s.doc_id, s.source, s.size, s.u, g.missing,
-         (s.u / (1 - s.u)) / (g.chance / (1 - g.chance)) as q
+         (s.u / (1 - s.u)) / (g.chance / (1 - g.chance) * least(2.0::double, greatest(0.5::double, (s.size * g.n_docs)::double / g.source_size))) as q
   from sized s join g on s.source is not distinct from g.source where g.chance > 0),
 cum as (select *, sum(size) over (partition by source order by q range between unbounded preceding and current row) as until from ranked),
 last as (
@@ -202,7 +219,7 @@ fill as (
     where r.q > l.last_q and abs(l.gap - r.size) < l.gap) where k = 1)
 select s.doc_id, s.size, g.source_size, g.target,
        (s.size * (g.certain + case when g.chance > 0 and
-         (coalesce((s.u / (1 - s.u)) / (g.chance / (1 - g.chance)) <= l.last_q, false) or coalesce(s.u = f.fill_u, false)) then 1 else 0 end))::bigint as taken
+         (coalesce((s.u / (1 - s.u)) / (g.chance / (1 - g.chance) * least(2.0::double, greatest(0.5::double, (s.size * g.n_docs)::double / g.source_size))) <= l.last_q, false) or coalesce(s.u = f.fill_u, false)) then 1 else 0 end))::bigint as taken
 from sized s join g on s.source is not distinct from g.source
 left join last l on s.source is not distinct from l.source
 left join fill f on s.source is not distinct from f.source

@@ -17,6 +17,7 @@ are carried along; an empty table gives no pieces; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,7 @@ BUCKETS = 1024
 GAP = 1e-3
 REFRESH = 400
 COLUMNS = 64
-#: So few pieces are also filled by subset sums alone, and the better of both is used.
-FEW = 4096
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, piece_salt int"
 
 
 def cut_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", sequence: int = SEQUENCE) -> DataFrame:
@@ -45,13 +44,16 @@ def cut_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", ranks:
         encode = encoder(vocabulary, ranks).encode
         for whole in batches:
             for batch in by_size(whole, "text"):
-                rows: list[tuple] = []
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
-                    ids = np.append(ids, CLOSING_ID).astype("<u4")
-                    rows += [(doc, a, min(sequence, len(ids) - a), len(ids), ids[a : a + sequence].tobytes()) for a in range(0, len(ids), sequence)]
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64()] * 4 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+                ids = [np.append(x, CLOSING_ID).astype("<u4") for x in encode(batch.column("text"))]
+                tokens = np.array([len(x) for x in ids], dtype=np.int64)
+                pieces = -(-tokens // sequence)
+                owner = np.repeat(np.arange(len(ids)), pieces)
+                starts = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * sequence
+                lengths = np.minimum(sequence, tokens[owner] - starts)
+                bounds = np.concatenate([[0], np.cumsum(4 * lengths)]).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(bounds), pa.py_buffer(np.concatenate(ids).tobytes())])
+                columns = [batch.column("doc_id").take(pa.array(owner)), pa.array(starts), pa.array(lengths), pa.array(tokens[owner]), binary, pa.array(np.arange(len(owner), dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "ids", "piece_salt"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
@@ -63,6 +65,7 @@ class Patterns:
         order = np.argsort(-lengths)
         self.lengths, self.demand, self.sequence = lengths[order].astype(np.int64), demand[order].astype(np.int64), sequence
         self.patterns: list[tuple[dict[int, int], int]] = []  # index of length -> pieces, and how often
+        self.bound, self.pivots = 0.0, 0  # no packing has fewer sequences than the bound
         if len(lengths):
             self._solve()
 
@@ -170,9 +173,7 @@ class Patterns:
             if (n := min(most, int((left[used] // a).min()))) and (n == most or whole[k]):
                 left[used] -= n * a
                 patterns.append(({int(j): int(c) for j, c in zip(used, a, strict=True)}, n))
-        rounded = patterns + self._fill(left)
-        filled = self._fill(self.demand.copy()) if self.demand.sum() <= FEW else rounded
-        self.patterns = min(rounded, filled, key=lambda x: sum(n for _, n in x))
+        self.patterns = patterns + self._fill(left)
 
     def _fill(self, left: np.ndarray) -> list[tuple[dict[int, int], int]]:
         """One sequence after another: the longest piece left, and the subset of the others that fills it best."""
@@ -216,13 +217,16 @@ class Patterns:
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """Add sequence_id, offset, sequence_tokens and padded_length to stored pieces (doc_id, start, length, ...).
 
-    A sequence is padded to ``sequence``; one whose tokens are a power of two stays as it is.
+    A sequence is padded to ``sequence``; one whose tokens are a power of two stays as it is. ``all_sequences`` says how
+    many there are, and ``least_sequences`` what the linear program proves that any packing needs.
     """
-    keyed = pieces.withColumn("_order", F.xxhash64("doc_id", "start")).withColumn("_bucket", F.pmod("_order", F.lit(BUCKETS)).cast("int"))
+    # all columns, the salt among them: pieces that repeat an id or a whole row do not meet in one bucket
+    keyed = pieces.withColumn("_order", F.xxhash64(*pieces.columns)).withColumn("_bucket", F.pmod("_order", F.lit(BUCKETS)).cast("int"))
     counts = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
     histogram = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most `sequence` rows
     lengths, demand = (np.array([r[k] for r in histogram], dtype=np.int64) for k in ("length", "n"))
-    places = Patterns(lengths, demand, sequence).places()
+    solved = Patterns(lengths, demand, sequence)
+    places = solved.places()
     widest = 1 << 48
 
     @F.pandas_udf("sequence_id long, offset long, sequence_tokens long")
@@ -247,9 +251,11 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     tokens = F.col("_place.sequence_tokens")
     power = tokens.bitwiseAND(tokens - 1) == 0
     return placed.select(
-        *pieces.columns,
+        *[c for c in pieces.columns if c != "piece_salt"],
         "_place.sequence_id",
         "_place.offset",
         tokens.alias("sequence_tokens"),
         F.when(power, tokens).otherwise(F.lit(sequence)).cast("long").alias("padded_length"),
+        F.lit(sum(n for _, n in solved.patterns)).cast("long").alias("all_sequences"),
+        F.lit(math.ceil(solved.bound - 1e-6)).cast("long").alias("least_sequences"),
     )

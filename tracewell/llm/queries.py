@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = packing.cut_documents(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    pieces = packing.cut_documents(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "piece_salt")
     return packing.pack(Scratch(spark, "op1").save(pieces, "pieces"))
 
 
@@ -80,10 +80,9 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    measured = Scratch(spark, "op9").save(
-        mixing.with_size_and_rank(docs).select("doc_id", "source", "mix_size", "mix_u"), "measured"
-    )
-    return mixing.mix(measured).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
+    scratch = Scratch(spark, "op9")
+    measured = scratch.save(mixing.with_size_and_rank(docs).select("doc_id", "source", "mix_size", "mix_u"), "documents")
+    return mixing.mix(measured, scratch).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
