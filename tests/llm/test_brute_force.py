@@ -198,10 +198,10 @@ def squared(rows, centre, scatter):
 
 def mcd(rows):
     """Reweighted minimum-covariance-determinant estimate of one group by numpy: its rows in reach, centre and covariance."""
-    d, floors = rows.shape[1], 1000 * np.array(list(quality.FLOOR.values()))
+    d, floors = rows.shape[1], quality.UNIT * np.array(list(quality.FLOOR.values()))
     floor = np.diag(floors**2)
-    median = np.array([reached(rows[:, i] >> 3, 0.5) * 8 + 4.0 for i in range(d)])
-    width = np.sqrt(np.array([1.4826 * 8 * reached(np.abs(rows[:, i] - median[i]).astype(int) >> 3, 0.5) for i in range(d)]) ** 2 + floors**2)
+    median = np.array([float(reached(rows[:, i], 0.5)) for i in range(d)])
+    width = np.sqrt(np.array([1.4826 * reached(np.abs(rows[:, i] - median[i]), 0.5) for i in range(d)]) ** 2 + floors**2)
     z = (rows - median) / width
     starts = [(median, np.diag(width**2))]
     for shape in (np.tanh(z), z / np.sqrt((z * z).sum(axis=1) + 1e-12)[:, None]):
@@ -256,7 +256,7 @@ def test_quality_distances(spark):
     measured = scratch.save(quality.with_statistics(docs).drop("text"), "measured")
     names = list(quality._vector())
     passed = measured.where(~quality.base_failed())
-    rows = passed.select("doc_id", "lang", "source", *[quality.F.round(1000 * v).cast("long").alias(k) for k, v in quality._vector().items()]).toPandas()
+    rows = passed.select("doc_id", "lang", "source", *[quality.F.round(quality.UNIT * v).cast("long").alias(k) for k, v in quality._vector().items()]).toPandas()
     whole = mcd(rows[names].to_numpy())
     expected = {}
     for _, of_lang in rows.groupby("lang", dropna=False):

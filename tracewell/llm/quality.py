@@ -2,7 +2,7 @@ r"""Quality rules: robust multivariate outliers, with DataFrame functions only.
 
 Fixed rules first: a document fails with fewer than ``MIN_WORDS`` words or with more than 30 of 100 words in
 repeated eight-word windows. The others are judged by their statistics, each transformed to a bounded scale
-and rounded to thousandths so that sums do not depend on the order of rows.
+and rounded to hundredths: equal rows then count as one, and sums do not depend on the order of rows.
 
 For each language and source, each language and all rows a minimum-covariance-determinant estimate is made: four
 starts (scales of median deviations alone, hyperbolic tangents, spatial signs, a hashed quarter of the rows) take two
@@ -15,7 +15,7 @@ a language and source to its language's, by the weight of ``PRIOR`` rows; so gro
 few rows mostly by their language, many by themselves. Rows beyond the ``TAIL`` quantile of chi-squared are rejected.
 
 All texts are read in one pass without a shuffle: windows, lines and counts stay inside the row. Steps after
-that read a narrow table. Quantiles come from counts by bin (bins of the logarithm for distances, without a largest
+that read the distinct vectors. Quantiles come from counts by bin (bins of the logarithm for distances, without a largest
 one); tables of a row per group are broadcast up to ``GROUPS`` rows and joined by a shuffle beyond.
 
 Defined results: a null text has no words and fails; null language or source are values of their own; rows
@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm.joins import within_bound
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 20
@@ -44,8 +43,8 @@ TAIL = 1e-9
 PRIOR = 50
 #: A log determinant that falls by less has stopped.
 FALL = 1e-3
-#: Medians are found to within 8 thousandths.
-START_SHIFT = 3
+#: Steps to a unit of the transformed statistics.
+UNIT = 100
 GROUPS = 100_000
 EVERYTHING = 0
 #: Standard deviations added to each statistic's own, in its unit.
@@ -123,39 +122,48 @@ def _vector(s: str = "stats") -> dict[str, Column]:
     }
 
 
-def _moments(rows: DataFrame, keys: list[str], d: int, floors: list[float]) -> DataFrame:
-    """Rows, mean and lower Cholesky factor of the floored covariance of x0, x1, ... for each key, and the log determinant.
+def _pairs(d: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(d) for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, keys: list[str], floors: list[float]) -> DataFrame:
+    """For each key: rows, mean m0, ... and floored covariance c0_0, ... of x0, ..., each row counted ``copies`` times.
 
     The xs are whole numbers, so their sums do not depend on the order of rows.
     """
-    sums = [F.sum(f"x{i}").cast("double").alias(f"s{i}") for i in range(d)]
-    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).cast("double").alias(f"p{i}_{j}") for i in range(d) for j in range(i + 1)]
-    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums, *products)
-    scatter = {(i, j): F.col(f"p{i}_{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("n") * F.col("n")) for i in range(d) for j in range(i + 1)}
-    scatter = {(i, j): F.greatest(v, F.lit(0.0)) + F.lit(floors[i] ** 2) if i == j else v for (i, j), v in scatter.items()}
-    found = found.select(*keys, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(d)], *[v.alias(f"c{i}_{j}") for (i, j), v in scatter.items()])
-    return _factored(found, d)
-
-
-def _factored(found: DataFrame, d: int) -> DataFrame:
-    """Covariances c to their lower Cholesky factor l, and the log determinant."""
-    kept = [c for c in found.columns if not (c[0] == "c" and c[1].isdigit())]
-    for i in range(d):
-        for j in range(i + 1):
-            known = sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-            rest = F.col(f"c{i}_{j}") - known
-            found = found.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}_{j}"))
-    factors = [f"l{i}_{j}" for i in range(d) for j in range(i + 1)]
-    return found.select(*kept, *factors, sum((2 * F.log(f"l{i}_{i}") for i in range(d)), F.lit(0.0)).alias("logdet"))
+    d = len(floors)
+    sums = [F.sum(F.col("copies") * F.col(f"x{i}")).cast("double").alias(f"s{i}") for i in range(d)]
+    products = [F.sum(F.col("copies") * F.col(f"x{i}") * F.col(f"x{j}")).cast("double").alias(f"p{i}_{j}") for i, j in _pairs(d)]
+    found = rows.groupBy(*keys).agg(F.sum("copies").alias("n"), *sums, *products)
+    scatter = {(i, j): F.col(f"p{i}_{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("n") * F.col("n")) for i, j in _pairs(d)}
+    cells = [(F.greatest(v, F.lit(0.0)) + F.lit(floors[i] ** 2) if i == j else v).alias(f"c{i}_{j}") for (i, j), v in scatter.items()]
+    return found.select(*keys, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(d)], *cells)
+
+
+def _inverted(found: DataFrame, d: int) -> DataFrame:
+    """Add the inverse p0_0, ... of the covariance and its log determinant, by sweeping each of its rows."""
+    cell = lambda i, j: F.col(f"c{max(i, j)}_{min(i, j)}")
+    start = F.struct(F.array(*[cell(i, j) for i in range(d) for j in range(d)]).alias("a"), F.lit(0.0).alias("logdet"))
+
+    def sweep(state: Column, k: Column) -> Column:
+        a = state["a"]
+        at = lambda i, j: F.get(a, i * d + j)
+        pivot = F.greatest(at(k, k), F.lit(1e-6))
+
+        def swept(_: Column, place: Column) -> Column:
+            i, j = F.floor(place / d).cast("int"), F.pmod(place, F.lit(d))
+            return F.when((i == k) & (j == k), -1 / pivot).when((i == k) | (j == k), F.get(a, place) / pivot).otherwise(F.get(a, place) - at(i, k) * at(k, j) / pivot)
+
+        return F.struct(F.transform(a, swept).alias("a"), (state["logdet"] + F.log(pivot)).alias("logdet"))
+
+    done = found.withColumn("swept", F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), start, sweep))
+    return done.select(*found.columns, *[(-F.col("swept.a")[i * d + j]).alias(f"p{i}_{j}") for i, j in _pairs(d)], F.col("swept.logdet").alias("logdet"))
 
 
 def _distance(d: int) -> Column:
-    """Squared Mahalanobis distance of x to m and l, by forward substitution."""
-    whitened: list[Column] = []
-    for i in range(d):
-        rest = F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}_{k}") * whitened[k] for k in range(i)), F.lit(0.0))
-        whitened.append(rest / F.col(f"l{i}_{i}"))
-    return sum((z * z for z in whitened), F.lit(0.0))
+    """Squared Mahalanobis distance of x to the centre m by the inverse covariance p."""
+    off = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(d)]
+    return sum((F.lit(1.0 if i == j else 2.0) * F.col(f"p{i}_{j}") * off[i] * off[j] for i, j in _pairs(d)), F.lit(0.0))
 
 
 def _quantiles(rows: DataFrame, keys: list[str], bins: list[Column], share: float) -> DataFrame:
@@ -163,8 +171,8 @@ def _quantiles(rows: DataFrame, keys: list[str], bins: list[Column], share: floa
 
     Rows are counted by bin first, so what meets in one task for a key is its bins and not its rows.
     """
-    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("of"), v.cast("int").alias("bin")) for i, v in enumerate(bins)])).alias("b"))
-    counts = long.groupBy(*keys, "b.of", "b.bin").agg(F.count("*").alias("n"))
+    long = rows.select(*keys, "copies", F.explode(F.array(*[F.struct(F.lit(i).alias("of"), v.cast("int").alias("bin")) for i, v in enumerate(bins)])).alias("b"))
+    counts = long.groupBy(*keys, "b.of", "b.bin").agg(F.sum("copies").alias("n"))
     held = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("of", "bin", "n"))).alias("held"))
 
     def reached(i: int) -> Column:
@@ -195,102 +203,119 @@ def consistency(share: float, d: int) -> float:
     return share / (1 - chi_squared_tail(chi_squared_quantile(1 - share, d), d + 2))
 
 
-def _starts(each: DataFrame, d: int, floors: list[float]) -> DataFrame:
-    """Four first estimates a group, by start: scales alone, hyperbolic tangents, spatial signs, and a hashed quarter of the rows."""
-    bin_of = lambda x: F.shiftright(x, START_SHIFT)
-    centre = _quantiles(each, ["group"], [bin_of(F.col(f"x{i}")) for i in range(d)], 0.5)
-    centre = centre.select("group", *[(F.shiftleft(F.col(f"q{i}").cast("long"), START_SHIFT) + (1 << START_SHIFT) // 2).cast("double").alias(f"m{i}") for i in range(d)])
-    off = [F.abs(F.col(f"x{i}") - F.col(f"m{i}")).cast("long") for i in range(d)]
-    spread = _quantiles(each.join(centre, "group"), ["group"], [bin_of(v) for v in off], 0.5)
-    widths = [F.sqrt(F.pow(1.4826 * F.shiftleft(F.col(f"q{i}").cast("long"), START_SHIFT), 2) + F.lit(floors[i] ** 2)).alias(f"w{i}") for i in range(d)]
-    return centre.join(spread, "group").select("group", *[f"m{i}" for i in range(d)], *widths)
-
-
-def _first_estimates(each: DataFrame, scales: DataFrame, d: int, floors: list[float]) -> DataFrame:
-    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"w{i}") for i in range(d)]
-    length = F.sqrt(sum((v * v for v in z), F.lit(1e-12)))
-    whole = lambda v: F.round(1000 * v).cast("long")
-    shapes = F.array(
-        F.struct(F.lit(1).alias("start"), *[whole(F.tanh(v)).alias(f"x{i}") for i, v in enumerate(z)]),
-        F.struct(F.lit(2).alias("start"), *[whole(v / length).alias(f"x{i}") for i, v in enumerate(z)]),
-    )
-    shaped = each.join(scales, "group").select("group", F.explode(shapes).alias("s")).select("group", "s.*")
-    # shapes in units of the scales: the factor's rows times the scales give the factor in units of x
-    found = _moments(shaped, ["group", "start"], d, [100.0] * d).drop("n", "logdet", *[f"m{i}" for i in range(d)]).join(scales, "group")
-    unit = ["start", *[f"m{i}" for i in range(d)]]
-    turned = found.select("group", *unit, *[(F.col(f"l{i}_{j}") * F.col(f"w{i}") / 1000).alias(f"l{i}_{j}") for i in range(d) for j in range(i + 1)])
-    plain = scales.withColumn("start", F.lit(0)).select("group", *unit, *[(F.col(f"w{i}") if i == j else F.lit(0.0)).alias(f"l{i}_{j}") for i in range(d) for j in range(i + 1)])
-    quarter = each.where(F.pmod(F.xxhash64(*[f"x{i}" for i in range(d)]), F.lit(4)) == 0)
-    drawn = _moments(quarter, ["group"], d, floors).withColumn("start", F.lit(3)).select(*plain.columns)
-    return plain.unionByName(turned).unionByName(drawn)
-
-
-def _concentrated(each: DataFrame, estimate: DataFrame, d: int, floors: list[float], scratch: Scratch, name: str) -> DataFrame:
-    """One concentration step: mean and covariance of the ``KEPT_SHARE`` of rows that are nearest by the estimate."""
-    # bins of the logarithm, so there is no largest one: 16 to a doubling of the squared distance
-    near = each.join(within_bound(estimate.drop("n", "logdet"), GROUPS), "group").withColumn("bin", F.floor(F.log2(_distance(d) + 2.0**-10) * 16).cast("int"))
-    edges = scratch.save(_quantiles(near.select("group", "start", "bin"), ["group", "start"], [F.col("bin")], KEPT_SHARE), f"{name}_edges")
-    kept = near.select("group", "start", "bin", *[f"x{i}" for i in range(d)]).join(within_bound(edges, GROUPS), ["group", "start"]).where("bin <= q0")
-    return scratch.save(_moments(kept, ["group", "start"], d, floors), name)
-
-
-def _shrunk(own: DataFrame, wider: DataFrame, by: str, d: int) -> DataFrame:
-    """Centre and covariance of ``own`` drawn to those of the wider group, by the weight of ``PRIOR`` rows."""
-    names = [f"m{i}" for i in range(d)] + [f"c{i}_{j}" for i in range(d) for j in range(i + 1)]
-    wide = wider.select(F.col("group").alias(by), *[F.col(c).alias(f"wide_{c}") for c in names])
-    weight = F.col("n") / (F.col("n") + F.lit(float(PRIOR)))
-    mixed = [(weight * F.col(c) + (1 - weight) * F.col(f"wide_{c}")).alias(c) for c in names]
-    return own.join(wide, by).select(*[c for c in own.columns if c not in names], *mixed)
-
-
-def estimates(vectors: DataFrame, d: int, floors: list[float], scratch: Scratch) -> DataFrame:
-    """Centre and factor for each language and source, of stored rows (lang_group, group, x0, x1, ...)."""
-    xs = [f"x{i}" for i in range(d)]
-    levels = F.array(F.col("group"), F.col("lang_group"), F.lit(EVERYTHING))
-    each = vectors.select(F.explode(levels).alias("group"), *xs)
-    scales = within_bound(scratch.save(_starts(each, d, floors), "scales"), GROUPS)
-    estimate = scratch.save(_first_estimates(each, scales, d, floors), "start")
-    for step in (1, 2):
-        estimate = _concentrated(each, estimate, d, floors, scratch, f"try{step}")
-    best = estimate.groupBy("group").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    estimate, step, falling = scratch.save(estimate.join(best, ["group", "start"]), "best"), 0, True
-    while falling:
-        step += 1
-        later = _concentrated(each, estimate, d, floors, scratch, f"step{step}")
-        least = later.select(F.lit(1).alias("turn"), *estimate.columns).unionByName(estimate.select(F.lit(0).alias("turn"), *estimate.columns))
-        both = least.groupBy("group").agg(
-            F.min_by(F.struct(*estimate.columns[1:]), F.struct("logdet", "turn")).alias("e"),
-            (F.max(F.when(F.col("turn") == 0, F.col("logdet"))) - F.min("logdet")).alias("fall"),
+class Determinants:
+    """Minimum-covariance-determinant estimates of stored rows (lang_group, group, copies, x0, x1, ...)."""
+
+    def __init__(self, vectors: DataFrame, floors: list[float], scratch: Scratch):
+        self.d, self.floors, self.scratch, self.vectors = len(floors), floors, scratch, vectors
+        self.xs = [f"x{i}" for i in range(self.d)]
+        levels = F.array(F.col("group"), F.col("lang_group"), F.lit(EVERYTHING))
+        self.each = vectors.select(F.explode(levels).alias("group"), "copies", *self.xs)
+        self.groups = scratch.save(vectors.select("group", "lang_group").distinct(), "groups")
+        self.few = self.groups.count() <= GROUPS
+
+    def small(self, rows: DataFrame) -> DataFrame:
+        """A table of a few rows per group: broadcast where groups are few, else joined by a shuffle."""
+        return F.broadcast(rows) if self.few else rows
+
+    def scales(self) -> DataFrame:
+        """Median m and width w (from the median deviation) of each x."""
+        centre = _quantiles(self.each, ["group"], [F.col(x) for x in self.xs], 0.5)
+        centre = self.scratch.save(centre.select("group", *[F.col(f"q{i}").cast("double").alias(f"m{i}") for i in range(self.d)]), "centre")
+        off = [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(self.d)]
+        spread = _quantiles(self.each.join(self.small(centre), "group"), ["group"], off, 0.5)
+        widths = [F.sqrt(F.pow(1.4826 * F.col(f"q{i}"), F.lit(2)) + F.lit(f**2)).alias(f"w{i}") for i, f in enumerate(self.floors)]
+        spread = spread.select("group", *widths)
+        return self.scratch.save(centre.join(self.small(spread), "group"), "scales")
+
+    def starts(self) -> DataFrame:
+        """Four first estimates a group, by start: scales alone, hyperbolic tangents, spatial signs, and a hashed quarter of the rows."""
+        d, scales = self.d, self.scales()
+        z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"w{i}") for i in range(d)]
+        whole = lambda v: F.round(1000 * v).cast("long")
+        placed = self.each.join(self.small(scales), "group").select("group", "copies", *[v.alias(f"z{i}") for i, v in enumerate(z)])
+        length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(d)), F.lit(1e-12)))
+        shapes = F.array(
+            F.struct(F.lit(1).alias("start"), *[whole(F.tanh(f"z{i}")).alias(f"x{i}") for i in range(d)]),
+            F.struct(F.lit(2).alias("start"), *[whole(F.col(f"z{i}") / length).alias(f"x{i}") for i in range(d)]),
         )
-        both = scratch.save(both.select("group", "e.*", "fall"), f"least{step}")
-        falling = (both.agg(F.max("fall")).first()[0] or 0) > FALL
-        estimate = both.drop("fall")
-    # consistency at the normal, then one reweighted estimate from all rows that are not far out
-    raw, edge = consistency(KEPT_SHARE, d), chi_squared_quantile(REWEIGHT_TAIL, d)
-    near = each.join(within_bound(estimate.drop("n", "logdet", "start"), GROUPS), "group").where(_distance(d) <= F.lit(raw * edge))
-    wide = scratch.save(_moments(near.select("group", *xs), ["group"], d, floors), "reweighted")
-    factor = consistency(1 - REWEIGHT_TAIL, d)
-    cells = [(F.lit(factor) * sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j + 1)), F.lit(0.0))).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)]
-    wide = wide.select("group", "n", *[f"m{i}" for i in range(d)], *cells)
-    # a group without a row in reach has no estimate of its own and takes the wider one
-    known = vectors.select("group", "lang_group").distinct().join(wide, "group", "left").fillna(0.0).fillna(0, ["n"])
-    langs = vectors.select(F.col("lang_group").alias("group"), F.lit(EVERYTHING).alias("every")).distinct().join(wide, "group", "left").fillna(0.0).fillna(0, ["n"])
-    lang = _shrunk(langs, wide.where(F.col("group") == EVERYTHING), "every", d)
-    return scratch.save(_factored(_shrunk(known, lang, "lang_group", d).drop("n", "lang_group"), d).drop("logdet"), "estimates")
+        shaped = placed.select("group", "copies", F.explode(shapes).alias("s")).select("group", "copies", "s.*")
+        # shapes are in thousandths of the widths: the widths turn their inverse into units of x
+        found = _inverted(_moments(shaped, ["group", "start"], [100.0] * d).drop("n", *[f"m{i}" for i in range(d)]), d).join(self.small(scales), "group")
+        unit = ["group", "start", *[f"m{i}" for i in range(d)]]
+        turned = found.select(*unit, *[(F.col(f"p{i}_{j}") * 1e6 / (F.col(f"w{i}") * F.col(f"w{j}"))).alias(f"p{i}_{j}") for i, j in _pairs(d)])
+        plain = scales.withColumn("start", F.lit(0)).select(*unit, *[(1 / (F.col(f"w{i}") * F.col(f"w{i}")) if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in _pairs(d)])
+        quarter = self.each.where(F.pmod(F.xxhash64(*self.xs), F.lit(4)) == 0)
+        drawn = _inverted(_moments(quarter, ["group"], self.floors), d).withColumn("start", F.lit(3)).select(*plain.columns)
+        return self.scratch.save(plain.unionByName(turned).unionByName(drawn), "start")
+
+    def concentrated(self, estimate: DataFrame, name: str) -> DataFrame:
+        """One concentration step: mean and covariance of the ``KEPT_SHARE`` of rows that are nearest by the estimate."""
+        known = ["group", "start", *[f"m{i}" for i in range(self.d)], *[f"p{i}_{j}" for i, j in _pairs(self.d)]]
+        near = self.each.join(self.small(estimate.select(*known)), "group")
+        # bins of the logarithm, so there is no largest one: 16 to a doubling of the squared distance
+        near = near.select("group", "start", "copies", *self.xs, F.floor(F.log2(_distance(self.d) + 2.0**-10) * 16).cast("int").alias("bin"))
+        edges = self.scratch.save(_quantiles(near, ["group", "start"], [F.col("bin")], KEPT_SHARE), f"{name}_edges")
+        kept = near.join(self.small(edges), ["group", "start"]).where("bin <= q0")
+        return self.scratch.save(_inverted(_moments(kept, ["group", "start"], self.floors), self.d), name)
+
+    def least(self) -> DataFrame:
+        """The estimate of the least determinant for each group."""
+        estimate = self.starts()
+        for step in (1, 2):
+            estimate = self.concentrated(estimate, f"try{step}")
+        best = estimate.groupBy("group").agg(F.min_by(F.struct(*estimate.columns[1:]), F.struct("logdet", "start")).alias("e"))
+        estimate, step, falling = self.scratch.save(best.select("group", "e.*"), "best"), 0, True
+        while falling:
+            step += 1
+            later = self.concentrated(estimate, f"step{step}")
+            turns = later.withColumn("turn", F.lit(1)).unionByName(estimate.withColumn("turn", F.lit(0)))
+            both = turns.groupBy("group").agg(
+                F.min_by(F.struct(*estimate.columns[1:]), F.struct("logdet", "turn")).alias("e"),
+                (F.max(F.when(F.col("turn") == 0, F.col("logdet"))) - F.min("logdet")).alias("fall"),
+            )
+            both = self.scratch.save(both.select("group", "e.*", "fall"), f"least{step}")
+            falling = (both.agg(F.max("fall")).first()[0] or 0) > FALL
+            estimate = both.drop("fall")
+        return estimate
+
+    def final(self) -> DataFrame:
+        """Centre m and inverse p for each language and source: consistent, reweighted and drawn to the wider groups."""
+        d = self.d
+        reach = consistency(KEPT_SHARE, d) * chi_squared_quantile(REWEIGHT_TAIL, d)
+        near = self.each.join(self.small(self.least().drop("n", "start", "logdet")), "group").where(_distance(d) <= F.lit(reach))
+        wide = _moments(near, ["group"], self.floors)
+        factor = F.lit(consistency(1 - REWEIGHT_TAIL, d))
+        cells = [f"c{i}_{j}" for i, j in _pairs(d)]
+        wide = self.scratch.save(wide.select("group", "n", *[f"m{i}" for i in range(d)], *[(factor * F.col(c)).alias(c) for c in cells]), "reweighted")
+        # a group without a row in reach has no estimate of its own and takes the wider one
+        langs = self.groups.select(F.col("lang_group").alias("group"), F.lit(EVERYTHING).alias("lang_group")).distinct()
+        lang = self.drawn(langs, wide, wide.where(F.col("group") == EVERYTHING))
+        own = self.drawn(self.groups, wide, self.scratch.save(lang, "languages"))
+        return self.scratch.save(_inverted(own, d).drop("logdet", *cells), "estimates")
+
+    def drawn(self, groups: DataFrame, own: DataFrame, wider: DataFrame) -> DataFrame:
+        """Centre and covariance of each group, drawn to those of the wider group by the weight of ``PRIOR`` rows."""
+        names = [f"m{i}" for i in range(self.d)] + [f"c{i}_{j}" for i, j in _pairs(self.d)]
+        wide = wider.select(F.col("group").alias("lang_group"), *[F.col(c).alias(f"wide_{c}") for c in names])
+        known = groups.join(self.small(own), "group", "left").join(self.small(wide), "lang_group")
+        n = F.coalesce("n", F.lit(0))
+        weight = n / (n + F.lit(float(PRIOR)))
+        return known.select("group", *[(weight * F.coalesce(c, F.lit(0.0)) + (1 - weight) * F.col(f"wide_{c}")).alias(c) for c in names])
 
 
 def judge(measured: DataFrame, scratch: Scratch) -> DataFrame:
     """Add ``distance`` (squared; null where a fixed rule failed) and ``kept`` to stored rows with stats, lang and source."""
     vector = _vector()
-    d, floors = len(vector), [1000 * FLOOR[k] for k in vector]
+    d, floors = len(vector), [UNIT * FLOOR[k] for k in vector]
     columns = [F.col(f"`{c}`") for c in measured.columns]
-    xs = [F.round(1000 * v).cast("long").alias(f"x{i}") for i, v in enumerate(vector.values())]
+    xs = [F.round(UNIT * v).cast("long").alias(f"x{i}") for i, v in enumerate(vector.values())]
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in ("lang", "source"))
     keys = [F.xxhash64(F.lit("lang"), lang).alias("lang_group"), F.xxhash64(F.lit("source"), lang, source).alias("group")]
     passed = measured.where(~base_failed())
-    found = estimates(scratch.save(passed.select(*keys, *xs), "vectors"), d, floors, scratch)
-    measures = F.struct(keys[1], *xs).alias("_own")
-    judged = passed.select(F.struct(*columns).alias("_row"), measures).select("_row", "_own.*").join(within_bound(found, GROUPS), "group")
+    placed = passed.select(*keys, *xs)
+    model = Determinants(scratch.save(placed.groupBy(*placed.columns).agg(F.count("*").alias("copies")), "vectors"), floors, scratch)
+    judged = passed.select(F.struct(*columns).alias("_row"), F.struct(keys[1], *xs).alias("_own")).select("_row", "_own.*").join(model.small(model.final()), "group")
     judged = judged.select("_row.*", _distance(d).alias("distance"))
     failed = measured.where(base_failed()).select(*columns, F.lit(None).cast("double").alias("distance"))
     return judged.unionByName(failed).withColumn("kept", F.coalesce(F.col("distance") <= F.lit(chi_squared_quantile(TAIL, d)), F.lit(False)))
