@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Arabic marks to strip, letters to fold, and the requirement id form.
+#: Arabic marks to strip, letters to fold, requirement ids, and what may stand before one that opens a text.
 ARABIC_MARKS = "[ً-ْٰـ]"
 ARABIC_FROM, ARABIC_TO = "أإآٱىة", "اااايه"
-REQUIREMENT_ID = r"\b([A-Z]{2,6})[-_ ](\d+(?:\.\d+)*)\b"
-REQUIREMENT_HEAD = 160
+ID_FORM = r"(?:FR|NFR|BR|UR|SR|REQ|US|SYS|DR|FN)[-_ ]?\d+(?:\.\d+)*[a-z]?|UC-[A-Z0-9]+(?:-[A-Z0-9]+)*"
+REQUIREMENT_ID = rf"\b({ID_FORM})\b"
+REQUIREMENT_HEAD, LIST_HEAD = 160, 40
+OPENING_MARKS = r"(?:\*\*|\|\s*|[-*•]\s+|\(?\d{1,3}[.)]\s+)*"
+OPENING_LABELS = (
+    r"(?:(?i:(?:requirement|req\.?|user\s+story|story|use\s+case|feature)\s*(?:id|no\.?|number|#|code)?|(?:id|no\.?|number|#|code))"
+    r"|الرقم التعريفي|رقم المتطلب|رقم حالة الاستخدام|المعرف|الرمز)?"
+)
+OPENING_ID = rf"^\s*{OPENING_MARKS}{OPENING_LABELS}\s*[:|#.\-–—]?\s*(?:\*\*)?\s*({ID_FORM})\b"
+AFTER_OPENING = r"^(?:\s*(?:[:|–—)\-.]|\*\*)|\s+[^\sa-z])"
+ARABIC_WORD = "[\u0621-\u064a]{3,}"
+VISUAL_ORDER = "^[\u0621-\u064a]+لا$|^اال[\u0621-\u064a]|^امل[\u0621-\u064a]"
+VISUAL_ORDER_LIMIT, RTL_SHARE = 0.05, 0.3
+ABSTAIN = "The BRDs do not specify this."
 WORD = r"[\p{L}\p{N}]+"
 UNIT_SEPARATOR = "\x1f"
 
@@ -50,11 +62,101 @@ def slug(text: Column, length: int = 80, otherwise: str = "brd") -> Column:
     return F.when(F.length(cut) > 0, cut).otherwise(otherwise)
 
 
+def _written(found: Column) -> Column:
+    """An id as it is kept: blanks and underscores are hyphens; null where nothing was found."""
+    return F.when(F.length(found) > 0, F.regexp_replace(found, "[_ ]", "-"))
+
+
 def requirement_id(text: Column) -> Column:
-    """The first requirement id in the head of a text, joined by a hyphen; null if none."""
-    head = F.substring(text, 1, REQUIREMENT_HEAD)
-    prefix, number = F.regexp_extract(head, REQUIREMENT_ID, 1), F.regexp_extract(head, REQUIREMENT_ID, 2)
-    return F.when(F.length(prefix) > 0, F.concat(prefix, F.lit("-"), number))
+    """The first requirement id in the head of a text; null if none."""
+    return _written(F.regexp_extract(F.substring(text, 1, REQUIREMENT_HEAD), REQUIREMENT_ID, 1))
+
+
+def opening_id(text: Column) -> Column:
+    """The id that a text opens with, so that the text is that requirement; null where it only mentions one or lists several."""
+    line = F.substring_index(F.trim(F.regexp_replace(text, r"^\s+", "")), "\n", 1)
+    rest = F.substr(line, F.length(F.regexp_extract(line, OPENING_ID, 0)) + 1)
+    goes_on = (F.length(F.trim(rest)) > 0) & ~F.rlike(rest, F.lit(AFTER_OPENING))
+    listed = F.rlike(F.substring(rest, 1, LIST_HEAD), F.lit(REQUIREMENT_ID))
+    return F.when(~goes_on & ~listed, _written(F.regexp_extract(line, OPENING_ID, 1)))
+
+
+def heading_id(heading: Column) -> Column:
+    """The only id of a heading; null where it names none or several (a group)."""
+    ids = F.array_distinct(F.transform(F.regexp_extract_all(heading, F.lit(REQUIREMENT_ID), F.lit(1)), lambda i: F.regexp_replace(i, "[_ ]", "-")))
+    return F.when(F.size(ids) == 1, F.coalesce(opening_id(heading), F.get(ids, F.lit(0))))
+
+
+def text_lines(text: Column) -> Column:
+    """Lines that are not blank."""
+    return F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: F.length(F.trim(x)) > 0)
+
+
+def looks_table(text: Column) -> Column:
+    """Two lines or more, of which at least two and six of ten have a pipe."""
+    lines = text_lines(text)
+    piped = F.size(F.filter(lines, lambda x: x.contains("|")))
+    return (F.size(lines) >= 2) & (piped >= 2) & (piped >= F.size(lines) * 0.6)
+
+
+def row_text(text: Column) -> Column:
+    """The data row where a text is a table row under its header (two piped lines, and they are the last), else the text."""
+    lines = text_lines(text)
+    piped = F.transform(lines, lambda x: x.contains("|"))
+    two = (F.size(F.filter(piped, lambda x: x)) == 2) & F.coalesce(F.get(piped, F.size(lines) - 1) & F.get(piped, F.size(lines) - 2), F.lit(False))
+    return F.when(two, F.element_at(lines, -1)).otherwise(F.coalesce(text, F.lit("")))
+
+
+def word_set(text: Column) -> Column:
+    """Distinct folded words of letters, digits and underscores, of two characters or more."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(normalize(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.length(w) >= 2))
+
+
+def table_pieces(text: Column) -> Column:
+    """A table's data rows, each under what stands before the table and its header; the text itself where it has no data row."""
+    lines = text_lines(text)
+    at = F.array_position(F.transform(lines, lambda x: x.contains("|")), F.lit(True))
+    divides = lambda x: F.rlike(F.trim(F.translate(x, "|:", "")), F.lit("^[- ]+$"))
+    data = F.filter(F.slice(lines, at.cast("int") + 1, F.greatest(F.size(lines), F.lit(1))), lambda x: ~divides(x))
+    prefix = F.array_join(F.slice(lines, F.lit(1), at.cast("int")), "\n")
+    return F.when((at > 0) & (F.size(data) > 0), F.transform(data, lambda row: F.concat(prefix, F.lit("\n"), row))).otherwise(F.array(text))
+
+
+def join_path(*parts: Column) -> Column:
+    """Segments of all parts joined by " / ", without empty ones and without one that repeats the one before; null if none."""
+    pieces = F.flatten(F.array(*[F.split(F.coalesce(p, F.lit("")), " / ") for p in parts]))
+    kept = F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    return F.nullif(F.array_join(F.filter(kept, lambda x, i: (i == 0) | (x != F.get(kept, i - 1))), " / "), F.lit(""))
+
+
+def paragraph_spaces(text: Column) -> Column:
+    """Control characters dropped, runs of blanks as one, none beside line ends, at most one blank line in a row."""
+    plain = F.regexp_replace(F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", ""), "\r\n?", "\n")
+    plain = F.regexp_replace(F.regexp_replace(plain, "[ \\t]+", " "), "[ \\t]*\n[ \\t]*", "\n")
+    return F.regexp_replace(F.regexp_replace(plain, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def cache_key(namespace: str, parts: Column) -> Column:
+    """Content hash of a namespace and its inputs as JSON."""
+    return F.sha2(F.concat(F.lit(namespace), F.lit("\0"), F.to_json(parts)), 256)
+
+
+def line_fingerprint(line: Column) -> Column:
+    """What lines share that differ in numbers, case and spaces alone."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, r"\d+", "#"), r"\s+", " ")))
+
+
+def title_from_filename(name: Column) -> Column:
+    """File name without folders and extension, separators as blanks, first letter raised."""
+    stem = F.regexp_replace(F.regexp_replace(name, r"^.*[/\\\\]", ""), r"\.[A-Za-z0-9]{1,5}$", "")
+    words = F.trim(F.regexp_replace(stem, r"[-_\s]+", " "))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
+
+
+def grounded(answer: Column, sources: Column) -> Column:
+    """Whether an answer abstains, or cites a source that there is."""
+    plain = F.trim(answer)
+    return (F.length(plain) == 0) | plain.contains(ABSTAIN) | (F.size(citations(plain, sources)) > 0)
 
 
 def citations(text: Column, sources: Column) -> Column:
@@ -80,7 +182,6 @@ def definition_hash(*fields: Column) -> Column:
 
 
 def visual_order_ratio(text: Column) -> Column:
-    """Share of Arabic words that end as words begin: the sign of reversed extraction."""
-    arabic = F.regexp_count(text, F.lit(r"[ء-ي]{3,}"))
-    reversed_ = F.regexp_count(text, F.lit(r"\b[ةى][ء-ي]{2,}|[ء-ي]{2,}لا\b"))
-    return F.coalesce(reversed_ / F.nullif(arabic, F.lit(0)), F.lit(0.0))
+    """Share of Arabic words that show a reversed article or a swapped lam-alef: the sign of extraction in visual order."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({ARABIC_WORD})"), F.lit(1))
+    return F.coalesce(F.size(F.filter(words, lambda w: F.rlike(w, F.lit(VISUAL_ORDER)))) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0))

@@ -34,7 +34,11 @@ def w3_latest(spark, sf_dir):
 
 
 def w4_amend(spark, sf_dir):
-    return L.amended(_events(spark, sf_dir), ["user_id", "event_type"], 86_400).select("user_id", "event_type", "event_id", "ts", "value", "amended_from", "amendments")
+    """Users as cases, sign-ups as notes; testers change by hour of the day and cycles by week."""
+    e = _events(spark, sf_dir).withColumn("kind", F.when(F.col("event_type") == "signup", "note").otherwise("status"))
+    e = e.withColumn("tester", (F.hour("ts") / 12).cast("int")).withColumn("cycle", (F.dayofmonth("ts") / 8).cast("int"))
+    found = L.amended(e, "user_id", ["tester", "cycle"], seconds=86_400)
+    return found.select("user_id", "event_id", "ts", "tester", "cycle", "kind", "status", "amended_from", "amendments")
 
 
 def w5_timeline(spark, sf_dir):
@@ -203,8 +207,9 @@ def j10_semi(spark, sf_dir):
 
 
 def j11_anti(spark, sf_dir):
-    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return customers.join(orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Parts that no large order line names."""
+    large = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").join(large, "p_partkey", "left_anti").select("p_partkey", "p_name")
 
 
 def j12_scalar(spark, sf_dir):
@@ -276,7 +281,7 @@ def u5_expectations(spark, sf_dir):
 
 def f1_normalize(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(T.normalize(F.col("text"))).alias("folded"), F.size(T.terms(F.col("text"))).alias("n_terms"))
+    return d.select("doc_id", F.md5(T.normalize(F.col("text"))).alias("folded"), F.size(T.word_set(F.col("text"))).alias("n_words"))
 
 
 def f7_slug(spark, sf_dir):
@@ -284,10 +289,15 @@ def f7_slug(spark, sf_dir):
 
 
 def f9_requirement_ids(spark, sf_dir):
-    """Ids at the head of order notes written in several forms."""
-    o = table(spark, sf_dir, "orders")
-    note = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "FR ").when(F.col("o_orderkey") % 3 == 1, "REQ-").otherwise("for "), F.col("o_orderkey").cast("string"), F.lit(" shall ship"))
-    return o.select("o_orderkey", T.requirement_id(note).alias("req_id"))
+    """Ids at the head of order notes written in several forms; some are no ids."""
+    k = F.col("o_orderkey")
+    key = k.cast("string")
+    forms = [
+        F.concat(F.lit("FR "), key), F.concat(F.lit("see REQ-"), key, F.lit(".2")), F.concat(F.lit("for "), key), F.concat(F.lit("ISO "), key),
+        F.concat(F.lit("NFR"), key, F.lit("a")), F.concat(F.lit("fr-"), key), F.concat(F.lit("UC-A"), key, F.lit("-B")), F.concat(F.repeat(F.lit("x "), 100), F.lit("FR-1")),
+    ]
+    note = F.concat(F.element_at(F.array(*forms), (k % 8 + 1).cast("int")), F.lit(" shall ship"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.requirement_id(note).alias("req_id"))
 
 
 def f17_embed_hash(spark, sf_dir):
@@ -323,7 +333,7 @@ def s6_sections(spark, sf_dir):
     """Documents as Markdown: each source a chapter, the first line a heading."""
     d = table(spark, sf_dir, "documents")
     md = F.concat(F.lit("# "), F.coalesce("source", F.lit("none")), F.lit("\n## "), F.regexp_replace("text", "\n", "\n\n"))
-    return C.per_document(d.select("doc_id", md.alias("text")), C.markdown_sections, "title string, section_path string, page int, body string").drop("body")
+    return C.per_document(d.select("doc_id", md.alias("text")), C.markdown_sections, "title string, section_path string, page int, body string")
 
 
 def st_tumbling(spark, sf_dir):
@@ -382,17 +392,20 @@ _VERSIONS = """with live as (select doc_id as idx, sha256(text) as h, upper(lang
 new as (select doc_id as idx, sha256(case when doc_id % 5 = 0 then 'Revised. ' || text else text end) as h,
           case when doc_id % 2 = 0 then upper(lang) || '-' || doc_id end as req_id from documents where doc_id % 11 <> 0)"""
 _FOLD = r"lower(translate(regexp_replace(text, '[ً-ْٰـ]', '', 'g'), 'أإآٱىة', 'اااايه'))"
-_WORDS = rf"list_distinct(list_filter(regexp_extract_all({_FOLD}, '[\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 2))"
+_WORDS = rf"list_distinct(list_filter(regexp_extract_all({_FOLD}, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2))"
 
 ORACLE = {
     "w1_lag": f"with {_E} select event_id, user_id, status, coalesce(lag(status) over (partition by user_id order by ts, event_id), 'not_tested') as previous from ev",
     "w3_latest": f"with {_E} select user_id, ts, event_id, status, tested_hash from {_LAST.format('')} where k = 1",
-    "w4_amend": """
-with g as (select *, case when epoch_us(ts) - epoch_us(lag(ts) over w) <= 86400000000 then 0 else 1 end as fresh from events window w as (partition by user_id, event_type order by ts, event_id)),
-c as (select *, sum(fresh) over (partition by user_id, event_type order by ts, event_id) as chain from g)
-select user_id, event_type, min(event_id) as event_id, min(ts) as ts, arg_max(value, (epoch_us(ts), event_id)) as value,
-       case when count(*) > 1 then arg_min(value, (epoch_us(ts), event_id)) end as amended_from, count(*) - 1 as amendments
-from c group by user_id, event_type, chain""",
+    "w4_amend": f"""with {_E},
+e as (select *, case when event_type = 'signup' then 'note' else 'status' end as kind, (hour(ts) // 12)::int as tester, (day(ts) // 8)::int as cycle from ev),
+l as (select *, lag(ts) over w as ts0, lag(kind) over w as kind0, lag(tester) over w as tester0, lag(cycle) over w as cycle0, lag(status) over w as status0
+      from e window w as (partition by user_id order by ts, event_id)),
+f as (select *, case when kind = 'status' and kind0 = 'status' and tester = tester0 and cycle = cycle0 and epoch_us(ts) - epoch_us(ts0) <= 86400000000 then 0 else 1 end as fresh from l),
+c as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as entry from f)
+select user_id, min(event_id) as event_id, min(ts) as ts, min(tester) as tester, min(cycle) as cycle, min(kind) as kind, arg_max(status, (epoch_us(ts), event_id)) as status,
+       arg_max(status0, (epoch_us(ts), event_id)) filter (fresh = 0 and status0 <> status) as amended_from, count(*) - 1 as amendments
+from c group by user_id, entry""",
     "w5_timeline": """
 select event_id, k = 1 as latest, k = 1 and epoch_us(timestamp '2024-01-30') - epoch_us(ts) <= 86400000000 as undoable
 from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events)""",
@@ -443,7 +456,7 @@ select i as live_idx, j as new_idx, round(c / (a + b - c), 6) as similarity from
 tree as (select id, name as path, 1 as depth from node where parent is null union all select n.id, t.path || ' / ' || n.name, t.depth + 1 from tree t join node n on n.parent = t.id)
 select id, path, depth from tree""",
     "j10_semi": "select o_orderpriority, count(*) as orders from orders o where exists (select 1 from lineitem where l_orderkey = o.o_orderkey and l_returnflag = 'R') group by 1",
-    "j11_anti": "select c_custkey, c_name from customer c where not exists (select 1 from orders where o_custkey = c.c_custkey)",
+    "j11_anti": "select p_partkey, p_name from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 45)",
     "j12_scalar": "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n_orders, (select max(o_orderkey) from orders where o_custkey = c_custkey) as last_order from customer",
     "j14_preference": "select p_partkey, case when p_size > 10 then p_name else upper(p_name) end as text, not (p_size > 10) as archived from part",
     "g1_filtered": """select o_orderpriority, count(*) as total, count(*) filter (o_orderstatus = 'F') as done, min(o_orderdate) as first_at, max(o_orderdate) as last_at,
@@ -458,9 +471,10 @@ select p_brand, mode_size, min(p_retailprice) as weighted_median from m join r u
     "o2_keyset": "select o_orderkey, o_custkey from orders where o_orderkey < 10000 order by o_orderkey desc limit 50",
     "u5_expectations": """select id, case when p_size > 10 then 'live' when p_size between 6 and 10 then 'archived' else 'missing' end as state
   from (select distinct l_partkey as id from lineitem) left join part on p_partkey = id""",
-    "f1_normalize": f"select doc_id, md5({_FOLD}) as folded, len({_WORDS}) as n_terms from documents",
+    "f1_normalize": f"select doc_id, md5({_FOLD}) as folded, len({_WORDS}) as n_words from documents",
     "f7_slug": r"""select p_partkey, regexp_replace(substr(regexp_replace(regexp_replace(lower(concat_ws(' ', p_name, p_brand, p_type)), '[^\p{L}\p{N}_]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g'), 1, 80), '^[-_]+|[-_]+$', '', 'g') as slug from part""",
-    "f9_requirement_ids": "select o_orderkey, case o_orderkey % 3 when 0 then 'FR-' || o_orderkey when 1 then 'REQ-' || o_orderkey end as req_id from orders",
+    "f9_requirement_ids": """select o_orderkey, case o_orderkey % 8 when 0 then 'FR-' || o_orderkey when 1 then 'REQ-' || o_orderkey || '.2'
+  when 4 then 'NFR' || o_orderkey || 'a' when 6 then 'UC-A' || o_orderkey || '-B' end as req_id from orders""",
     "f17_embed_hash": """select doc_id, greatest(1, round_even(length(text) / 4, 0)::int) as tokens,
   sha256('model-1' || chr(0) || concat_ws(' › ', lang, source) || chr(10) || chr(10) || text) as embed_hash from documents""",
     "f20_citations": """select conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_concat(list_transform(regexp_extract_all(text, '\\[([0-9]{1,9})\\]', 1), lambda x: x::bigint),
