@@ -8,13 +8,14 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import compare
 import numpy as np
 import pytest
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm import language_model, mixing, neardup, packing, quality, queries, secrets, token_counts
+from tracewell.llm import extraction, language_model, mixing, neardup, packing, quality, queries, secrets, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -481,3 +482,75 @@ def test_mixing_by_plain_python(spark):
     extra = [(r.mix_size, r.copies - int(r.target // r.source_size)) for r in got if r.source in ("b", "c")]
     long, short = ([c for n, c in extra if (n > 100) == side] for side in (True, False))
     assert 0 < np.mean(short) < np.mean(long) <= 1
+
+
+class Lines(HTMLParser):
+    """(text, length outside links, stretch) of each block, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.parts, self.linked, self.stretch, self.dropped, self.links = [], [], 0, 0, [], 0
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.lines.append((text, max(0, len(text) - self.linked), self.stretch))
+        self.parts, self.linked = [], 0
+
+    def handle_starttag(self, tag, attributes):
+        if tag in extraction.BLOCKS:
+            self.flush()
+        self.stretch += tag in ("article", "main")
+        self.links += tag == "a"
+        words = set((dict(attributes).get("class") or "").split())
+        if tag == "br":
+            self.parts.append(" ")
+        elif self.dropped and tag == self.dropped[0]:
+            self.dropped.append(tag)
+        elif not self.dropped and tag not in extraction.VOID and (tag in ("nav", "footer", "aside", "form", "header", "script", "style", "title", "noscript", "button") or words & extraction.MARKS):
+            self.dropped = [tag]
+
+    def handle_endtag(self, tag):
+        if tag in extraction.BLOCKS:
+            self.flush()
+        self.stretch += tag in ("article", "main")
+        self.links -= tag == "a"
+        if self.dropped and tag == self.dropped[0]:
+            self.dropped.pop()
+
+    def handle_data(self, data):
+        if not self.dropped:
+            self.parts.append(data)
+            self.linked += len(data.strip()) if self.links else 0
+
+
+def main_lines(lines):
+    """Surge and dive, line by line."""
+    block = {i: sum(n for _, n, s in lines[i : i + 3] if s == lines[i][2]) for i in range(len(lines))}
+    top = max(block.values(), default=0)
+    keep = []
+    for stretch in sorted({s for *_, s in lines}):
+        mine = [i for i, (*_, s) in enumerate(lines) if s == stretch]
+        level = min(80, top / 2) if max(block[i] for i in mine) == top else max(80, top / 4)
+        surges = [i for i in mine if lines[i][1] and block[i] >= level]
+        if surges:
+            first, last = surges[0], surges[-1]
+            while first > mine[0] and lines[first - 1][1]:
+                first -= 1
+            while last + 1 <= mine[-1] and block[last + 1]:
+                last += 1
+            keep += lines[first : last + 1]
+    return "\n".join(t for t, *_ in keep) if top else "\n".join(t for t, *_ in lines)
+
+
+def test_html_extraction(spark):
+    """Every page, and every page without article elements, against the same method over another parser."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()
+    got = {r.page_id: r for r in queries.op6_html_extract(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(pages)
+    for r in pages:
+        assert got[r.page_id].text == main_lines(Lines(r.html or "").lines) and got[r.page_id].n_chars == len(got[r.page_id].text)
+    same = [extraction.main_text(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r.html or "")) == got[r.page_id].text for r in pages]
+    assert np.mean(same) >= 0.95

@@ -143,6 +143,38 @@ def test_extraction_drops_no_article_by_loose_marks():
         assert extraction.main_text(f"<body>{text}{opened}<p>{two[2:]}</p></div></body>") == f"{one}\n{two}"
 
 
+ONE = "The first paragraph of a story, long enough to count as the text of a page, and so it is kept."
+TWO = "A second paragraph of the same story, which is about as long as the first one, and kept as well."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><h1>Head</h1><p>By me</p><p>{ONE}</p><p>{TWO}</p><p>End.</p></div>", f"Head\nBy me\n{ONE}\n{TWO}\nEnd."),  # no article element
+        (f"<div><a href=/>Home</a></div><div><a href=/b>About us and all that</a></div><p>{ONE}</p><div><a href=/c>Terms</a></div>", ONE),  # an unmarked menu
+        (f"<DIV><P>{ONE}<P>{TWO}</DIV>", f"{ONE}\n{TWO}"),  # upper case, never closed
+        (f"<article><p>{ONE}</p><ul><li><a href=/>One</a></li><li><a href=/>Two</a></li><li><a href=/>Six</a></li></ul><p>{TWO}</p></article>", f"{ONE}\nOne\nTwo\nSix\n{TWO}"),
+        (f'<p title="a>b">{ONE}</p><p class=\'x>y\'>{TWO}</p>', f"{ONE}\n{TWO}"),  # angle brackets in attributes
+        (f"<p>{ONE}</p><p title=\"never closed>{TWO}", None),  # a quote that stays open: no crash
+        (f"<main><p>{ONE}</p></main><div class=comments><p>{TWO}</p></div><p>All rights reserved</p>", ONE),
+        (f"<article><p>{ONE}</p></article><article><p>{TWO}</p></article>", f"{ONE}\n{TWO}"),
+        ("<p>short</p>", "short"),
+        ("<p><a href=/>only a link</a></p>", "only a link"),
+        (f"<p>{ONE}&nbsp;&lt;b&gt; &#233;&amp;amp;</p><!-- <p>no</p> --><script>if (a < b) '<p>no</p>'</script>", f"{ONE} <b> é&amp;"),
+        ("<p>" + "word " * 400_000 + "</p>", ("word " * 400_000).strip()),  # a very long page
+    ],
+)
+def test_extraction_of_odd_pages(page, text):
+    found = extraction.main_text(page)
+    assert found.startswith(ONE) if text is None else found == text
+
+
+def test_extraction_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, f"<p>{ONE}</p>", "mine")] * 3 + [(None, f"<p>{TWO}</p>", None)], "page_id long, html string, length string")
+    got = extraction.extract(rows).collect()
+    assert [r.text for r in got] == [ONE] * 3 + [TWO] and {r.length for r in got} == {"mine", None}
+
+
 def test_embeddings(spark):
     a, b = [1.0, 0.0, 0.0], [0.99, 0.05, 0.0]
     rows = [(1, a), (2, a), (3, b), (4, None), (5, []), (6, [0.0] * 3), (7, [1.0, None, 0.0]), (8, [float("nan"), 1.0, 0.0]), (9, [0.0, 1.0, 0.0]), (None, a), (3, b), (10, [1.0, 0.0])]

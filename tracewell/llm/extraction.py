@@ -1,12 +1,17 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines, one per block element. A line's length counts its text outside links; inside
-elements that never hold an article (menus, forms, notices and so on, by name or by a whole token of class, id or
-role) it has none; on a page without an article or main element no such element is left out that holds more than half
-of the page's text outside links. Hidden elements (``hidden``, ``display: none``, ``aria-hidden="true"``) always are. Lengths are summed over sliding windows of ``WINDOW`` lines. Where the sum surges over ``SURGE`` the
-main text begins, where it dives to nothing it ends, and the lines between are kept. A line inside an article
-or main element counts ``SURGE`` more, and where there are such lines the others count nothing; so an article's
-short lines are kept as well. A page where nothing surges keeps all lines outside those elements.
+Markup is stripped to lines, one per block element. A line's length counts its text outside links. Elements that the
+contract names (menus, headers, footers, sidebars, notices, adverts, forms, readers' comments, by name or by a whole
+token of class, id or role) give no lines; on a page without an article or main element no such element is left out that
+holds more than half of the page's text outside links. Hidden elements (``hidden``, ``display: none``,
+``aria-hidden="true"``) never count.
+
+What is left is decided by the distribution of lengths alone. The length of a block is the sum over ``WINDOW`` lines from
+a line on. Where it surges over ``SURGE`` (on a page of short lines: over half of the page's highest block) the main text
+begins, with the short lines that lead up to it; at the last such line's dive to nothing it ends, and all lines between
+are kept, short ones and lists of links among them. Lines before the surge and behind the dive go. The edges of article and main elements only part the lines
+into stretches that windows do not cross; a stretch beside the one with the highest block has to reach ``SIDE_SHARE`` of
+it. A page without any text outside links keeps all lines.
 
 Character references are decoded, white space inside a line (``<br>`` included) becomes one blank, lines are
 trimmed, empty ones go, the rest is joined by one line feed.
@@ -20,6 +25,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +33,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 3
 SURGE = 80
+#: A stretch beside the one with the page's highest block surges at this share of that block.
+SIDE_SHARE = 0.25
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
     r"|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>"
@@ -40,6 +48,8 @@ ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 MAY_HIDE = re.compile(r"hidden|display", re.I)
 NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 SPACE = re.compile(r"\s+")
+#: A slash that ends an unquoted value (href=/) belongs to the value.
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 PARTS = re.compile(r"[-_]+")
 #: Elements that end a line, that never hold an article, and that are never closed.
 BLOCKS = frozenset(
@@ -80,15 +90,15 @@ def marks_of(attributes: str) -> set[str]:
     return found
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length outside links, inside an article) of every line outside elements that never hold one."""
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, length outside links, stretch) of every line outside elements that never hold an article."""
     lines, large, marked = _lines(page, frozenset())
     return _lines(page, large)[0] if large and not marked else lines
 
 
-def _lines(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool]], frozenset[int], bool]:
+def _lines(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, int]], frozenset[int], bool]:
     """Lines as above, where elements left out but for those spared hold most text, and whether there is an article."""
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, outside, article, of readers' comments
@@ -96,6 +106,7 @@ def _lines(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool
     visible = 0  # characters outside links so far
     starts: list[tuple[int, bool, bool]] = []  # of each open element: place, left out by its marks, hidden
     before: dict[int, int] = {}  # place of an element left out by its marks: characters before it, then inside it
+    stretch = 0  # goes up where an article or main element begins or ends
     seen = False
 
     def flush() -> None:
@@ -103,18 +114,19 @@ def _lines(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool
         if parts:
             text = SPACE.sub(" ", references.unescape("".join(parts))).strip()
             if text:
-                lines.append((text, max(0, len(text) - linked), article > 0))
+                lines.append((text, max(0, len(text) - linked), stretch))
             parts.clear()
         linked = 0
 
     def pop(n: int) -> None:
-        nonlocal outside, article, links, remarks, invisible
+        nonlocal outside, article, links, remarks, invisible, stretch
         for place, out, hidden in starts[n:]:
             invisible -= hidden
             if out:
                 before[place] = visible - before[place]
         del starts[n:]
         for tag, out, main, remark in stack[n:]:
+            stretch += main
             outside, article, remarks, links = outside - out, article - main, remarks - remark, links - (tag == "a")
         del stack[n:]
 
@@ -164,9 +176,9 @@ def _lines(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool
         out = not main and tag not in ("html", "body") and (tag in NEVER or remark or (tag == "header" and not article))
         if not out and not main and tag in BLOCKS and tag not in ("html", "body", "h1") and words & MARKS:
             out = not (article and words <= {"header"})
-        if tag in VOID or attributes.endswith("/"):
+        if tag in VOID or SELF_CLOSED.search(attributes):
             continue
-        seen = seen or main
+        seen, stretch = seen or main, stretch + main
         left_out = out and not hidden
         if left_out:
             before[token.start()] = visible
@@ -184,21 +196,34 @@ def _lines(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, bool
     return lines, frozenset(place for place, inside in before.items() if 2 * inside > visible), seen
 
 
-def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
-    marked = any(inside for _, _, inside in lines)
-    weights = [(length + SURGE if inside else 0) if marked else length for _, length, inside in lines]
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+def blocks_of(lengths: list[int]) -> list[int]:
+    """The sum of each line's length and those of the next lines of its window."""
+    return [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
+
+
+def kept_lines(lines: list[tuple[str, int, int]]) -> list[str]:
+    """Of (text, length outside links, stretch): in each stretch, the lines from its first surge to its last dive."""
+    stretches = [list(group) for _, group in groupby(lines, key=lambda line: line[2])]
+    blocks = [blocks_of([length for _, length, _ in stretch]) for stretch in stretches]
+    peaks = [max(b, default=0) for b in blocks]
+    highest = max(peaks, default=0)
+    if not highest:
+        return [text for text, _, _ in lines]
     kept: list[str] = []
-    within = False
-    for i, (text, _, inside) in enumerate(lines):
-        if not within and weights[i] and sums[i] >= SURGE:
-            within = True
-        elif within and not sums[i]:
-            within = False
-        if within and (inside or not marked):
-            kept.append(text)
-    return "\n".join(kept if kept else [text for text, _, _ in lines])
+    for stretch, sums, peak in zip(stretches, blocks, peaks, strict=True):
+        # the stretch with the page's highest block sets the measure for the others
+        surge = min(SURGE, highest / 2) if peak == highest else max(SURGE, highest * SIDE_SHARE)
+        inside = [i for i, (_, length, _) in enumerate(stretch) if length and sums[i] >= surge]
+        if inside:
+            # from where the lengths rise out of nothing towards the first surge, to the dive behind the last one
+            rise = next((i + 1 for i in range(inside[0] - 1, -1, -1) if not stretch[i][1]), 0)
+            dive = next((i for i in range(inside[-1], len(stretch)) if not sums[i]), len(stretch))
+            kept += [text for text, _, _ in stretch[rise:dive]]
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    return "\n".join(kept_lines(lines_of(page or "")))
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
