@@ -153,17 +153,71 @@ def test_language_model(spark):
 
 
 def test_language_model_is_a_distribution():
-    """Classes sum to one, and so do the words of a class, in the model's own terms."""
-    weights = np.random.default_rng(3).normal(size=(language_model.BUCKETS, language_model.CLASSES)).astype(np.float32)
-    with np.errstate(over="ignore"):
-        at = language_model.features(np.arange(50, dtype=np.uint16), np.array([0, 20, 50]))
-    chance = language_model.class_weights(weights, at)
-    assert np.allclose((chance / chance.sum(axis=1, keepdims=True)).sum(axis=1), 1, atol=1e-5)
-    shares = language_model.Shares(100, 5, 2, 1, [(1, 60)], [2, 4, 0, 0] + [34] + [0] * 11)
-    inner = 10 ** shares.inner(np.array([1, 1, 2, 2, 0]), np.array([language_model.SINGLES, language_model.SINGLES, language_model.SINGLES + 1, language_model.SINGLES + 1, language_model.SINGLES]))
+    """Classes sum to one, the parts of a class do, and so do the words of a part, in the model's own terms."""
+    many = language_model.CLASSES + language_model.SUBS
+    weights = np.random.default_rng(3).normal(size=(language_model.BUCKETS, many)).astype(np.float32)
+    bounds, tokens = np.array([0, 20, 50]), np.arange(50, dtype=np.int32)
+    row = {"bounds": bounds.tolist(), "ids": language_model.packed(tokens), "hashes": language_model.packed(np.arange(50, dtype=np.uint32))}
+
+    def chances(classes, parts):
+        own = row | {"classes": language_model.packed(np.full(50, classes, dtype=np.uint16)), "parts": language_model.packed(np.full(50, parts, dtype=np.uint8))}
+        return np.exp(language_model.log_chances(weights, own, language_model.SINGLES))
+
+    singles, room = language_model.SINGLES, range(language_model.SINGLES, language_model.CLASSES)
+    total = sum(chances(c, 0) for c in range(singles)) + sum(chances(c, p) for c in room for p in range(language_model.SUBS))
+    assert np.allclose(total, 1, atol=1e-4)
+    mass = np.zeros((4 * 8, language_model.SUBS))
+    mass[0, :2], mass[8 + 0, 3] = (2, 4), 34
+    shares = language_model.Shares(100, 5, 2, 1, [(1, 60)], mass.reshape(-1).tolist())
+    inner = 10 ** shares.inner(np.array([1, 1, 2, 2, 0]), np.full(5, singles), np.array([0, 0, 1, 1, 0]))
     assert inner[:2].sum() + inner[4] == pytest.approx(1) and inner[2:4].sum() == pytest.approx(1 - shares.unseen)
 
 
+def test_language_model_scores_by_brute_force():
+    """The score of each token from the weights, one after another."""
+    random = np.random.default_rng(9)
+    weights = random.normal(size=(1 << 10, language_model.CLASSES + language_model.SUBS)).astype(np.float32)
+    hashes, classes, parts = random.integers(1, 1 << 32, 30).astype(np.uint32), random.integers(0, language_model.CLASSES, 30).astype(np.uint16), random.integers(0, language_model.SUBS, 30).astype(np.uint8)
+    parts[classes < language_model.SINGLES] = 0
+    row = {"bounds": [0, 4, 30], "ids": language_model.packed(np.arange(30, dtype=np.int32)), "hashes": language_model.packed(hashes), "classes": language_model.packed(classes), "parts": language_model.packed(parts)}
+    got = language_model.log_chances(weights, row, language_model.SINGLES)
+    m = 1 << 64
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % m
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % m
+        return x ^ (x >> 31)
+
+    for t in range(30):
+        start = 0 if t < 4 else 4
+        one, two, three = (int(hashes[t - k]) if t - k >= start else (1 << 32) + k for k in (1, 2, 3))
+        seeds = [one * 4 + 1, (mixed(one) + two) * 4 + 2, two * 4 + 3, mixed(three) * 4 + 3]
+        at = [0, *(mixed(s % m) % 1023 + 1 for s in seeds)]
+
+        def log_softmax(rows, columns, k):
+            scores = weights[rows][:, columns].astype(float).sum(axis=0)
+            return scores[k] - np.log(np.exp(scores - scores.max()).sum()) - scores.max()
+
+        expected = log_softmax(at, slice(0, language_model.CLASSES), classes[t])
+        if classes[t] >= language_model.SINGLES:
+            inside = [mixed((b * 0x9E3779B97F4A7C15 + int(classes[t]) + 1) % m) % 1024 for b in at]
+            expected += log_softmax(inside, slice(language_model.CLASSES, None), parts[t])
+        assert got[t] == pytest.approx(expected, abs=1e-4)
+
+
+def test_language_model_reruns_agree(spark, sf_dir):
+    """Equal rows whatever the number of shuffle partitions, and equal texts have equal scores wherever they stand."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    twice = docs.unionByName(docs.selectExpr("doc_id + 1000000 as doc_id", "text"))
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("3", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append({r.doc_id: (r.score, r.base_score) for r in language_model.score(twice, Scratch(spark, "t")).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    assert all(found[0][i] == found[0][i + 1000000] for i in found[0] if i < 1000000)
+
+
 def test_language_model_grows_with_the_corpus():
     """More training tokens give more buckets, singles and bins; bins part the tokens of any corpus; contexts are told apart by 32 bits."""
     small, large = language_model.Sizes(10**5), language_model.Sizes(10**11)

@@ -1,20 +1,22 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is that of its class given the words before it, times its own share of the class. The
-most frequent tokens are classes of their own; the others are classed by how often they occur in the
-training texts and by a hash of their last letters. Bins of counts hold like shares of the training tokens, and with
-the training tokens the feature buckets, single tokens and bins grow (``Sizes``). The class factor is a softmax over sums of weights of hashed
-features: a bias, the word before, the two words before (n-grams) and the second and third word before (skips).
-Within a class tokens have their relative frequency; in the classes of the rarest, the share of tokens never seen
-follows from the numbers of words seen once and twice.
+A token's probability is that of its class given the words before it, times that of its part of the class given the same
+words and the class, times its own share of the part. Both factors are softmaxes over sums of weights of hashed features:
+a bias, the word before, the two words before (n-grams), the second and the third word before (skips). The most frequent
+tokens are classes of their own; the others are classed by how often they occur in the training texts and by a hash of
+their last letters, and a class has ``SUBS`` hashed parts, so that no vocabulary is needed to normalize. Bins of counts hold
+like shares of the training tokens, and with the training tokens the feature buckets, single tokens and bins grow
+(``Sizes``). Within a part tokens have their relative frequency; in the classes of the rarest, the share of tokens never
+seen follows from the numbers of words seen once and twice.
 
 How it runs: texts are cut into blocks of about ``BLOCK`` bytes, stored as indexes into the block's own
 dictionary. The words of all dictionaries are dealt by hash into parts, a part sums its words over the blocks and
 answers each block with the corpus counts of its words; neither a count table nor a vocabulary is held anywhere
 whole, and there are as many parts as blocks need. Training takes ``ROUNDS`` rounds, each over its share of the
-blocks, all of them once: every task starts from the same weights, takes stochastic gradient steps (observed class
-minus a class drawn from the model) and returns its change; changes are averaged by tokens, streamed through as
-many tasks as there are slices of the weights. Weights grow with the square root of the training tokens and are sent
+blocks, all of them once: every shard starts from the same weights, takes stochastic gradient steps (observed class
+minus a class drawn from the model) and returns its change. Blocks are dealt to shards by their name and learnt in order,
+changes are averaged by tokens in the order of shards, a slice of the weights to a task: scores depend on how the input is
+cut into blocks, not on tasks, fetch order or cluster size. Weights grow with the square root of the training tokens and are sent
 to all tasks; a round has so many tasks that their changes are about as large as the texts.
 
 Defined results: a null text is empty and holds the end token alone; a null id counts as the empty string for
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm.neardup import mix
+from tracewell.llm.neardup import GOLDEN, mix
 from tracewell.llm.tokenizing import by_size
 
 BLOCK = 16 << 20
@@ -45,6 +47,7 @@ FOLDS = 10
 #: The least numbers, of a small corpus; ``Sizes`` has those of a larger one.
 SINGLES = 32
 ENDINGS = 8
+SUBS = 16  # hashed parts of a class, told apart by the second softmax
 BINS = (1, 15, 255)  # the largest count of each bin but the last
 CLASSES = SINGLES + ENDINGS * (len(BINS) + 1)
 BUCKETS = 1 << 15
@@ -69,7 +72,7 @@ ANSWERS = (
     "top_words array<long>, top_counts array<long>, top_endings array<long>"
 )
 CODED = (
-    "block long, turn int, doc_ids array<long>, held array<boolean>, bounds array<long>, classes binary, hashes binary, ids binary, "
+    "block long, turn int, doc_ids array<long>, held array<boolean>, bounds array<long>, classes binary, parts binary, hashes binary, ids binary, "
     "known array<long>, base array<double>, inner array<double>"
 )
 
@@ -174,7 +177,8 @@ def corpus_counts(blocks: DataFrame, parts: int) -> DataFrame:
         out = [{"block": r["block"], "part": r["part"], "counts": packed(c[at[a:b]])} for r, a, b in zip(rows, until, until[1:], strict=False)]
         top = np.argsort(-c, kind="stable")[:TOPS]
         seen = c > 0
-        mass = np.bincount(level(c[seen]) * ENDINGS + ending[seen], weights=c[seen].astype(float), minlength=LEVELS * ENDINGS)
+        cell = (level(c[seen]) * ENDINGS + ending[seen]) * SUBS + sub_of(distinct[seen])
+        mass = np.bincount(cell, weights=c[seen].astype(float), minlength=LEVELS * ENDINGS * SUBS)
         facts = {"total": c.sum(), "distinct": seen.sum(), "once": (c == 1).sum(), "twice": (c == 2).sum(), "mass": mass.astype(np.int64)}
         facts |= {"part": rows[0]["part"], "top_words": distinct[top], "top_counts": c[top], "top_endings": ending[top]}
         return pa.Table.from_pylist([*out, facts], schema=_schema(ANSWERS))
@@ -184,6 +188,11 @@ def corpus_counts(blocks: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(answer, ANSWERS)
 
 
+def sub_of(words: np.ndarray) -> np.ndarray:
+    """The part of its class that a word's hash falls into."""
+    return ((words.view(U) >> U(40)) % U(SUBS)).astype(np.int64)
+
+
 def level(counts: np.ndarray) -> np.ndarray:
     """The power of two at or below each count."""
     return np.frexp(counts.astype(float))[1].astype(np.int64) - 1
@@ -215,15 +224,15 @@ class Shares:
         self, total: int, distinct: int, once: int, twice: int, singles: list[tuple[int, int]], mass: list[int],
         bins: tuple[int, ...] = BINS, room: int = SINGLES,
     ):
-        self.bins, self.room, self.endings = np.array(bins), room, len(mass) // (len(bins) + 1)
+        self.bins, self.room, self.endings = np.array(bins), room, len(mass) // ((len(bins) + 1) * SUBS)
         self.total, self.distinct = total, distinct
         self.unseen = once / (once + 2 * twice) if once else 1.0
         words = np.array([w for w, _ in singles], dtype=np.int64)
         self.single_counts = np.array([c for _, c in singles], dtype=np.int64)
         self.single_hashes = _feature_hash(words)
-        self.mass = np.zeros(room + len(mass))
-        self.mass[: len(singles)] = self.single_counts
-        self.mass[room:] = mass
+        self.mass = np.zeros((room + len(mass) // SUBS, SUBS))  # of each class and part; a single token is one part
+        self.mass[: len(singles), 0] = self.single_counts
+        self.mass[room:] = np.array(mass, dtype=float).reshape(-1, SUBS)
 
     def classes(self, hashes: np.ndarray, counts: np.ndarray, endings: np.ndarray) -> np.ndarray:
         found = self.room + np.searchsorted(self.bins, counts, "left") * self.endings + endings
@@ -231,9 +240,12 @@ class Shares:
             found[(hashes == h) & (counts == c)] = k
         return found.astype(np.uint16)
 
-    def inner(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """log10 of each word's share of its class."""
-        share = counts / np.maximum(self.mass[classes], 1)
+    def parts(self, words: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        return np.where(classes < self.room, 0, sub_of(words)).astype(np.uint8)
+
+    def inner(self, counts: np.ndarray, classes: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """log10 of each word's share of its part of the class."""
+        share = counts / np.maximum(self.mass[classes, parts], 1)
         rare = (classes >= self.room) & (classes < self.room + self.endings)
         share = np.where(rare, np.where(counts > 0, share * (1 - self.unseen), self.unseen), share)
         return np.log10(np.maximum(share, 1e-300))
@@ -242,6 +254,11 @@ class Shares:
         return np.log10((counts + ADDED) / (self.total + ADDED * (self.distinct + 1)))
 
 
+def per_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of each document's own values in their order, whatever else is in the block."""
+    return np.bincount(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), weights=values, minlength=len(bounds) - 1)
+
+
 def _code(shares: Shares, parts: int, left: pa.Table, right: pa.Table) -> pa.Table:
     """A block with the corpus counts of its words: classes and feature hashes by word, sums by document."""
     answers = {r["part"]: r["counts"] for r in right.to_pylist()}
@@ -254,31 +271,38 @@ def _code(shares: Shares, parts: int, left: pa.Table, right: pa.Table) -> pa.Tab
         counts[order] = np.concatenate([unpacked(answers[k], np.int64) for k in np.unique(part).tolist()])
         classes = shares.classes(hashes, counts, unpacked(row["endings"], np.uint8))
         bounds = np.array(row["bounds"])
-        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[tokens])])[bounds])  # noqa: B023, E731
+        sub = shares.parts(words, classes)
+        sums = lambda x: per_document(x[tokens], bounds)  # noqa: B023, E731
         out.append(
             {
                 "block": row["block"], "turn": int(row["block"] % ROUNDS), "doc_ids": row["doc_ids"], "held": row["held"], "bounds": row["bounds"],
-                "classes": packed(classes), "hashes": row["features"], "ids": row["ids"],
-                "known": sums((counts > 0).astype(np.int64)), "base": sums(shares.base(counts)), "inner": sums(shares.inner(counts, classes)),
+                "classes": packed(classes), "parts": packed(sub), "hashes": row["features"], "ids": row["ids"],
+                "known": sums((counts > 0).astype(float)).astype(np.int64), "base": sums(shares.base(counts)), "inner": sums(shares.inner(counts, classes, sub)),
             }
         )
     return pa.Table.from_pylist(out, schema=_schema(CODED))
 
 
 def features(hashes: np.ndarray, bounds: np.ndarray, many: int = BUCKETS) -> np.ndarray:
-    """Feature buckets of each token: [4, tokens]; before a text's first word stands a mark of its own."""
+    """Feature buckets of each token: [5, tokens]; before a text's first word stands a mark of its own."""
     before = []
     place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
-    for k in (1, 2):
+    for k in (1, 2, 3):
         w = np.zeros(len(hashes), dtype=U)
         w[k:] = hashes[:-k]
         before.append(np.where(place >= k, w, U(1 << 32) + U(k)))
-    one, two = before
-    seeds = [one * U(4) + U(1), (mix(one) + two) * U(4) + U(2), two * U(4) + U(3)]
+    one, two, three = before
+    # n-grams: the word before, the two before; skips: the second and the third before alone
+    seeds = [one * U(4) + U(1), (mix(one) + two) * U(4) + U(2), two * U(4) + U(3), mix(three) * U(4) + U(3)]
     hashed = [mix(s) % U(many - 1) + U(1) for s in seeds]
     return np.stack([np.zeros(len(hashes), dtype=U), *hashed]).astype(np.int32)
 
 
+def inside_class(buckets: np.ndarray, classes: np.ndarray, many: int) -> np.ndarray:
+    """Buckets of the same features together with the class, for the softmax over its parts."""
+    return (mix(buckets.astype(U) * GOLDEN + classes.astype(U) + U(1)) % U(many)).astype(np.int32)
+
+
 def class_weights(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Unnormalized class probabilities, the largest 1: [tokens, classes]."""
     scores = weights[at[0]]
@@ -288,54 +312,90 @@ def class_weights(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.exp(scores, out=scores)
 
 
-def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ids = unpacked(row["ids"], np.int32)
-    return np.array(row["bounds"]), unpacked(row["classes"], np.uint16)[ids], unpacked(row["hashes"], np.uint32)[ids]
+    return np.array(row["bounds"]), unpacked(row["classes"], np.uint16)[ids], unpacked(row["parts"], np.uint8)[ids], unpacked(row["hashes"], np.uint32)[ids]
 
 
-def learn(weights: np.ndarray, row: dict, step: float) -> int:
-    """Gradient steps over a block's training texts, in place; returns their tokens."""
-    bounds, classes, hashes = _arrays(row)
+def _step(weights: np.ndarray, visits: np.ndarray, at: np.ndarray, observed: np.ndarray, random: np.random.Generator, step: float) -> None:
+    """A stochastic gradient step of one softmax: the observed outcome gains what one drawn from the model loses."""
+    many = weights.shape[1]
+    chance = class_weights(weights, at).cumsum(axis=1)
+    drawn = (chance < random.random((at.shape[1], 1), dtype=np.float32) * chance[:, -1:]).sum(axis=1)
+    np.add.at(visits, at.reshape(-1), 1)
+    for feature in at.astype(np.int64):
+        size = (step / (visits[feature] / many**0.5 + 4)).astype(np.float32)
+        np.add.at(weights, (feature, observed), size)
+        np.subtract.at(weights, (feature, np.minimum(drawn, many - 1)), size)
+    visits[at] = 0
+
+
+def learn(weights: np.ndarray, row: dict, step: float, room: int = SINGLES) -> int:
+    """Gradient steps over a block's training texts, in place; returns their tokens. Columns: classes, then parts."""
+    bounds, classes, parts, hashes = _arrays(row)
     at = np.flatnonzero(np.repeat(~np.array(row["held"], dtype=bool), np.diff(bounds)))
     if not len(at):
         return 0
     with np.errstate(over="ignore"):
         buckets = features(hashes, bounds, len(weights))
-    many = weights.shape[1]
+    many = weights.shape[1] - SUBS
     visits = np.zeros(len(weights), dtype=np.int64)
     random = np.random.default_rng(row["block"] & 0xFFFFFFFF)
-    flat = weights.reshape(-1)
     for a in range(0, len(at), BATCH):
         mine = at[a : a + BATCH]
-        b, observed = buckets[:, mine], classes[mine].astype(np.int64)
-        chance = class_weights(weights, b).cumsum(axis=1)
-        drawn = (chance < random.random((len(mine), 1), dtype=np.float32) * chance[:, -1:]).sum(axis=1)
-        np.add.at(visits, b.reshape(-1), 1)
-        for feature in b.astype(np.int64):
-            size = (step / (visits[feature] / many**0.5 + 4)).astype(np.float32)
-            np.add.at(flat, feature * many + observed, size)
-            np.subtract.at(flat, feature * many + np.minimum(drawn, many - 1), size)
-        visits[b] = 0
+        _step(weights[:, :many], visits, buckets[:, mine], classes[mine].astype(np.int64), random, step)
+        mine = mine[classes[mine] >= room]
+        if len(mine):
+            with np.errstate(over="ignore"):
+                b = inside_class(buckets[:, mine], classes[mine], len(weights))
+            _step(weights[:, many:], visits, b, parts[mine].astype(np.int64), random, step)
     return len(at)
 
 
-def train(coded: DataFrame, spark, buckets: int, classes: int, total: int) -> np.ndarray:
-    weights = np.zeros((buckets, classes), dtype=np.float32)
+def log_chances(weights: np.ndarray, row: dict, room: int) -> np.ndarray:
+    """Natural logarithm of each token's class and part, by the two softmaxes."""
+    bounds, classes, parts, hashes = _arrays(row)
+    with np.errstate(over="ignore"):
+        buckets = features(hashes, bounds, len(weights))
+    many, logs = weights.shape[1] - SUBS, np.zeros(len(classes))
+    for a in range(0, len(classes), BATCH):
+        own = np.arange(a, min(a + BATCH, len(classes)))
+        chance = class_weights(weights[:, :many], buckets[:, own])
+        logs[own] = np.log(np.maximum(chance[np.arange(len(own)), classes[own]], 1e-30) / chance.sum(axis=1))
+        own = own[classes[own] >= room]
+        if len(own):
+            with np.errstate(over="ignore"):
+                chance = class_weights(weights[:, many:], inside_class(buckets[:, own], classes[own], len(weights)))
+            logs[own] += np.log(np.maximum(chance[np.arange(len(own)), parts[own]], 1e-30) / chance.sum(axis=1))
+    return logs
+
+
+def train(coded: DataFrame, spark, buckets: int, classes: int, total: int, room: int) -> np.ndarray:
+    width = classes + SUBS
+    weights = np.zeros((buckets, width), dtype=np.float32)
     height = buckets // SLICES
-    trainers = max(TRAINERS, total * TOKEN_BYTES // (ROUNDS * weights.nbytes))
+    shards = int(max(TRAINERS, total * TOKEN_BYTES // (ROUNDS * weights.nbytes)))
+    kinds = "slice int, shard int, tokens long, part binary"
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)
         step = STEP / (1 + turn / ROUNDS)
 
         def change(batches: Iterator[pa.RecordBatch], start=start, step=step) -> Iterator[pa.RecordBatch]:
-            mine, tokens = start.value.copy(), 0
+            mine, tokens, now = None, 0, None
+
+            def finish() -> Iterator[pa.RecordBatch]:
+                for k in range(SLICES if tokens else 0):
+                    rows = slice(k * height, (k + 1) * height)
+                    part = (mine[rows] - start.value[rows]) * np.float32(tokens)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int32()), pa.array([tokens]), pa.array([part.tobytes()])], names=["slice", "shard", "tokens", "part"])
+
             for batch in batches:
                 for row in batch.to_pylist():
-                    tokens += learn(mine, row, step)
-            if tokens:
-                for k in range(SLICES):
-                    part = (mine[k * height : (k + 1) * height] - start.value[k * height : (k + 1) * height]) * np.float32(tokens)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tokens]), pa.array([part.tobytes()])], names=["slice", "tokens", "part"])
+                    if row["shard"] != now:
+                        yield from finish()
+                        mine, tokens, now = start.value.copy(), 0, row["shard"]
+                    tokens += learn(mine, row, step, room)
+            yield from finish()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
@@ -346,13 +406,14 @@ def train(coded: DataFrame, spark, buckets: int, classes: int, total: int) -> np
                     held[0] += row["tokens"]
                     held[1] += part
             for k, (tokens, part) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([tokens]), pa.array([(part / tokens).astype(np.float32).tobytes()])], names=["slice", "tokens", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([tokens]), pa.array([(part / tokens).astype(np.float32).tobytes()])], names=["slice", "shard", "tokens", "part"])
 
-        kinds = "slice int, tokens long, part binary"
-        share = coded.where(F.col("turn") == turn).select("block", "held", "bounds", "classes", "hashes", "ids").coalesce(trainers)
-        summed = share.mapInArrow(change, kinds).repartition(SLICES, "slice").mapInArrow(add, kinds)
+        # blocks are dealt to shards by their name and changes added in the order of shards, so the sums don't depend on tasks
+        mine = coded.where(F.col("turn") == turn).select("block", "held", "bounds", "classes", "parts", "hashes", "ids", F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int").alias("shard"))
+        changes = mine.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(change, kinds)
+        summed = changes.repartition(SLICES, "slice").sortWithinPartitions("slice", "shard").mapInArrow(add, kinds)
         for row in summed.toLocalIterator():  # a slice at a time
-            weights[row["slice"] * height : (row["slice"] + 1) * height] += np.frombuffer(row["part"], dtype=np.float32).reshape(height, classes)
+            weights[row["slice"] * height : (row["slice"] + 1) * height] += np.frombuffer(row["part"], dtype=np.float32).reshape(height, width)
         start.destroy()
     return weights
 
@@ -369,13 +430,13 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
     total = int(sums[0])
     sizes = Sizes(total)
     top = tops.orderBy(F.desc("top_counts"), "top_words").limit(sizes.singles).collect()
-    mass = np.zeros((LEVELS, ENDINGS), dtype=np.int64)
+    mass = np.zeros((LEVELS, ENDINGS, SUBS), dtype=np.int64)
     for r in facts.select(F.posexplode("mass").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
-        mass[divmod(r["k"], ENDINGS)] = r["n"]
+        mass.reshape(-1)[r["k"]] = r["n"]
     for r in top:
-        mass[level(np.array(r["top_counts"])), r["top_endings"]] -= r["top_counts"]
-    bins = sizes.limits(mass.sum(axis=1))
-    binned = np.zeros((len(bins) + 1, ENDINGS), dtype=np.int64)
+        mass[level(np.array(r["top_counts"])), r["top_endings"], sub_of(np.array([r["top_words"]]))[0]] -= r["top_counts"]
+    bins = sizes.limits(mass.sum(axis=(1, 2)))
+    binned = np.zeros((len(bins) + 1, ENDINGS, SUBS), dtype=np.int64)
     np.add.at(binned, np.searchsorted(np.array(bins), 1 << np.arange(LEVELS), "left"), mass)
     shares = Shares(*sums[:4], [(r["top_words"], r["top_counts"]) for r in top], binned.reshape(-1).tolist(), bins, sizes.singles)
     code = partial(_code, shares, parts)
@@ -384,19 +445,13 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
     coded = scratch.save(coded, "coded")
     scratch.drop("blocks")
     scratch.drop("answers")
-    weights = spark.sparkContext.broadcast(train(coded, spark, sizes.buckets, len(shares.mass), total))
+    weights, room = spark.sparkContext.broadcast(train(coded, spark, sizes.buckets, len(shares.mass), total, sizes.singles)), sizes.singles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                bounds, classes, hashes = _arrays(row)
-                with np.errstate(over="ignore"):
-                    buckets = features(hashes, bounds, len(weights.value))
-                logs = np.zeros(len(classes))
-                for a in range(0, len(classes), BATCH):
-                    chance = class_weights(weights.value, buckets[:, a : a + BATCH])
-                    logs[a : a + BATCH] = np.log(np.maximum(chance[np.arange(len(chance)), classes[a : a + BATCH]], 1e-30) / chance.sum(axis=1))
-                outer = np.diff(np.concatenate([[0], np.cumsum(logs)])[bounds]) / np.log(10)
+                bounds = np.array(row["bounds"])
+                outer = per_document(log_chances(weights.value, row, room), bounds) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.diff(bounds)), pa.array(row["known"], pa.int64()),
