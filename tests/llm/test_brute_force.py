@@ -161,7 +161,7 @@ def test_language_model_is_a_distribution():
 
     def chances(classes, parts):
         own = row | {"classes": language_model.packed(np.full(50, classes, dtype=np.uint16)), "parts": language_model.packed(np.full(50, parts, dtype=np.uint8))}
-        return np.exp(language_model.log_chances(weights, own, language_model.SINGLES))
+        return np.exp(language_model.log_chances(*language_model.split(weights), own, language_model.SINGLES))
 
     singles, room = language_model.SINGLES, range(language_model.SINGLES, language_model.CLASSES)
     total = sum(chances(c, 0) for c in range(singles)) + sum(chances(c, p) for c in room for p in range(language_model.SUBS))
@@ -180,7 +180,7 @@ def test_language_model_scores_by_brute_force():
     hashes, classes, parts = random.integers(1, 1 << 32, 30).astype(np.uint32), random.integers(0, language_model.CLASSES, 30).astype(np.uint16), random.integers(0, language_model.SUBS, 30).astype(np.uint8)
     parts[classes < language_model.SINGLES] = 0
     row = {"bounds": [0, 4, 30], "ids": language_model.packed(np.arange(30, dtype=np.int32)), "hashes": language_model.packed(hashes), "classes": language_model.packed(classes), "parts": language_model.packed(parts)}
-    got = language_model.log_chances(weights, row, language_model.SINGLES)
+    got = language_model.log_chances(*language_model.split(weights), row, language_model.SINGLES)
     m = 1 << 64
 
     def mixed(x):

@@ -283,19 +283,16 @@ def _code(shares: Shares, parts: int, left: pa.Table, right: pa.Table) -> pa.Tab
     return pa.Table.from_pylist(out, schema=_schema(CODED))
 
 
-def features(hashes: np.ndarray, bounds: np.ndarray, many: int = BUCKETS) -> np.ndarray:
-    """Feature buckets of each token: [5, tokens]; before a text's first word stands a mark of its own."""
-    before = []
-    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
-    for k in (1, 2, 3):
-        w = np.zeros(len(hashes), dtype=U)
-        w[k:] = hashes[:-k]
-        before.append(np.where(place >= k, w, U(1 << 32) + U(k)))
-    one, two, three = before
+def features(hashes: np.ndarray, bounds: np.ndarray, many: int = BUCKETS, at: np.ndarray | None = None) -> np.ndarray:
+    """Feature buckets of the tokens at these places (or all): [5, tokens]; before a text's first word stands a mark of its own."""
+    at = np.arange(len(hashes)) if at is None else at
+    place = at - bounds[np.searchsorted(bounds, at, "right") - 1]
+    one, two, three = (np.where(place >= k, hashes[np.maximum(at - k, 0)].astype(U), U(1 << 32) + U(k)) for k in (1, 2, 3))
     # n-grams: the word before, the two before; skips: the second and the third before alone
-    seeds = [one * U(4) + U(1), (mix(one) + two) * U(4) + U(2), two * U(4) + U(3), mix(three) * U(4) + U(3)]
-    hashed = [mix(s) % U(many - 1) + U(1) for s in seeds]
-    return np.stack([np.zeros(len(hashes), dtype=U), *hashed]).astype(np.int32)
+    seeds = np.stack([one * U(4) + U(1), (mix(one) + two) * U(4) + U(2), two * U(4) + U(3), mix(three) * U(4) + U(3)])
+    found = np.zeros((5, len(at)), dtype=np.int32)
+    found[1:] = mix(seeds) % U(many - 1) + U(1)
+    return found
 
 
 def inside_class(buckets: np.ndarray, classes: np.ndarray, many: int) -> np.ndarray:
@@ -304,7 +301,7 @@ def inside_class(buckets: np.ndarray, classes: np.ndarray, many: int) -> np.ndar
 
 
 def class_weights(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Unnormalized class probabilities, the largest 1: [tokens, classes]."""
+    """Unnormalized probabilities, the largest 1: [tokens, outcomes]."""
     scores = weights[at[0]]
     for feature in at[1:]:
         scores += weights[feature]
@@ -312,6 +309,12 @@ def class_weights(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.exp(scores, out=scores)
 
 
+def split(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of classes and those of parts, each in one piece."""
+    many = weights.shape[1] - SUBS
+    return np.ascontiguousarray(weights[:, :many]), np.ascontiguousarray(weights[:, many:])
+
+
 def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ids = unpacked(row["ids"], np.int32)
     return np.array(row["bounds"]), unpacked(row["classes"], np.uint16)[ids], unpacked(row["parts"], np.uint8)[ids], unpacked(row["hashes"], np.uint32)[ids]
@@ -319,53 +322,53 @@ def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def _step(weights: np.ndarray, visits: np.ndarray, at: np.ndarray, observed: np.ndarray, random: np.random.Generator, step: float) -> None:
     """A stochastic gradient step of one softmax: the observed outcome gains what one drawn from the model loses."""
-    many = weights.shape[1]
+    many, flat = weights.shape[1], weights.reshape(-1)
     chance = class_weights(weights, at).cumsum(axis=1)
-    drawn = (chance < random.random((at.shape[1], 1), dtype=np.float32) * chance[:, -1:]).sum(axis=1)
+    drawn = np.minimum((chance < random.random((at.shape[1], 1), dtype=np.float32) * chance[:, -1:]).sum(axis=1), many - 1)
+    wrong = np.flatnonzero(drawn != observed)  # elsewhere gain and loss are one
     np.add.at(visits, at.reshape(-1), 1)
-    for feature in at.astype(np.int64):
-        size = (step / (visits[feature] / many**0.5 + 4)).astype(np.float32)
-        np.add.at(weights, (feature, observed), size)
-        np.subtract.at(weights, (feature, np.minimum(drawn, many - 1)), size)
+    for feature in at:
+        own = feature[wrong].astype(np.int64)
+        size = (step / (visits[own] / many**0.5 + 4)).astype(np.float32)
+        np.add.at(flat, own * many + observed[wrong], size)
+        np.subtract.at(flat, own * many + drawn[wrong], size)
     visits[at] = 0
 
 
-def learn(weights: np.ndarray, row: dict, step: float, room: int = SINGLES) -> int:
-    """Gradient steps over a block's training texts, in place; returns their tokens. Columns: classes, then parts."""
+def learn(classed: np.ndarray, parted: np.ndarray, row: dict, step: float, room: int = SINGLES) -> int:
+    """Gradient steps over a block's training texts, in place; returns their tokens."""
     bounds, classes, parts, hashes = _arrays(row)
     at = np.flatnonzero(np.repeat(~np.array(row["held"], dtype=bool), np.diff(bounds)))
-    if not len(at):
-        return 0
-    with np.errstate(over="ignore"):
-        buckets = features(hashes, bounds, len(weights))
-    many = weights.shape[1] - SUBS
-    visits = np.zeros(len(weights), dtype=np.int64)
+    visits = np.zeros(len(classed), dtype=np.int64)
     random = np.random.default_rng(row["block"] & 0xFFFFFFFF)
     for a in range(0, len(at), BATCH):
         mine = at[a : a + BATCH]
-        _step(weights[:, :many], visits, buckets[:, mine], classes[mine].astype(np.int64), random, step)
-        mine = mine[classes[mine] >= room]
-        if len(mine):
+        with np.errstate(over="ignore"):
+            buckets = features(hashes, bounds, len(classed), mine)
+        _step(classed, visits, buckets, classes[mine].astype(np.int64), random, step)
+        inner = classes[mine] >= room
+        if inner.any():
             with np.errstate(over="ignore"):
-                b = inside_class(buckets[:, mine], classes[mine], len(weights))
-            _step(weights[:, many:], visits, b, parts[mine].astype(np.int64), random, step)
+                b = inside_class(buckets[:, inner], classes[mine][inner], len(parted))
+            _step(parted, visits, b, parts[mine][inner].astype(np.int64), random, step)
     return len(at)
 
 
-def log_chances(weights: np.ndarray, row: dict, room: int) -> np.ndarray:
+def log_chances(classed: np.ndarray, parted: np.ndarray, row: dict, room: int) -> np.ndarray:
     """Natural logarithm of each token's class and part, by the two softmaxes."""
     bounds, classes, parts, hashes = _arrays(row)
-    with np.errstate(over="ignore"):
-        buckets = features(hashes, bounds, len(weights))
-    many, logs = weights.shape[1] - SUBS, np.zeros(len(classes))
+    logs = np.zeros(len(classes))
     for a in range(0, len(classes), BATCH):
         own = np.arange(a, min(a + BATCH, len(classes)))
-        chance = class_weights(weights[:, :many], buckets[:, own])
+        with np.errstate(over="ignore"):
+            buckets = features(hashes, bounds, len(classed), own)
+        chance = class_weights(classed, buckets)
         logs[own] = np.log(np.maximum(chance[np.arange(len(own)), classes[own]], 1e-30) / chance.sum(axis=1))
-        own = own[classes[own] >= room]
+        inner = classes[own] >= room
+        own = own[inner]
         if len(own):
             with np.errstate(over="ignore"):
-                chance = class_weights(weights[:, many:], inside_class(buckets[:, own], classes[own], len(weights)))
+                chance = class_weights(parted, inside_class(buckets[:, inner], classes[own], len(parted)))
             logs[own] += np.log(np.maximum(chance[np.arange(len(own)), parts[own]], 1e-30) / chance.sum(axis=1))
     return logs
 
@@ -386,15 +389,15 @@ def train(coded: DataFrame, spark, buckets: int, classes: int, total: int, room:
             def finish() -> Iterator[pa.RecordBatch]:
                 for k in range(SLICES if tokens else 0):
                     rows = slice(k * height, (k + 1) * height)
-                    part = (mine[rows] - start.value[rows]) * np.float32(tokens)
+                    part = (np.concatenate([m[rows] for m in mine], axis=1) - start.value[rows]) * np.float32(tokens)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int32()), pa.array([tokens]), pa.array([part.tobytes()])], names=["slice", "shard", "tokens", "part"])
 
             for batch in batches:
                 for row in batch.to_pylist():
                     if row["shard"] != now:
                         yield from finish()
-                        mine, tokens, now = start.value.copy(), 0, row["shard"]
-                    tokens += learn(mine, row, step, room)
+                        mine, tokens, now = split(start.value), 0, row["shard"]
+                    tokens += learn(*mine, row, step, room)
             yield from finish()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,10 +451,11 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
     weights, room = spark.sparkContext.broadcast(train(coded, spark, sizes.buckets, len(shares.mass), total, sizes.singles)), sizes.singles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = split(weights.value)
         for batch in batches:
             for row in batch.to_pylist():
                 bounds = np.array(row["bounds"])
-                outer = per_document(log_chances(weights.value, row, room), bounds) / np.log(10)
+                outer = per_document(log_chances(*own, row, room), bounds) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.diff(bounds)), pa.array(row["known"], pa.int64()),
