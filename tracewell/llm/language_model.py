@@ -302,9 +302,10 @@ def inside_class(buckets: np.ndarray, classes: np.ndarray, many: int) -> np.ndar
 
 def class_weights(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Unnormalized probabilities, the largest 1: [tokens, outcomes]."""
-    scores = weights[at[0]]
+    scores = weights.take(at[0], axis=0, mode="clip")
+    one = np.empty_like(scores)
     for feature in at[1:]:
-        scores += weights[feature]
+        scores += weights.take(feature, axis=0, mode="clip", out=one)
     scores -= scores.max(axis=1, keepdims=True)
     return np.exp(scores, out=scores)
 
@@ -323,8 +324,8 @@ def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def _step(weights: np.ndarray, visits: np.ndarray, at: np.ndarray, observed: np.ndarray, random: np.random.Generator, step: float) -> None:
     """A stochastic gradient step of one softmax: the observed outcome gains what one drawn from the model loses."""
     many, flat = weights.shape[1], weights.reshape(-1)
-    chance = class_weights(weights, at).cumsum(axis=1)
-    drawn = np.minimum((chance < random.random((at.shape[1], 1), dtype=np.float32) * chance[:, -1:]).sum(axis=1), many - 1)
+    chance = class_weights(weights, at) @ np.triu(np.ones((many, many), dtype=np.float32))  # running sums
+    drawn = (chance >= random.random((at.shape[1], 1), dtype=np.float32) * chance[:, -1:]).argmax(axis=1)
     wrong = np.flatnonzero(drawn != observed)  # elsewhere gain and loss are one
     np.add.at(visits, at.reshape(-1), 1)
     for feature in at:
