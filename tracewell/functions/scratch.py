@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset (tests, local mode)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error elsewhere."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", found)
         context.setCheckpointDir(found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ RRF_K = 60
 #: Fixed values of the rank formula: the default weight of a term and pi squared over 6.
 TERM_WEIGHT, RANK_NORM = 0.1, 1.64493406685
 PASSAGE = 280
+#: Rows of a block: at most 64 MB of scores in a task.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 16_384
 ABSTAIN_BELOW = 0.4
 LIST_QUESTION = r"(?i)\b(list|all|every|which|what are|enumerate)\b"
 
@@ -29,11 +33,38 @@ def _top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 20, scope: str | None = None) -> DataFrame:
-    """(query_id, rank, id, score) of queries (query_id, q) against vectors (id, v), within equal scope if given."""
-    on = F.lit(True) if scope is None else F.col(f"q_{scope}") == F.col(scope)
-    scored = queries.join(vectors, on & (F.col("query_id") != F.col("id")))
-    scored = scored.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
-    return _top(scored, k, F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
+    """(query_id, rank, id, score) of queries (query_id, q) against vectors (id, v), within equal scope if given.
+
+    Both sides are dealt into blocks by hash, whatever their scopes; a task takes one block of each, multiplies the unit
+    vectors and returns the first k of each query, so neither side is broadcast and no pair becomes a row. Rows without a
+    vector, or with a zero one, match nothing.
+    """
+    n_queries, n_vectors = (max(1, -(-x.count() // size)) for x, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    scope_of = lambda name: F.lit("") if scope is None else F.col(name).cast("string")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"), scope_of(f"q_{scope}").alias("s"), F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int").alias("qb"), every(n_vectors).alias("vb"))
+    given = vectors.select("id", F.col("v").cast("array<double>").alias("v"), scope_of(scope).alias("s"), F.pmod(F.xxhash64("id"), F.lit(n_vectors)).cast("int").alias("vb"), every(n_queries).alias("qb"))
+
+    def units(lists: pa.ChunkedArray) -> np.ndarray:
+        x = np.array(lists.to_pylist(), dtype=float)
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, out = right.column("id").to_numpy(), []
+        names, labels = right.column("s").to_pylist(), left.column("s").to_pylist()
+        if left.num_rows and right.num_rows:
+            scores = np.round(units(left.column("q")) @ units(right.column("v")).T, 6)
+            codes = {label: c for c, label in enumerate(set(names) | set(labels)) if label is not None}
+            mine, theirs = (np.array([codes.get(x, miss) for x in xs]) for xs, miss in ((labels, -1), (names, -2)))
+            for i, query in enumerate(left.column("query_id").to_pylist()):
+                at = np.flatnonzero((theirs == mine[i]) & (ids != query) & ~np.isnan(scores[i]))
+                at = at[np.lexsort((ids[at], -scores[i][at]))[:k]]
+                out += [(query, int(j), float(x)) for j, x in zip(ids[at], scores[i][at], strict=True)]
+        return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
+
+    valid = lambda rows, v: rows.where(F.exists(v, lambda x: x != 0))
+    met = valid(asked, "q").groupBy("qb", "vb").cogroup(valid(given, "v").groupBy("qb", "vb")).applyInArrow(lambda left, right: best(left, right), "query_id long, id long, score double")
+    return _top(met, k, F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score")
 
 
 def postings(docs: DataFrame) -> DataFrame:
