@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm import extraction, language_model, mixing, neardup, packing, quality, queries, secrets, token_counts
+from tracewell.llm import embeddings, extraction, language_model, mixing, neardup, packing, quality, queries, secrets, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -481,6 +481,23 @@ def test_embedding_dedup(spark, tmp_path):
     assert np.mean([got[i].component_id == c for i, c in expected.items()]) >= 0.9
 
 
+def test_embedding_dedup_of_buckets_over_one_block(spark):
+    """3,000 vectors around one, none equal: buckets of several blocks, a link for nearly every pair, and recall by cosine."""
+    random = np.random.default_rng(14)
+    centre = random.normal(size=64)
+    x = np.concatenate([centre + random.normal(size=(3000, 64)) * random.uniform(0.05, 0.42, (3000, 1)), random.normal(size=(200, 64))]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, 0)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table, Scratch(spark, "t")).collect()}
+    found, expected = np.array([got[i].n_links for i in range(len(x))]), (cosine >= 0.9).sum(axis=1)
+    assert (found <= expected).all() and found.sum() >= 0.9 * expected.sum() > 0
+    linked = {(i, j) for i, j in zip(*np.triu(cosine >= 0.9).nonzero(), strict=True)}
+    component = classes([(int(i), int(j)) for i, j in linked], range(len(x)))
+    assert np.mean([got[i].component_id == c for i, c in component.items()]) >= 0.9
+
+
 def test_mixing_meets_targets(spark, sf_dir):
     rows = queries.op9_mix_sources(spark, sf_dir).toPandas()
     assert (rows["taken"] <= 2 * rows["size"]).all()

@@ -32,6 +32,7 @@ TABLES = 16
 FUNCTIONS = 3
 COSINE = 0.9
 BLOCK = 1024
+SLICE = 1 << 15
 SEED = 20_240_501
 
 
@@ -99,14 +100,18 @@ def _links(x: np.ndarray, codes: np.ndarray, left: np.ndarray, right: np.ndarray
     i, j = (left[found.nonzero()[0]], right[found.nonzero()[1]])
     if left is right:
         i, j = i[(keep := i < j)], j[keep]
-    own_i, own_j = codes[i, :, 0], codes[j, :, 0]
-    j_finds, i_finds = (codes[j] == own_i[:, :, None]).any(axis=2), (codes[i] == own_j[:, :, None]).any(axis=2)
-    meet = j_finds | i_finds
-    first = meet.argmax(axis=1)
-    at = np.arange(len(i))
-    low = np.where(j_finds[at, first], own_i[at, first], np.iinfo(np.int64).max)
-    low = np.minimum(low, np.where(i_finds[at, first], own_j[at, first], np.iinfo(np.int64).max))
-    here = meet.any(axis=1) & (first == table) & (low == code)
+    # a pair of blocks of like vectors has up to a million links: their buckets are compared in slices
+    here = np.zeros(len(i), dtype=bool)
+    for a in range(0, len(i), SLICE):
+        x, y = i[a : a + SLICE], j[a : a + SLICE]
+        own_x, own_y = codes[x, :, 0], codes[y, :, 0]
+        y_finds, x_finds = (codes[y] == own_x[:, :, None]).any(axis=2), (codes[x] == own_y[:, :, None]).any(axis=2)
+        meet = y_finds | x_finds
+        first = meet.argmax(axis=1)
+        at = np.arange(len(x))
+        low = np.where(y_finds[at, first], own_x[at, first], np.iinfo(np.int64).max)
+        low = np.minimum(low, np.where(x_finds[at, first], own_y[at, first], np.iinfo(np.int64).max))
+        here[a : a + SLICE] = meet.any(axis=1) & (first == table) & (low == code)
     return i[here], j[here]
 
 
