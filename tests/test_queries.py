@@ -8,10 +8,10 @@ import compare
 import pytest
 
 import __spark_entry__
-from tracewell.plans import records, relational, retrieval
+from tracewell.plans import records, relational, retrieval, suites
 
-SQL = {**retrieval.ORACLE, **records.ORACLE, **relational.ORACLE}
-QUERIES = {**retrieval.QUERIES, **records.QUERIES, **relational.QUERIES}
+SQL = {**retrieval.ORACLE, **records.ORACLE, **relational.ORACLE, **suites.ORACLE}
+QUERIES = {**retrieval.QUERIES, **records.QUERIES, **relational.QUERIES, **suites.QUERIES}
 
 
 @pytest.fixture(scope="module")
