@@ -22,6 +22,19 @@ ARABIC_WORD = "[\u0621-\u064a]{3,}"
 VISUAL_ORDER = "^[\u0621-\u064a]+لا$|^اال[\u0621-\u064a]|^امل[\u0621-\u064a]"
 VISUAL_ORDER_LIMIT, RTL_SHARE = 0.05, 0.3
 ABSTAIN = "The BRDs do not specify this."
+#: Labels that name a part of a requirement, the words that titles write small, and what ends a sentence.
+SUB_LABELS = """acceptance criteria, acceptance criterion, description, details, notes, note, rationale, priority, source, trigger,
+ inputs, input, outputs, output, preconditions, pre-conditions, precondition, postconditions, post-conditions, postcondition,
+ main flow, basic flow, main success scenario, alternative flow, alternative flows, alternate flow, alternate flows,
+ exception flow, exception flows, exceptions, steps, expected result, expected results, fit criterion, validation,
+ validations, dependencies, actors, user story, story, business value, comments, معايير القبول, الوصف, ملاحظات, ملاحظة,
+ الشروط المسبقة, الشروط اللاحقة, التدفق الرئيسي, التدفق البديل, الاستثناءات, الأولوية, المصدر, الخطوات, النتيجة المتوقعة,
+ المدخلات, المخرجات"""
+PART_LABELS = """business rules, business rule, rules, validation rules, constraints, error handling, error messages, messages,
+ notifications, permissions, fields, data fields, ui notes, قواعد العمل, القيود, الرسائل, الإشعارات, الصلاحيات, الحقول"""
+SMALL_WORDS = "a an and as at by for from in into of on or per the to via vs with without"
+BOLD_LINE = r"^\*\*(.+?)\*\*:?$"
+TITLE_CHARS, TITLE_WORDS, PLAIN_TITLE_WORDS = 90, 10, 6
 WORD = r"[\p{L}\p{N}]+"
 UNIT_SEPARATOR = "\x1f"
 
@@ -99,6 +112,60 @@ def looks_table(text: Column) -> Column:
     return (F.size(lines) >= 2) & (piped >= 2) & (piped >= F.size(lines) * 0.6)
 
 
+def plain_line(line: Column) -> Column:
+    """Trimmed, without the marks of a line that is bold as a whole."""
+    return F.trim(F.regexp_replace(F.trim(line), BOLD_LINE, "$1"))
+
+
+def _among(line: Column, *lists: str) -> Column:
+    known = [x.strip() for names in lists for x in names.replace("\n", " ").split(",")]
+    return F.lower(F.trim(F.regexp_replace(plain_line(line), ":+$", ""))).isin(known)
+
+
+def is_sub_label(line: Column) -> Column:
+    return _among(line, SUB_LABELS)
+
+
+def is_part_label(line: Column) -> Column:
+    """Whether a label names a part of the requirement it stands in."""
+    return _among(line, SUB_LABELS, PART_LABELS)
+
+
+def title_like(block: Column) -> Column:
+    """The title that a block of one short line is, else null: bold, or capitalised in Latin script, or of few other words."""
+    line = F.trim(block)
+    bold = F.rlike(line, F.lit(BOLD_LINE))
+    title = plain_line(line)
+    words = F.split(F.trim(F.regexp_replace(title, ":+$", "")), r"\s+")
+    latin = F.filter(words, lambda w: F.rlike(w, F.lit("^[A-Za-z]")))
+    told = F.filter(latin, lambda w: ~F.lower(w).isin(SMALL_WORDS.split()))
+    capital = (F.size(told) > 0) & F.forall(told, lambda w: F.rlike(w, F.lit("^[A-Z]")))
+    apt = (
+        ~F.rlike(line, F.lit(r"\n|\||^(?:- |\* |> |#)"))
+        & F.length(title).between(1, TITLE_CHARS)
+        & ~is_sub_label(title)
+        & ~F.rlike(title, F.lit("[.;,!?؟؛،۔]$"))
+        & (bold | ~title.endswith(":"))
+        & (F.size(words) <= TITLE_WORDS)
+    )
+    shaped = F.when(F.size(latin) * 2 > F.size(words), capital).otherwise(F.size(words) <= PLAIN_TITLE_WORDS)
+    return F.when(apt & bold, F.trim(F.regexp_replace(title, ":+$", ""))).when(apt & shaped, title)
+
+
+def row_id(row: Column, owner: Column) -> Column:
+    """A table row's id: that in its first cell, else its owner's, else the only one it mentions."""
+    first = _written(F.regexp_extract(F.substring_index(F.regexp_replace(F.trim(row), r"^\|+", ""), "|", 1), REQUIREMENT_ID, 1))
+    ids = F.array_distinct(F.transform(F.regexp_extract_all(row, F.lit(REQUIREMENT_ID), F.lit(1)), lambda i: F.regexp_replace(i, "[_ ]", "-")))
+    return F.coalesce(first, owner, F.when(F.size(ids) == 1, F.get(ids, F.lit(0))))
+
+
+def requirement_label(block: Column) -> Column:
+    """The first line of a block, up to its first sentence end or to where the story begins; cut at a word after 100 characters."""
+    line = collapse(plain_line(F.substring_index(F.trim(block), "\n", 1)))
+    short = F.regexp_extract(line, r"^(.*?)(?:\s(?=As an?\s)|(?<=[.!?؟])\s|$)", 1)
+    return F.when(F.length(short) <= 100, short).otherwise(F.concat(F.regexp_replace(F.substring(short, 1, 100), r" [^ ]*$", ""), F.lit("…")))
+
+
 def row_text(text: Column) -> Column:
     """The data row where a text is a table row under its header (two piped lines, and they are the last), else the text."""
     lines = text_lines(text)

@@ -333,7 +333,7 @@ def s6_sections(spark, sf_dir):
     """Documents as Markdown: each source a chapter, the first line a heading."""
     d = table(spark, sf_dir, "documents")
     md = F.concat(F.lit("# "), F.coalesce("source", F.lit("none")), F.lit("\n## "), F.regexp_replace("text", "\n", "\n\n"))
-    return C.per_document(d.select("doc_id", md.alias("text")), C.markdown_sections, "title string, section_path string, page int, body string")
+    return C.per_document(d.select("doc_id", md.alias("text")), C.markdown_sections, "title string, section string, section_path string, page int, body string")
 
 
 def st_tumbling(spark, sf_dir):
