@@ -21,6 +21,11 @@ AFTER_OPENING = r"^(?:\s*(?:[:|–—)\-.]|\*\*)|\s+[^\sa-z])"
 ARABIC_WORD = "[\u0621-\u064a]{3,}"
 VISUAL_ORDER = "^[\u0621-\u064a]+لا$|^اال[\u0621-\u064a]|^امل[\u0621-\u064a]"
 VISUAL_ORDER_LIMIT, RTL_SHARE = 0.05, 0.3
+CONTENT_WORD = r"[\p{L}]{4,}"
+FILLER = """what which when where does this that these those with from have about there their they them then than into your some
+ more also only such each based provided sources source following include includes including would should could"""
+SUPPORT_WORDS, SUPPORT_SHARE = 3, 0.7
+CASE_TYPES = ("functional", "negative")
 ABSTAIN = "The BRDs do not specify this."
 #: Labels that name a part of a requirement, the words that titles write small, and what ends a sentence.
 SUB_LABELS = """acceptance criteria, acceptance criterion, description, details, notes, note, rationale, priority, source, trigger,
@@ -252,3 +257,38 @@ def visual_order_ratio(text: Column) -> Column:
     """Share of Arabic words that show a reversed article or a swapped lam-alef: the sign of extraction in visual order."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({ARABIC_WORD})"), F.lit(1))
     return F.coalesce(F.size(F.filter(words, lambda w: F.rlike(w, F.lit(VISUAL_ORDER)))) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0))
+
+
+def content_words(text: Column) -> Column:
+    """Distinct lower-case words of four letters or more that carry content."""
+    words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({CONTENT_WORD})"), F.lit(1)), lambda w: F.lower(w))
+    return F.array_except(words, F.array(*map(F.lit, FILLER.split())))
+
+
+def rerank_text(path: Column, text: Column) -> Column:
+    """A passage under its path, unless it begins with the path's last label (its first 40 characters) already."""
+    label = F.substring(F.element_at(F.split(path, " / "), -1), 1, 40)
+    return F.when((F.length(path) > 0) & ~F.startswith(F.regexp_replace(text, r"^\s+", ""), label), F.concat_ws("\n", path, text)).otherwise(text)
+
+
+def conserved(whole: Column, pieces: Column) -> Column:
+    """Whether pieces hold all of a text and nothing else, white space aside."""
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    return bare(whole) == bare(F.array_join(pieces, ""))
+
+
+def clean_filename(name: Column, length: int = 120) -> Column:
+    """File name without folders, control and reserved characters, and outer blanks or dots; "file" where nothing is left."""
+    base = F.regexp_replace(name, r"^.*[/\\\\]", "")
+    plain = F.regexp_replace(F.regexp_replace(base, r"[\x00-\x1f\x7f<>:\"|?*]", ""), r"^[\s.]+|[\s.]+$", "")
+    return F.coalesce(F.nullif(F.substring(plain, 1, length), F.lit("")), F.lit("file"))
+
+
+def clean_mime(mime: Column) -> Column:
+    """Media type in lower case without parameters; octet-stream where it is none."""
+    plain = F.lower(F.trim(F.substring_index(mime, ";", 1)))
+    return F.when(F.rlike(plain, F.lit(r"^[a-z0-9.+-]+/[a-z0-9.+-]+$")), plain).otherwise("application/octet-stream")
+
+
+def valid_link(link: Column) -> Column:
+    return F.coalesce(F.rlike(F.trim(link), F.lit(r"^(?i)https?://[^\s/?#]+[^\s]*$")), F.lit(False))

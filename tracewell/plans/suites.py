@@ -1,4 +1,4 @@
-"""Queries on suites of cases and test cycles, with the SQL that they are compared with."""
+"""Queries on suites of cases, test cycles, answers and chunks, with the SQL that they are compared with."""
 
 from __future__ import annotations
 
@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions import text as T
 from tracewell.functions.scratch import Scratch
+from tracewell.operators import answers as A
 from tracewell.operators import cycles as C
 from tracewell.operators import suites as S
+from tracewell.operators import units as U
 from tracewell.plans.records import _CASE, _events
 from tracewell.plans.retrieval import table
 
@@ -316,3 +319,104 @@ def e13_purge(spark, sf_dir):
     gone = table(spark, sf_dir, "nation").where("n_nationkey = 5").select("n_nationkey")
     left = C.purge({name: (table(spark, sf_dir, name), column) for name, column in named.items()}, gone, "n_nationkey")
     return reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in left.items()])
+
+
+# --- chunks: documents made from tables, so that SQL knows what they hold
+
+
+@query("""with c as (select n_nationkey as doc_id, trim(n_name) as section, c_custkey, 'FR-' || c_custkey || ' The ' || trim(c_name) || ' pays.' as text, count(*) over (partition by n_nationkey) as n from customer join nation on n_nationkey = c_nationkey)
+  select doc_id, row_number() over (partition by doc_id order by c_custkey) - 1 as ordinal, section, 'Bank / ' || section || case when n > 1 then ' / ' || text else '' end as section_path, 'FR-' || c_custkey as req_id, text, sha256(text) as content_hash from c""")
+def t6_upload_chunks(spark, sf_dir):
+    """Nations as documents, their customers as requirements in running text."""
+    pays = F.struct("c_custkey", F.concat(_text("FR-", "$c_custkey", " The "), F.trim("c_name"), F.lit(" pays.")).alias("t"))
+    bodies = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pays)), lambda r: r["t"]), "\n\n").alias("body"))
+    docs = bodies.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    docs = docs.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("# Bank\n\n## "), F.trim("n_name"), F.lit("\n\n"), F.col("body")).alias("text"))
+    return U.upload_chunks(U.sections(docs), Scratch(spark, "chunks")).select("doc_id", "ordinal", "section", "section_path", "req_id", "text", "content_hash")
+
+
+@query("""select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag) - 1 as ordinal, '| part | flag | | ' || l_partkey || ' | ' || l_returnflag || ' |' as label,
+  '| part | flag |' || chr(10) || '| ' || l_partkey || ' | ' || l_returnflag || ' |' as text from lineitem""")
+def t5_markdown_chunks(spark, sf_dir):
+    """Orders as documents with a table of their lines."""
+    row = F.struct("l_linenumber", "l_partkey", "l_returnflag", _text("| ", "$l_partkey", " | ", "$l_returnflag", " |").alias("t"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["t"]), "\n")
+    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("## Lines\n\n| part | flag |\n| --- | --- |\n"), rows).alias("text"))
+    return U.markdown_chunks(U.sections(docs)).select("doc_id", "ordinal", "label", "text")
+
+
+@query("select o_orderkey, case o_orderkey % 4 when 0 then 'Business Value' when 1 then 'Reporting Module' when 2 then null else 'Audit' end as title, o_orderkey % 4 = 0 as part, case o_orderkey % 4 when 0 then 'FR-1' when 1 then 'BR-' || o_orderkey when 3 then 'US-9' end as row_id from orders")
+def f12_f14_titles_and_row_ids(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string")
+    pick = lambda *forms: F.element_at(F.array(*[f if not isinstance(f, str) else F.lit(f) for f in forms]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    line = pick("Business Value", "Reporting Module", "the users may go on", "**Audit**:")
+    row = pick("| FR 1 | see BR-2 |", F.concat(F.lit("| Login | BR-"), key, F.lit(" |")), "| Both | FR-1, FR-2 |", "| x | FR-1, FR-2 |")
+    owner = F.when(F.col("o_orderkey") % 4 == 3, "US-9")
+    title = F.coalesce(T.title_like(line), F.when(T.is_sub_label(line), line))
+    return table(spark, sf_dir, "orders").select("o_orderkey", title.alias("title"), T.is_part_label(line).alias("part"), T.row_id(row, owner).alias("row_id"))
+
+
+# --- answers and text
+
+
+_WORDS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[\\p{{L}}]{{4,}}'), lambda w: not list_contains(['" + "','".join(T.FILLER.split()) + "'], w)))"
+
+
+@query(f"""with s as (select conv_id as id, turn + 1 as n, {_WORDS.format("text")} as v from conversations where role = 'user' and text is not null),
+  a as (select conv_id * 1000 + turn as id, conv_id, text, {_WORDS.format("split_part(text, E'\\n', 1)")} as w from conversations where text is not null and not contains(text, E'\\n') and not contains(text, '[')),
+  r as (select a.id, n, row_number() over (partition by a.id order by len(list_intersect(w, v)) desc, n desc) as k from a join s on s.id = a.conv_id where len(w) >= 3 and len(list_intersect(w, v)) >= 0.7 * len(w))
+  select a.id, rtrim(a.text, ' ') || coalesce(' [' || n || ']', '') || substr(a.text, length(rtrim(a.text, ' ')) + 1) as text from a left join r on r.id = a.id and k = 1""")
+def f22_attach_citations(spark, sf_dir):
+    """One-line turns as answers, the user turns of their conversation as sources."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    turns = c.where(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit("["))).select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    users = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("n"), F.col("text").alias("source"))
+    sources = turns.select("conv_id", "id").join(users, "conv_id").select("id", "n", F.col("source").alias("text"))
+    return A.attach_citations(turns.select("id", "text"), sources)
+
+
+@query("""select role, count(*) as n, round(avg((turn % 4 in (0, 1) or (turn % 4 = 2 and conv_id between 1 and 8))::int::double), 6) as grounded,
+  round(avg(case when conv_id % 3 <> 0 then (turn % 4 = 2 and conv_id in (1, 2, 4, 8))::int::double end), 6) as citation_hit, round(avg(((turn % 4 = 1) = (conv_id % 3 = 0))::int::double), 6) as abstention from conversations group by 1""")
+def v7_answer_figures(spark, sf_dir):
+    forms = [F.lit("  "), F.concat(F.lit("Sorry. "), F.lit(T.ABSTAIN)), F.concat(F.lit("It does ["), F.col("conv_id").cast("string"), F.lit("].")), F.lit("It does not say.")]
+    expected = F.when(F.col("conv_id") % 3 == 0, F.array().cast("array<int>")).otherwise(F.array(*map(F.lit, (1, 2, 4, 8))))
+    rows = table(spark, sf_dir, "conversations").select("role", F.element_at(F.array(*forms), (F.col("turn") % 4 + 1).cast("int")).alias("text"), F.lit(8).alias("n_sources"), expected.alias("expected"))
+    return A.answer_figures(rows, "role")
+
+
+@query("""select o_orderkey, 'Order of ' || o_custkey as title, case when o_orderstatus = 'F' then 'negative' else 'functional' end as case_type, n as n_sources from orders join (select l_orderkey, count(distinct l_partkey) as n from lineitem where l_partkey % 2 = 0 and l_partkey <= 1000 group by 1) l on l_orderkey = o_orderkey where o_orderkey % 5 <> 0""")
+def f27_clean_cards(spark, sf_dir):
+    sources = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list("l_partkey").alias("sources"))
+    title = F.when(F.col("o_orderkey") % 5 == 0, " \n ").otherwise(_text("  Order \n of ", "$o_custkey"))
+    kind = F.when(F.col("o_orderstatus") == "F", " Negative ").otherwise("whatever")
+    cards = table(spark, sf_dir, "orders").join(sources, "o_orderkey").select("o_orderkey", title.alias("title"), kind.alias("case_type"), "sources")
+    found = A.clean_cards(cards, F.sequence(F.lit(0).cast("long"), F.lit(1000).cast("long"), F.lit(2).cast("long")))
+    return found.select("o_orderkey", "title", "case_type", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query("select doc_id, true as whole, coalesce(length(regexp_replace(text, '\\s', '', 'g')) = 0, false) as short from documents where text is not null")
+def f25_conserved(spark, sf_dir):
+    """Lines put together again hold all of a text; with a line too many they do only where nothing is added."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    lines = F.split("text", "\n")
+    return docs.select("doc_id", T.conserved(F.col("text"), lines).alias("whole"), T.conserved(F.col("text"), F.array_append(lines, F.col("text"))).alias("short"))
+
+
+@query("select o_orderkey, 'order ' || o_orderkey || '.docx' as name, case when o_orderkey % 2 = 0 then 'text/plain' else 'application/octet-stream' end as mime, o_orderkey % 3 = 0 as link from orders")
+def f28_clean_names(spark, sf_dir):
+    name = F.concat(_text("C:\\in/../ .order ", "$o_orderkey"), F.lit('?".docx. '))
+    mime = F.when(F.col("o_orderkey") % 2 == 0, "Text/Plain; charset=utf-8").otherwise("nonsense")
+    link = F.element_at(F.array(F.lit("https://a.example/x?y"), F.lit("javascript:alert(1)"), F.lit("http:// a")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.clean_filename(name).alias("name"), T.clean_mime(mime).alias("mime"), T.valid_link(link).alias("link"))
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then p_brand || ' / ' || p_name || chr(10) || 'A part.' else ' ' || p_name || ': a part.' end as passage from part")
+def r8_rerank_text(spark, sf_dir):
+    text = F.when(F.col("p_partkey") % 2 == 0, "A part.").otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit(": a part.")))
+    return table(spark, sf_dir, "part").select("p_partkey", T.rerank_text(F.concat_ws(" / ", "p_brand", "p_name"), text).alias("passage"))
+
+
+@query("select vec_id from embeddings where not exists (select 1 from labels where labels.doc_id = vec_id)")
+def q7_orphans(spark, sf_dir):
+    """Vectors that no row refers to."""
+    return table(spark, sf_dir, "embeddings").select("vec_id").join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_anti")
