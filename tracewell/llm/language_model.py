@@ -60,6 +60,10 @@ TRAINERS = 8
 TOKEN_BYTES = 6
 STEP = 0.5
 BATCH = 4096
+CHUNK = 1024  # tokens whose probabilities are held at once, small enough for a core's cache
+RUN = 8  # outcomes drawn together first; divides the number of classes and of parts
+REACH = 16.0  # the largest weight: no product of five exponentials leaves float32
+LOWEST, HIGHEST = np.exp(np.array([-REACH, REACH], dtype=np.float32))
 BLOCKS_PER_PART = 16
 ADDED = 0.1
 U = np.uint64
@@ -131,7 +135,9 @@ def _tokenize(block: pa.RecordBatch) -> dict:
     spots[until[1:] - 1] = False
     tokens[spots] = index[keep]
     hashes = pd.util.hash_array(np.asarray(words, dtype=object), categorize=False).view(np.int64) if words else np.zeros(0, dtype=np.int64)
-    endings = np.array([zlib.crc32(w[-2:].encode()) % ENDINGS for w in words] + [0], dtype=np.uint8)
+    last = pc.utf8_slice_codeunits(coded.dictionary, -2).dictionary_encode()
+    ending_of = np.array([zlib.crc32(e.encode()) % ENDINGS for e in last.dictionary.to_pylist()], dtype=np.uint8)
+    endings = np.append(ending_of[last.indices.to_numpy()], np.uint8(0))
     hashes = np.append(hashes, END)
     learned = np.bincount(tokens[np.repeat(~held, np.diff(until))], minlength=len(words) + 1)
     name = zlib.crc32(tokens.tobytes()) << 31 | zlib.crc32(repr(ids).encode()) >> 1
@@ -300,20 +306,49 @@ def inside_class(buckets: np.ndarray, classes: np.ndarray, many: int) -> np.ndar
     return (mix(buckets.astype(U) * GOLDEN + classes.astype(U) + U(1)) % U(many)).astype(np.int32)
 
 
-def class_weights(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Unnormalized probabilities, the largest 1: [tokens, outcomes]."""
-    scores = weights.take(at[0], axis=0, mode="clip")
-    one = np.empty_like(scores)
-    for feature in at[1:]:
-        scores += weights.take(feature, axis=0, mode="clip", out=one)
-    scores -= scores.max(axis=1, keepdims=True)
-    return np.exp(scores, out=scores)
+def class_weights(powers: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Unnormalized probabilities [tokens, outcomes]: products of the exponentials of weights."""
+    found = powers.take(at[1], axis=0, mode="clip")
+    one = np.empty_like(found)
+    for feature in at[2:]:
+        found *= powers.take(feature, axis=0, mode="clip", out=one)
+    bias = at[0]
+    found *= powers[bias[:1]] if (bias == bias[0]).all() else powers.take(bias, axis=0, mode="clip", out=one)
+    return found
+
+
+def draw(powers: np.ndarray, at: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """An outcome drawn from the model for each token: first a run of outcomes, then one of the run."""
+    many = powers.shape[1]
+    runs = many // RUN
+    members = np.repeat(np.eye(runs, dtype=np.float32), RUN, axis=0)
+    upto, inside = np.triu(np.ones((runs, runs), dtype=np.float32)), np.triu(np.ones((RUN, RUN), dtype=np.float32))
+    thresholds = random.random((2, at.shape[1], 1), dtype=np.float32)
+    drawn = np.empty(at.shape[1], dtype=np.int64)
+    for a in range(0, at.shape[1], CHUNK):
+        rows = slice(a, a + CHUNK)
+        chance = class_weights(powers, at[:, rows])
+        sums = chance @ members @ upto
+        if not (sums[:, -1].min() > 0 and np.isfinite(sums[:, -1].max())):  # weights outran float32
+            np.clip(powers, LOWEST, HIGHEST, out=powers)
+            chance = class_weights(powers, at[:, rows])
+            sums = chance @ members @ upto
+        run = (sums >= thresholds[0, rows] * sums[:, -1:]).argmax(axis=1)
+        sums = chance.reshape(-1, RUN).take(np.arange(len(run)) * runs + run, axis=0) @ inside
+        drawn[rows] = run * RUN + (sums >= thresholds[1, rows] * sums[:, -1:]).argmax(axis=1)
+    return drawn
+
+
+def log_chance(powers: np.ndarray, at: np.ndarray, observed: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each observed outcome."""
+    chance = class_weights(powers, at)
+    return np.log(chance[np.arange(len(observed)), observed] / (chance @ np.ones(chance.shape[1], dtype=np.float32)))
 
 
 def split(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The weights of classes and those of parts, each in one piece."""
+    """The exponentials of the weights of classes and of those of parts, each in one piece."""
     many = weights.shape[1] - SUBS
-    return np.ascontiguousarray(weights[:, :many]), np.ascontiguousarray(weights[:, many:])
+    return tuple(np.exp(np.clip(part, -REACH, REACH)) for part in (weights[:, :many], weights[:, many:]))
 
 
 def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -321,18 +356,21 @@ def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.array(row["bounds"]), unpacked(row["classes"], np.uint16)[ids], unpacked(row["parts"], np.uint8)[ids], unpacked(row["hashes"], np.uint32)[ids]
 
 
-def _step(weights: np.ndarray, visits: np.ndarray, at: np.ndarray, observed: np.ndarray, random: np.random.Generator, step: float) -> None:
-    """A stochastic gradient step of one softmax: the observed outcome gains what one drawn from the model loses."""
-    many, flat = weights.shape[1], weights.reshape(-1)
-    chance = class_weights(weights, at) @ np.triu(np.ones((many, many), dtype=np.float32))  # running sums
-    drawn = (chance >= random.random((at.shape[1], 1), dtype=np.float32) * chance[:, -1:]).argmax(axis=1)
+def _step(powers: np.ndarray, visits: np.ndarray, at: np.ndarray, observed: np.ndarray, random: np.random.Generator, step: float) -> None:
+    """A stochastic gradient step of one softmax: the observed outcome gains what one drawn from the model loses.
+
+    Weights are held as exponentials, so a sum is a product and a token costs no exponential for each outcome.
+    """
+    many, flat = powers.shape[1], powers.reshape(-1)
+    drawn = draw(powers, at, random)
     wrong = np.flatnonzero(drawn != observed)  # elsewhere gain and loss are one
     np.add.at(visits, at.reshape(-1), 1)
     for feature in at:
         own = feature[wrong].astype(np.int64)
-        size = (step / (visits[own] / many**0.5 + 4)).astype(np.float32)
-        np.add.at(flat, own * many + observed[wrong], size)
-        np.subtract.at(flat, own * many + drawn[wrong], size)
+        gain = np.exp((step / (visits[own] / many**0.5 + 4)).astype(np.float32))
+        own *= many
+        np.multiply.at(flat, own + observed[wrong], gain)
+        np.divide.at(flat, own + drawn[wrong], gain)
     visits[at] = 0
 
 
@@ -359,18 +397,16 @@ def log_chances(classed: np.ndarray, parted: np.ndarray, row: dict, room: int) -
     """Natural logarithm of each token's class and part, by the two softmaxes."""
     bounds, classes, parts, hashes = _arrays(row)
     logs = np.zeros(len(classes))
-    for a in range(0, len(classes), BATCH):
-        own = np.arange(a, min(a + BATCH, len(classes)))
+    for a in range(0, len(classes), CHUNK):
+        own = np.arange(a, min(a + CHUNK, len(classes)))
         with np.errstate(over="ignore"):
             buckets = features(hashes, bounds, len(classed), own)
-        chance = class_weights(classed, buckets)
-        logs[own] = np.log(np.maximum(chance[np.arange(len(own)), classes[own]], 1e-30) / chance.sum(axis=1))
+        logs[own] = log_chance(classed, buckets, classes[own])
         inner = classes[own] >= room
         own = own[inner]
         if len(own):
             with np.errstate(over="ignore"):
-                chance = class_weights(parted, inside_class(buckets[:, inner], classes[own], len(parted)))
-            logs[own] += np.log(np.maximum(chance[np.arange(len(own)), parts[own]], 1e-30) / chance.sum(axis=1))
+                logs[own] += log_chance(parted, inside_class(buckets[:, inner], classes[own], len(parted)), parts[own])
     return logs
 
 
@@ -390,7 +426,7 @@ def train(coded: DataFrame, spark, buckets: int, classes: int, total: int, room:
             def finish() -> Iterator[pa.RecordBatch]:
                 for k in range(SLICES if tokens else 0):
                     rows = slice(k * height, (k + 1) * height)
-                    part = (np.concatenate([m[rows] for m in mine], axis=1) - start.value[rows]) * np.float32(tokens)
+                    part = (np.log(np.concatenate([m[rows] for m in mine], axis=1)) - start.value[rows]) * np.float32(tokens)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int32()), pa.array([tokens]), pa.array([part.tobytes()])], names=["slice", "shard", "tokens", "part"])
 
             for batch in batches:
