@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions import questions as N
 from tracewell.functions import text as T
 from tracewell.functions.scratch import Scratch
 from tracewell.operators import answers as A
+from tracewell.operators import batches as B
 from tracewell.operators import cycles as C
 from tracewell.operators import suites as S
 from tracewell.operators import units as U
@@ -420,3 +422,41 @@ def r8_rerank_text(spark, sf_dir):
 def q7_orphans(spark, sf_dir):
     """Vectors that no row refers to."""
     return table(spark, sf_dir, "embeddings").select("vec_id").join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_anti")
+
+
+# --- forms of questions, edits of a span, batches to embed
+
+
+@query("select o_orderkey, 'fi ' || o_orderkey || chr(10) || ' kg' as text, 'strasse ' || o_orderkey || ' fi' as key from orders")
+def f4_f5_compatible_forms(spark, sf_dir):
+    text = _text("\ufb01\u200b\t ", "$o_orderkey", "\x01\n\u00a0\u338f")
+    question = _text("\u3000Stra\u00dfe  ", "$o_orderkey", " \ufb01 ?!\u061f ")
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.extracted_text(text).alias("text"), N.question_key(question).alias("key"))
+
+
+@query("""select conv_id, turn, turn % 4 = 0 as smalltalk, turn % 4 = 1 as back, turn % 4 = 2 as usable from conversations""")
+def f23_question_forms(spark, sf_dir):
+    forms = ["  Hello, order", "Hither and what of its price", "payments for order", "Let me see the payments for order"]
+    question = F.concat(F.element_at(F.array(*map(F.lit, forms)), (F.col("turn") % 4 + 1).cast("int")), F.lit(" "), F.col("conv_id").cast("string"))
+    usable = N.is_usable_rewrite(question, F.lit("Which payments are late?"), F.lit(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", N.is_smalltalk(question).alias("smalltalk"), N.points_back(question).alias("back"), usable.alias("usable"))
+
+
+@query("""select o_orderkey, case o_orderkey % 4 when 0 then 'Pay (' || o_orderkey || ') now.' when 1 then 'Pay ('  || o_orderkey || ')' || chr(10) || ' in [a\\E.b]' end as text from orders""")
+def f24_span_edits(spark, sf_dir):
+    """A span as it stands, one with other white space and pattern characters, one that is missing, one replaced by itself."""
+    kind = (F.col("o_orderkey") % 4 + 1).cast("int")
+    pick = lambda *forms: F.element_at(F.array(*map(F.lit, forms)), kind)
+    text = F.concat(_text("Pay (", "$o_orderkey", ")"), pick(" later.", "\n on  [a\\E.b]", " soon", " soon"))
+    find = pick("later.", "on [a\\E.b]", "never", "soon")
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.edited(text, find, pick("now.", "in [a\\E.b]", "x", "soon")).alias("text"))
+
+
+@query("""with t as (select distinct sha256(text) as embed_hash, text from documents where text is not null)
+  select embed_hash, greatest(1, length(text) // 4)::int as tokens, true as fits from t where embed_hash not in (select sha256(text) from documents where text is not null and doc_id % 3 = 0)""")
+def q4_token_batches(spark, sf_dir):
+    """Distinct texts that no document with an id divisible by 3 has, and whether each batch keeps its bounds."""
+    texts = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("embed_hash"), "text")
+    batched = Scratch(spark, "batches").save(B.token_batches(texts, texts.where("doc_id % 3 = 0")).select("embed_hash", "tokens", "batch"), "rows")
+    fits = (F.count("*") == 1) | ((F.count("*") <= B.BATCH_TEXTS) & (F.sum("tokens") <= B.BATCH_TOKENS))
+    return batched.join(batched.groupBy("batch").agg(fits.alias("fits")), "batch").select("embed_hash", "tokens", "fits")
