@@ -426,7 +426,8 @@ def train(coded: DataFrame, spark, buckets: int, classes: int, total: int, room:
             def finish() -> Iterator[pa.RecordBatch]:
                 for k in range(SLICES if tokens else 0):
                     rows = slice(k * height, (k + 1) * height)
-                    part = (np.log(np.concatenate([m[rows] for m in mine], axis=1)) - start.value[rows]) * np.float32(tokens)
+                    # weights that were never touched change by nothing, not by a rounding error
+                    part = np.log(np.concatenate([m[rows] / first for m, first in zip(mine, split(start.value[rows]), strict=True)], axis=1)) * np.float32(tokens)
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([now], pa.int32()), pa.array([tokens]), pa.array([part.tobytes()])], names=["slice", "shard", "tokens", "part"])
 
             for batch in batches:
