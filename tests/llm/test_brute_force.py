@@ -12,10 +12,11 @@ from html.parser import HTMLParser
 
 import compare
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm import embeddings, extraction, language_model, mixing, neardup, packing, quality, queries, secrets, token_counts
+from tracewell.llm import collocations, embeddings, extraction, language_model, mixing, neardup, packing, quality, queries, secrets, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -625,3 +626,55 @@ def test_html_extraction(spark):
         assert got[r.page_id].text == main_lines(Lines(r.html or "").lines) and got[r.page_id].n_chars == len(got[r.page_id].text)
     same = [extraction.main_text(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r.html or "")) == got[r.page_id].text for r in pages]
     assert np.mean(same) >= 0.95
+
+
+def collocations_by_hand(rows, least, longest, overlap, top):
+    """Every phrase counted in a dictionary, every cut and cover looked up: the definition, one language after another."""
+    f, total = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower):
+            words = [w for w in re.split("[ \t]+", piece) if w]
+            total[lang] += len(words)
+            for n in range(1, longest + 1):
+                f[lang].update(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    out = set()
+    for lang, counts in f.items():
+        chosen = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        kept = []
+        for p, a in chosen.items():
+            inside = lambda q: len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))  # noqa: B023, E731
+            if any(100 * b >= overlap * a and inside(q) for q, b in chosen.items()):
+                continue
+            score, k = min((1_000_000 * a * a // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        out |= {(lang, rank, p.decode(), -a, left, right, total[lang], -score) for rank, (score, a, p, left, right) in enumerate(sorted(kept)[:top], 1)}
+    return out
+
+
+@pytest.mark.parametrize(("least", "longest", "overlap", "top"), [(10, 3, 50, 2000), (2, 4, 80, 7), (3, 2, 50, 50)])
+def test_collocations(spark, least, longest, overlap, top):
+    random = np.random.default_rng(5)
+    words = ["a", "b", "B", "ab", "été", "É", "x y", "😀", "c.", "d,", "(e)", "\x1f", "a\tb", "c\nd", "e\x0bf", "longer", "word"]
+    rows = [(["en", "de", None, "und"][i % 4], " ".join(random.choice(words, int(random.integers(0, 40))))) for i in range(120)]
+    rows += [("en", None), ("en", ""), ("fr", "one two three. " * 30), ("fr", "one two " * 2000), ("es", "x" * 100_000 + " y"), (None, ",;")]
+    docs = spark.createDataFrame([(*r, "mine", 1) for r in rows], "lang string, text string, phrase string, f int").repartition(5)
+    found = collocations.collocations(docs, Scratch(spark, "t"), least, longest, overlap, top)
+    assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert {tuple(r) for r in found.collect()} == collocations_by_hand(rows, least, longest, overlap, top)
+
+
+def test_collocations_several_automata_and_large_numbers(spark, monkeypatch):
+    """Few phrases to an automaton, a full sketch and small blocks change nothing; products pass 64 bits."""
+    rows = [("en", "alpha beta gamma. beta gamma alpha, " * 9), ("en", "alpha beta")] * 3
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    pieces = collocations.Pieces(pa.array([t for _, t in rows]), "en")
+    phrases = ["alpha beta", "beta gamma", "gamma alpha", "alpha beta gamma", "beta gamma alpha", "gamma beta"]
+    assert collocations.scan(pieces, phrases, 2).tolist() == collocations.scan(pieces, phrases).tolist() == [30, 54, 27, 27, 27, 0]
+    expected = collocations_by_hand(rows, 10, 3, 50, 2000)
+    monkeypatch.setattr(collocations, "LEAST_BITS", 9)  # most counters are shared
+    monkeypatch.setattr(collocations, "MOST_BITS", 9)
+    assert {tuple(r) for r in collocations.collocations(docs, Scratch(spark, "t")).collect()} == expected
+    huge = spark.sql("select cast(1000000 as decimal(7,0)) * cast(9000000000000 as decimal(15,0)) * cast(9000000000000 as decimal(15,0)) div (cast(9000000000001 as decimal(19,0)) * cast(9000000000000 as decimal(18,0))) as s")
+    assert int(huge.first().s) == 1_000_000 * 9_000_000_000_000**2 // (9_000_000_000_001 * 9_000_000_000_000)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm import chat, embeddings, extraction, language_model, mixing, neardup, packing, quality, secrets, token_counts
+from tracewell.llm import chat, collocations, embeddings, extraction, language_model, mixing, neardup, packing, quality, secrets, token_counts
 
 #: Labelled documents whose words train the model of ordinary strings.
 LABELLED = 1000
@@ -94,6 +94,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_examples(table.unionByName(probe)))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), Scratch(spark, "op12"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack_sequences": op1_pack_sequences,
@@ -106,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_mix_sources": op9_mix_sources,
         "op10_chat_format": op10_chat_format,
+        "op12_collocations": op12_collocations,
     }
 
 
@@ -113,4 +118,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op9_mix_sources": mixing.ORACLE,
         "op10_chat_format": chat.ORACLE,
+        "op12_collocations": collocations.ORACLE,
     }
