@@ -8,6 +8,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from html.parser import HTMLParser
 
 import compare
@@ -16,7 +17,7 @@ import pyarrow as pa
 import pytest
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm import collocations, embeddings, extraction, language_model, mixing, neardup, packing, quality, queries, secrets, token_counts
+from tracewell.llm import best_fit, collocations, embeddings, extraction, language_model, mixing, neardup, packing, quality, queries, secrets, token_counts, whitening
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -678,3 +679,175 @@ def test_collocations_several_automata_and_large_numbers(spark, monkeypatch):
     assert {tuple(r) for r in collocations.collocations(docs, Scratch(spark, "t")).collect()} == expected
     huge = spark.sql("select cast(1000000 as decimal(7,0)) * cast(9000000000000 as decimal(15,0)) * cast(9000000000000 as decimal(15,0)) div (cast(9000000000001 as decimal(19,0)) * cast(9000000000000 as decimal(18,0))) as s")
     assert int(huge.first().s) == 1_000_000 * 9_000_000_000_000**2 // (9_000_000_000_001 * 9_000_000_000_000)
+
+
+def whole_vectors(rows):
+    """x of each row that remains, as Python integers."""
+    out = []
+    for vec_id, v in rows:
+        if v and all(c is not None and math.isfinite(c) for c in v):
+            out.append((vec_id, [min(max(math.floor(Fraction(float(c)) * 64), -(2**63)), 2**63 - 1 - 1_000_000) + 1_000_000 for c in v]))
+    return out
+
+
+def check_whitening(found, rows, components=16):
+    """Every column against whole-number arithmetic over all rows; whitened against eigenpairs that solve the exact matrix."""
+    x = whole_vectors(rows)
+    fit = sorted({tuple(v) for _, v in x})
+    n, d = len(fit), len(fit[0])
+    sums = [sum(column) for column in zip(*fit, strict=True)]
+    y = np.array([[n * a - s for a, s in zip(v, sums, strict=True)] for v in fit], dtype=object)
+    exact = y.T.dot(y)
+    v = np.array([[float(Fraction(int(c), n**3)) for c in row] for row in exact])
+    values, vectors = np.linalg.eigh(v)
+    many = min(components, d)
+    values, vectors = values[::-1][:many], vectors[:, ::-1][:, :many]
+    assert len(found) == many * len(x) and {r.n for r in found} == {n}
+    by_row = defaultdict(list)
+    for r in found:
+        by_row[r.vec_id].append(r)
+    signs = np.zeros(many)
+    for vec_id, own in x:
+        centred = [n * a - s for a, s in zip(own, sums, strict=True)]
+        assert {int(r.deviation) for r in by_row[vec_id]} == {sum(c * c for c in centred)}
+        mine = {r.component: r.whitened for r in by_row[vec_id]}
+        assert set(mine) == set(range(1, many + 1))
+        expected = (np.array([c / n for c in centred]) @ vectors) / np.sqrt(values)
+        got = np.array([mine[k + 1] for k in range(many)])
+        signs = np.where(signs == 0, np.where(np.abs(expected) > 1e-3, np.sign(got * expected), 0), signs)
+        np.testing.assert_allclose(got, expected * np.where(signs == 0, 1, signs), rtol=1e-7, atol=1e-7)
+    for r in found:
+        assert r.explained == pytest.approx(values[r.component - 1] / np.trace(v), rel=1e-9) and r.identity_error <= 1e-9
+    assert len({r.identity_error for r in found}) == 1
+
+
+def test_whitening(spark, sf_dir):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    check_whitening(queries.op11_whiten_embeddings(spark, sf_dir).collect(), rows)
+
+
+def test_whitening_of_odd_vectors(spark):
+    """Entries of very different sizes, repeated rows, rows to drop, fewer entries than components; deviations beyond long."""
+    random = np.random.default_rng(3)
+    made = (random.normal(size=(400, 6)) * [0.5, 1, 10, 1e3, 2, 3] + [0, 1e6, -1e7, 0, 5, 1]).tolist()
+    rows = [(i, v) for i, v in enumerate(made)] + [(1000 + i, made[7]) for i in range(50)]
+    rows += [(2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] + [0.0] * 5), (2004, [])]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, component int").repartition(7)
+    found = whitening.whiten(table, Scratch(spark, "t")).collect()
+    check_whitening(found, rows)
+    assert max(int(r.deviation) for r in found) > 2**40
+
+
+def test_limb_products_are_exact():
+    random = np.random.default_rng(4)
+    for most in (1, 1 << 19, 1 << 20, 1 << 39, 1 << 61):
+        y = random.integers(-most, most + 1, size=(300, 5))
+        whole = whitening.Gram(5)
+        for a in range(0, 300, 64):
+            whole.add(y[a : a + 64])
+        assert (whole.close() == y.astype(object).T.dot(y.astype(object))).all()
+    huge = random.integers(-(1 << 61), 1 << 61, size=(50, 3)).astype(object) * 10**30
+    whole = whitening.Gram(3)
+    whole.add(huge)
+    assert (whole.close() == huge.T.dot(huge)).all()
+
+
+def test_eigenvectors_to_extended_precision():
+    random = np.random.default_rng(6)
+    q, _ = np.linalg.qr(random.normal(size=(12, 12)))
+    a = (q * 10.0 ** np.linspace(0, -6, 12)) @ q.T
+    a = ((a + a.T) / 2).astype(np.longdouble)
+    values, x = whitening.eigenvectors(a)
+    assert np.abs(a @ x - x * values).max() < 1e-17 and np.abs(x.T @ x - np.eye(12)).max() < 1e-17
+    values, x = whitening.eigenvectors(np.eye(4, dtype=np.longdouble))  # none can be told apart
+    assert np.allclose(values.astype(float), 1) and np.allclose((x.T @ x).astype(float), np.eye(4))
+
+
+def test_best_fit_packing(spark, sf_dir, documents):
+    """Every id in its place, nothing cut that fits, sequences gapless; as few sequences as the bound but for a few."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = queries.op13_best_fit_packing(spark, sf_dir).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert set(by_doc) == {d.doc_id for d in documents}
+    for d in documents:
+        ids = whole.encode(d.text or "", add_special_tokens=False).ids + [0]
+        pieces = sorted(by_doc[d.doc_id], key=lambda r: r.piece)
+        assert [(r.piece, r.start, r.length) for r in pieces] == [(k, a, min(2048, len(ids) - a)) for k, a in enumerate(range(0, len(ids), 2048))]
+        for r in pieces:
+            own = ids[r.start : r.start + r.length]
+            assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(own)}I", *own))
+    for pieces in by_sequence.values():
+        pieces.sort(key=lambda r: r.offset)
+        ends = np.cumsum([r.length for r in pieces]).tolist()
+        assert [r.offset for r in pieces] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert {r.all_sequences for r in rows} == {len(by_sequence)} and rows[0].least_sequences <= len(by_sequence) <= 1.02 * rows[0].least_sequences + 1
+
+
+def best_fit_piece_by_piece(lengths, capacity, weights, rule):
+    """One piece after another into one open sequence after another."""
+    free = []
+    for n in sorted(lengths, reverse=True):
+        ask = (n, 1, n * n)
+        fits = [s for s in free if all(a <= r for a, r in zip(ask, s, strict=True))]
+        if rule == "norm":
+            score = lambda s: sum(w * ((r - a) / c) ** 2 for w, r, a, c in zip(weights, s, ask, capacity, strict=True))  # noqa: B023, E731
+        else:
+            score = lambda s: sum(w * (a / c) * (r / c) for w, r, a, c in zip(weights, s, ask, capacity, strict=True))  # noqa: B023, E731
+        if fits:
+            best = min(fits, key=lambda s: (score(s), s))
+            free.remove(best)
+        else:
+            best = capacity
+        free.append(tuple(r - a for r, a in zip(best, ask, strict=True)))
+    return free
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize(("tokens", "documents", "attention"), [(64, None, None), (64, 3, None), (64, None, 1500), (40, 5, 1600)])
+def test_best_fit_by_counts(rule, tokens, documents, attention):
+    """Bulk placement gives the sequences of piece after piece, and holds every capacity."""
+    random = np.random.default_rng(tokens + (documents or 0))
+    for _ in range(12):
+        most = min(tokens, int((attention or tokens * tokens) ** 0.5))
+        pieces = random.integers(1, most + 1, int(random.integers(1, 150)))
+        lengths, demand = np.unique(pieces, return_counts=True)
+        solved = best_fit.BestFit(lengths, demand, tokens, documents, attention, (1.0, 0.5, 2.0), rule)
+        free = best_fit_piece_by_piece(pieces.tolist(), tuple(solved.capacity.tolist()), (1.0, 0.5, 2.0), rule)
+        assert solved.sequences == len(free) >= best_fit.least_sequences(lengths, demand, tokens)
+        held = defaultdict(list)
+        ranks = defaultdict(list)
+        runs = sorted(solved.runs)
+        for (length, rank, sequence, each, offset), after in zip(runs, [*runs[1:], (0, 0, 0, 0, 0)], strict=True):
+            upto = after[1] if after[0] == length else int(demand[lengths == length][0])
+            ranks[length] += range(rank, upto)
+            for k in range(upto - rank):
+                held[sequence + k // each].append((offset + k % each * length, length))
+        assert {n: len(r) for n, r in ranks.items()} == dict(zip(lengths.tolist(), demand.tolist(), strict=True))
+        left = []
+        for contents in held.values():
+            contents.sort()
+            assert [a for a, _ in contents] == [0, *np.cumsum([n for _, n in contents])[:-1].tolist()]
+            left.append(tuple((solved.capacity - [sum(n for _, n in contents), len(contents), sum(n * n for _, n in contents)]).tolist()))
+        assert sorted(left) == sorted(free) and min(map(min, left)) >= 0
+
+
+def test_word_encoder():
+    """Each fast path against the tokenizer: ends, letters beyond ASCII, special tokens' strings, white space of all kinds."""
+    from tracewell.llm.tokenizing import WordEncoder
+
+    encoder = WordEncoder("word_bpe_49k.json")
+    texts = [
+        "Don't I'LL we'VE 'tis it's it'Re 's's 's't''dd", "<|startoftext|>a<|endoftext|> <|STARTOFTEXT|> a<|b < a<b<< <<|", "a\x00b \x00 x\x1cy z\x85w a\xa0b \x0b\x0c \n",
+        "É ÀÉ²a ¼x ŸŽſ ŉ İx ǅ Ⱥa \xad ªº µ ÷× Œœ ΑΣ ß ﬁ é", "😀😀 日本語 한국 naïve’s ‘x’", "a1b2 --==## ...!!! _x_", "", None, "x" * 5000 + " " + "ab" * 3000,
+    ]
+    for _ in range(2):  # the second time from memory
+        ids, tokens = encoder.encode(pa.array(texts), 0)
+        for text, own in zip(texts, np.split(ids, np.cumsum(tokens)[:-1]), strict=True):
+            assert own.tolist() == encoder.whole.encode(text or "", add_special_tokens=False).ids + [0]
+    assert [x.tolist() for x in encoder.encode(pa.array([], pa.string()), 0)] == [[], []]

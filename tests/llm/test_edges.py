@@ -7,7 +7,7 @@ import importlib
 import pytest
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm import chat, embeddings, extraction, language_model, mixing, neardup, packing, quality, queries, secrets, token_counts
+from tracewell.llm import best_fit, chat, collocations, embeddings, extraction, language_model, mixing, neardup, packing, quality, queries, secrets, token_counts, whitening
 
 WORDS = " ".join(f"word{i % 97} line{i % 13}" for i in range(60))
 LONG = " ".join(f"w{i % 5011}" for i in range(60_000))
@@ -224,3 +224,39 @@ def test_pipeline_stages(spark, sf_dir):
         assert r.offset == fill.get(r.sequence_id, 0)
         fill[r.sequence_id] = r.offset + r.length
     assert max(fill.values()) <= packing.SEQUENCE
+
+
+def test_collocations(spark, docs, empty):
+    assert collocations.collocations(empty, Scratch(spark, "t")).collect() == []
+    rows = collocations.collocations(clashing(docs).selectExpr("*", "1 as f", "'mine' as phrase", "0 as rank", "0 as words"), Scratch(spark, "t"), 2).collect()
+    assert rows and {r.lang for r in rows} == {"en", "und"} and all(r.phrase and r.a >= 2 for r in rows)
+    assert collocations.collocations(docs.where("doc_id in (2, 3, 5, 6)"), Scratch(spark, "t")).collect() == []
+
+
+def test_whitening(spark):
+    schema = "vec_id long, embedding array<float>, whitened string"
+    assert whitening.whiten(spark.createDataFrame([], schema), Scratch(spark, "t")).collect() == []
+    assert whitening.whiten(spark.createDataFrame([(1, None, "x"), (2, [None], "x"), (3, [], "x")], schema), Scratch(spark, "t")).collect() == []
+    # one distinct vector: no spread; another width is fitted apart; null ids and repeated rows stay
+    rows = [(1, [1.0, 2.0], "x"), (1, [1.0, 2.0], "x"), (None, [1.0, 2.0], "x"), (5, [1.0], "x"), (6, [3.0], "x"), (7, [3.0], "x"), (8, [3e38, -3e38, 0.0], "x"), (9, [-3e38, 3e38, 1.0], "x")]
+    found = whitening.whiten(spark.createDataFrame(rows, schema), Scratch(spark, "t")).collect()
+    flat = [r for r in found if r.width == 2]
+    assert len(flat) == 6 and all(r.n == 1 and r.deviation == 0 and r.whitened is None and r.explained is None and r.identity_error is None for r in flat)
+    assert sorted((r.vec_id, r.n, round(abs(r.whitened), 9), r.explained, int(r.deviation)) for r in found if r.width == 1) == [(5, 2, 1.0, 1.0, 128**2), (6, 2, 1.0, 1.0, 128**2), (7, 2, 1.0, 1.0, 128**2)]
+    wide = [r for r in found if r.width == 3]
+    assert len(wide) == 6 and all(r.deviation is None or r.deviation > 2**63 for r in wide) and [r.explained for r in wide if r.component > 1] == [0.0] * 4
+
+
+def test_best_fit_packing(spark, docs, empty):
+    def pack(table, **options):
+        pieces = best_fit.cut_documents(table).select("doc_id", "piece", "start", "length", "piece_salt")
+        return best_fit.pack(Scratch(spark, "t").save(pieces, "pieces"), **options).collect()
+
+    assert pack(empty) == []
+    rows = pack(clashing(docs).selectExpr("*", "1 as piece", "2 as start", "'x' as _bucket"))
+    assert len([r for r in rows if r.piece == 0]) == len(DOCS) and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    few = pack(docs, documents=2)
+    per_sequence = [sum(1 for x in few if x.sequence_id == r.sequence_id) for r in few]
+    assert len(few) == len(rows) and max(per_sequence) == 2
+    with pytest.raises(ValueError, match="no sequence holds"):
+        pack(docs, attention=100)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.scratch import Scratch
-from tracewell.llm import chat, collocations, embeddings, extraction, language_model, mixing, neardup, packing, quality, secrets, token_counts
+from tracewell.llm import best_fit, chat, collocations, embeddings, extraction, language_model, mixing, neardup, packing, quality, secrets, token_counts, whitening
 
 #: Labelled documents whose words train the model of ordinary strings.
 LABELLED = 1000
@@ -94,10 +94,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_examples(table.unionByName(probe)))
 
 
+def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op11"))
+    # as long: null beyond its range
+    return rows.select("vec_id", "component", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"), Scratch(spark, "op12"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = best_fit.cut_documents(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "piece_salt")
+    return best_fit.pack(Scratch(spark, "op13").save(pieces, "pieces"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack_sequences": op1_pack_sequences,
@@ -110,7 +122,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_mix_sources": op9_mix_sources,
         "op10_chat_format": op10_chat_format,
+        "op11_whiten_embeddings": op11_whiten_embeddings,
         "op12_collocations": op12_collocations,
+        "op13_best_fit_packing": op13_best_fit_packing,
     }
 
 
