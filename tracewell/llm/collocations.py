@@ -44,8 +44,8 @@ LONGEST = 3
 OVERLAP = 50
 TOP = 2000
 BREAKS = r"[.,;:!?\n-\r]"
-SKETCH_BLOCK = 16 << 20
-SCAN_BLOCK = 8 << 20
+SKETCH_BLOCK = 8 << 20
+SCAN_BLOCK = 4 << 20
 AUTOMATON = 200_000  # phrases of one automaton
 LEAST_BITS, MOST_BITS = 20, 30
 BYTES_PER_COUNTER = 4
