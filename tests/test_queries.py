@@ -8,10 +8,10 @@ import compare
 import pytest
 
 import __spark_entry__
-from tracewell.plans import records, relational, retrieval, suites
+from tracewell.plans import intake, records, relational, retrieval, suites
 
-SQL = {**retrieval.ORACLE, **records.ORACLE, **relational.ORACLE, **suites.ORACLE}
-QUERIES = {**retrieval.QUERIES, **records.QUERIES, **relational.QUERIES, **suites.QUERIES}
+SQL = {**retrieval.ORACLE, **records.ORACLE, **relational.ORACLE, **suites.ORACLE, **intake.ORACLE}
+QUERIES = {**retrieval.QUERIES, **records.QUERIES, **relational.QUERIES, **suites.QUERIES, **intake.QUERIES}
 
 
 @pytest.fixture(scope="module")

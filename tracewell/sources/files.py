@@ -1,78 +1,19 @@
-"""File scans and report sinks: content sniffing, DOCX to Markdown, JSON golden sets, CSV and JSON reports."""
+"""File scans and report sinks: running lines of pages, JSON golden sets, CSV and JSON reports."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Guards against zip bombs and the word-processing name space.
-MEMBER_LIMIT, RATIO_LIMIT = 80 << 20, 120
-W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-
 
 def read_binary(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
-def kind(content: Column, path: Column) -> Column:
-    """pdf or docx by the first bytes, where the extension agrees; else null."""
-    pdf = (F.substring(content, 1, 5) == F.lit(b"%PDF-")) & F.lower(path).endswith(".pdf")
-    docx = (F.substring(content, 1, 4) == F.lit(b"PK\x03\x04")) & F.lower(path).endswith(".docx")
-    return F.when(pdf, "pdf").when(docx, "docx")
-
-
 def source_key(owner: Column, content: Column, extension: str) -> Column:
     return F.concat(F.lit("brd-sources/"), owner.cast("string"), F.lit("/"), F.sha2(content, 256), F.lit(extension))
 
 
-def _paragraph(node: ElementTree.Element) -> str:
-    text = "".join(t.text or "" if t.tag == f"{W}t" else "\n" for t in node.iter() if t.tag in (f"{W}t", f"{W}br"))
-    style = node.find(f"{W}pPr/{W}pStyle")
-    name = "" if style is None else style.get(f"{W}val", "")
-    if name.lower().startswith("toc"):
-        return ""
-    if name.lower().startswith("heading") and name[-1:].isdigit():
-        return f"{'#' * min(6, int(name[-1]))} {text}"
-    return f"- {text}" if node.find(f"{W}pPr/{W}numPr") is not None else text
-
-
-def docx_markdown(content: bytes) -> str | None:
-    """Markdown of a DOCX: headings by style, lists, tables; null where it is none or unpacks too large."""
-    try:
-        with zipfile.ZipFile(io.BytesIO(content)) as members:
-            for m in members.infolist():
-                if m.file_size > MEMBER_LIMIT or m.file_size > RATIO_LIMIT * max(1, m.compress_size):
-                    return None
-            body = ElementTree.fromstring(members.read("word/document.xml")).find(f"{W}body")
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return None
-    lines: list[str] = []
-    for node in body if body is not None else ():
-        if node.tag == f"{W}p" and (line := _paragraph(node)).strip():
-            lines.append(line)
-        elif node.tag == f"{W}tbl":
-            rows = [[" ".join(_paragraph(p) for p in cell.iter(f"{W}p")).strip() for cell in row.iter(f"{W}tc")] for row in node.iter(f"{W}tr")]
-            table = [f"| {' | '.join(r)} |" for r in rows]
-            lines.append("\n".join([*table[:1], "|" + " --- |" * len(rows[0]), *table[1:]]) if rows else "")
-    return "\n\n".join(lines)
-
-
-def read_docx(files: DataFrame) -> DataFrame:
-    """(path, markdown) of binary files; null markdown goes to quarantine."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "markdown": [docx_markdown(bytes(c)) for c in batch["content"]]})
-
-    return files.where(kind(F.col("content"), F.col("path")) == "docx").select("path", "content").mapInPandas(run, "path string, markdown string")
-
-
 def repeated_lines(lines: DataFrame, least_pages: int = 3, share: float = 0.4) -> DataFrame:
     """Lines (doc_id, page, line) without running headers and footers: prints of lines on too many pages."""
     mark = F.lower(F.trim(F.regexp_replace(F.regexp_replace("line", r"\d+", "#"), r"\s+", " ")))
