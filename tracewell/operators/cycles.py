@@ -18,15 +18,28 @@ def pin(events: DataFrame, planned: DataFrame, draft: DataFrame) -> DataFrame:
     return rows.withColumn("tested_against_hash", against).drop("_planned", "_draft")
 
 
-def undo(events: DataFrame, key: str, now: Column, seconds: int) -> DataFrame:
-    """Each key's state once its newest event is taken back, where that is young enough: (key, event_id, status, undone)."""
-    w = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id"))
-    young = F.unix_micros(now) - F.unix_micros(F.col("ts").cast("timestamp")) <= seconds * 1_000_000
-    top = events.withColumn("_n", F.row_number().over(w)).where("_n <= 2").withColumn("_young", young)
-    both = top.groupBy(key).agg(*[F.max(F.when(F.col("_n") == n, F.struct("event_id", "status", "_young"))).alias(f"_{n}") for n in (1, 2)])
-    undone = F.col("_1._young")
-    status = F.when(undone, F.coalesce("_2.status", F.lit(DEFAULT_STATUS))).otherwise(F.col("_1.status"))
-    return both.select(key, F.when(undone, F.col("_2.event_id")).otherwise(F.col("_1.event_id")).alias("event_id"), status.alias("status"), undone.alias("undone"))
+def undo(entries: DataFrame, requests: DataFrame, key: str, now: Column, seconds: int) -> DataFrame:
+    """What taking back each key's newest entry does: (key, event_id, status, undone).
+
+    ``entries`` are folded verdicts (``timeline.amended``: event_id, ts, tester, kind, status, amended_from), ``requests`` (key, by) who
+    asks. Only the newest entry, its own tester's and young enough, is taken back (else ``refused``): an amended verdict
+    turns back to what it replaced and stays (``reverted``), another entry goes (``removed``), and the newest status
+    before it holds. Notes have no status. A key without entries has no row.
+    """
+    at = F.struct("ts", "event_id")
+    top = entries.join(requests.select(key, "by"), key).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id"))))
+    is_status = F.col("kind") == "status"
+    both = top.groupBy(key, "by").agg(
+        F.max(F.when(F.col("_n") == 1, F.struct("event_id", "ts", "tester", "kind", "status", "amended_from"))).alias("_1"),
+        F.max_by(F.when(is_status, F.col("status")), F.when(is_status & (F.col("_n") > 1), at)).alias("_before"),
+    )
+    young = F.unix_micros(now) - F.unix_micros(F.col("_1.ts").cast("timestamp")) <= seconds * 1_000_000
+    own = F.col("_1.tester").eqNullSafe(F.col("by"))
+    undone = F.when(~(young & own), "refused").when(F.col("_1.amended_from").isNotNull(), "reverted").otherwise("removed")
+    before = F.coalesce("_before", F.lit(DEFAULT_STATUS))
+    stands = F.when(F.col("_1.kind") == "status", F.col("_1.status")).otherwise(before)
+    status = F.when(undone == "reverted", F.col("_1.amended_from")).when(undone == "removed", before).otherwise(stands)
+    return both.select(key, F.col("_1.event_id").alias("event_id"), status.alias("status"), undone.alias("undone"))
 
 
 def member_states(members: DataFrame, events: DataFrame, draft: DataFrame) -> DataFrame:

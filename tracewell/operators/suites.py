@@ -187,14 +187,16 @@ def choose_targets(items: DataFrame) -> DataFrame:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, scope: str) -> DataFrame:
-    """What storing incoming rows (scope, ordinal, content_hash) does to each: embed, skip, delete, or refused.
+    """What storing incoming rows (scope, ordinal, content_hash) does to each, beside stored ones with has_vector: embed, skip, keep or refused.
 
+    Only a row of equal hash whose vector is stored is skipped; stored rows that nothing replaces are kept, as nothing is deleted here.
     A scope that would get fewer rows than it has is left as it is (refused); a scope without incoming rows is not touched.
     """
     size = incoming.groupBy(scope).agg(F.count("*").alias("_new")).join(stored.groupBy(scope).agg(F.count("*").alias("_old")), scope, "left")
-    both = incoming.select(scope, "ordinal", F.col("content_hash").alias("_in")).join(stored.select(scope, "ordinal", F.col("content_hash").alias("_was")), [scope, "ordinal"], "full")
+    held = stored.select(scope, "ordinal", F.when(F.col("has_vector"), F.col("content_hash")).alias("_was"), F.lit(True).alias("_stored"))
+    both = incoming.select(scope, "ordinal", F.col("content_hash").alias("_in"), F.lit(True).alias("_sent")).join(held, [scope, "ordinal"], "full")
     shrinks = F.coalesce(F.col("_old") > F.col("_new"), F.lit(False))
-    action = F.when(shrinks, "refused").when(F.col("_in").isNull(), "delete").when(F.col("_in").eqNullSafe(F.col("_was")), "skip").otherwise("embed")
+    action = F.when(shrinks, "refused").when(F.col("_sent").isNull(), "keep").when(F.col("_in") == F.col("_was"), "skip").otherwise("embed")
     return both.join(size, scope).select(scope, "ordinal", action.alias("action"))
 
 

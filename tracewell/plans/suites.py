@@ -15,12 +15,14 @@ from tracewell.operators import batches as B
 from tracewell.operators import cycles as C
 from tracewell.operators import suites as S
 from tracewell.operators import units as U
-from tracewell.plans.records import _CASE, _events
+from tracewell.plans.records import _CASE, _events, w4_amend
+from tracewell.plans.records import ORACLE as RECORDS
 from tracewell.plans.retrieval import table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 NOW = "2024-01-30 00:00:00"
+W4 = RECORDS["w4_amend"]
 
 
 def query(sql: str):
@@ -209,13 +211,14 @@ def a8_targets(spark, sf_dir):
 
 @query("""with n as (select user_id, count(*) as c, count(*) filter (event_id % 11 <> 0) as kept from events group by 1),
   e as (select user_id, event_id, event_id % 11 <> 0 as stays, kept = c or user_id % 2 = 1 as whole from events join n using (user_id) where kept > 0 or user_id % 2 = 1)
-  select user_id, event_id as ordinal, case when not whole then 'refused' when not stays then 'delete' when event_id % 5 = 0 then 'embed' else 'skip' end as action from e
+  select user_id, event_id as ordinal, case when not whole then 'refused' when not stays then 'keep' when event_id % 5 = 0 or event_id % 13 = 0 then 'embed' else 'skip' end as action from e
   union all select user_id, -event_id - 1, 'embed' from e where user_id % 2 = 1""")
 def s12_upsert(spark, sf_dir):
-    """Odd users send each row anew beside their old ones, even users lost some: those scopes are refused."""
+    """Odd users send each row anew beside their old ones, even users lost some: those scopes are refused. Some rows have no vector."""
     stored = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ordinal"), F.col("props").alias("content_hash"))
+    stored = stored.withColumn("has_vector", F.col("ordinal") % 13 != 0)
     sent = stored.where("ordinal % 11 <> 0").withColumn("content_hash", F.when(F.col("ordinal") % 5 == 0, "edited").otherwise(F.col("content_hash")))
-    return S.upsert(stored, sent.unionByName(stored.where("user_id % 2 = 1").withColumn("ordinal", -F.col("ordinal") - 1)), "user_id")
+    return S.upsert(stored, sent.unionByName(stored.where("user_id % 2 = 1").withColumn("ordinal", -F.col("ordinal") - 1)).drop("has_vector"), "user_id")
 
 
 # --- cycles: users are cases, events their verdicts (sign-ups are notes), event ids modulo 4 their cycles
@@ -244,11 +247,15 @@ def e3_pin(spark, sf_dir):
     return rows.select("event_id", F.col("tested_against_hash").alias("against"))
 
 
-@query(f"""with {_V}, r as (select *, row_number() over (partition by uid order by ts desc, event_id desc) as n, ts >= timestamp '{NOW}' - interval 1 day as young from e),
-  p as (select a.uid, a.young, a.event_id as e1, a.status as s1, b.event_id as e2, b.status as s2 from r a left join r b on b.uid = a.uid and b.n = 2 where a.n = 1)
-  select uid, case when young then e2 else e1 end as event_id, case when young then coalesce(s2, 'not_tested') else s1 end as status, young as undone from p""")
+@query(f"""with a as ({W4}), r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from a),
+  t as (select * from r where n = 1), b as (select user_id, max_by(status, (ts, event_id)) as before from r where n > 1 and kind = 'status' group by 1),
+  d as (select *, case when ts < timestamp '{NOW}' - interval 5 day or tester <> user_id % 2 then 'refused' when amended_from is not null then 'reverted' else 'removed' end as undone, coalesce(before, 'not_tested') as held from t left join b using (user_id))
+  select user_id, event_id, case when undone = 'reverted' then amended_from when undone = 'removed' or kind <> 'status' then held else status end as status, undone from d""")
 def e4_undo(spark, sf_dir):
-    return C.undo(_verdicts(spark, sf_dir), "uid", F.lit(NOW).cast("timestamp"), 86_400)
+    """Folded verdicts, the newest of each user taken back by one of two testers."""
+    entries = w4_amend(spark, sf_dir)
+    requests = entries.select("user_id").distinct().withColumn("by", (F.col("user_id") % 2).cast("int"))
+    return C.undo(entries, requests, "user_id", F.lit(NOW).cast("timestamp"), 5 * 86_400)
 
 
 @query(f"""with {_V}, r as (select *, case when event_id % 5 = 0 then 'old' else 'v' || uid || '-' || cycle_id end as against, row_number() over (partition by uid, cycle_id order by ts desc, event_id desc) as n from e where kind = 'status' and cycle_id is not null)
