@@ -8,10 +8,10 @@ import compare
 import pytest
 
 import __spark_entry__
-from tracewell.plans import edits, intake, records, relational, retrieval, suites
+from tracewell.plans import edits, intake, pages, records, relational, retrieval, suites
 
-SQL = {**retrieval.ORACLE, **records.ORACLE, **relational.ORACLE, **suites.ORACLE, **intake.ORACLE, **edits.ORACLE}
-QUERIES = {**retrieval.QUERIES, **records.QUERIES, **relational.QUERIES, **suites.QUERIES, **intake.QUERIES, **edits.QUERIES}
+SQL = {**retrieval.ORACLE, **records.ORACLE, **relational.ORACLE, **suites.ORACLE, **intake.ORACLE, **edits.ORACLE, **pages.ORACLE}
+QUERIES = {**retrieval.QUERIES, **records.QUERIES, **relational.QUERIES, **suites.QUERIES, **intake.QUERIES, **edits.QUERIES, **pages.QUERIES}
 
 
 @pytest.fixture(scope="module")
