@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
+from tracewell.functions.scratch import Scratch
 from tracewell.operators import evaluation as E
 from tracewell.operators import retrieval as R
+from tracewell.operators import vector_index as X
 
 #: The stated query set of searches: every row whose id is divisible by this, against all rows.
 EVERY = 100
@@ -36,6 +38,21 @@ def r2_vector_topk(spark, sf_dir):
     return R.vector_topk(q, v)
 
 
+def r1_index_topk(spark, sf_dir):
+    """The same lists from an inverted-file index: a query reads the lists that it probes."""
+    q, v = _vectors(spark, sf_dir)
+    return X.VectorIndex(v.select("id", "v"), Scratch(spark, "index")).topk(q.select("query_id", "q"))
+
+
+def r1_index_recall(spark, sf_dir):
+    """Of each query's exact list, how much the index finds."""
+    q, v = _vectors(spark, sf_dir)
+    exact = R.vector_topk(q, v).select("query_id", "id")
+    found = r1_index_topk(spark, sf_dir).select("query_id", "id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("exact"), F.count("hit").alias("found"))
+    return both.withColumn("recall", F.round(F.col("found") / F.col("exact"), 4))
+
+
 def r2_scoped_topk(spark, sf_dir):
     q, v = _vectors(spark, sf_dir)
     return R.vector_topk(q, v, scope="label")
@@ -154,7 +171,7 @@ m as (select stage, query_id, (hits > 0)::int as hit, round(hits / n, 6) as reca
 QUERIES = {
     f.__name__: f
     for f in (
-        r2_vector_topk, r2_scoped_topk, r3_query_terms, r4_keyword_topk, r11_hybrid, r9_passages, r10_max_passage, r12_stages, r14_widen, r15_abstain,
+        r1_index_topk, r1_index_recall, r2_vector_topk, r2_scoped_topk, r3_query_terms, r4_keyword_topk, r11_hybrid, r9_passages, r10_max_passage, r12_stages, r14_widen, r15_abstain,
         v1_ir_metrics, v3_stage_means, v4_calibrate, v5_gate, p14_stride,
     )
 }

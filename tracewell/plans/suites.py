@@ -13,6 +13,7 @@ from tracewell.functions.scratch import Scratch
 from tracewell.operators import answers as A
 from tracewell.operators import batches as B
 from tracewell.operators import cycles as C
+from tracewell.operators import rows as W
 from tracewell.operators import suites as S
 from tracewell.operators import units as U
 from tracewell.plans.records import _CASE, _events, w4_amend
@@ -411,6 +412,20 @@ def f25_conserved(spark, sf_dir):
     return docs.select("doc_id", T.conserved(F.col("text"), lines).alias("whole"), T.conserved(F.col("text"), F.array_append(lines, F.col("text"))).alias("short"))
 
 
+@query("""
+with l as (select l_orderkey, 'part ' || l_partkey || ' | ' || l_returnflag || ' |' as t, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_returnflag) as n, count(*) over (partition by l_orderkey) as c from lineitem)
+select l_orderkey, list(case when n = 1 then 'Lines: ' || t else t end order by n) as rows, true as whole, bool_or(c >= 1) as flat from l group by l_orderkey
+""")
+def f25_split_rows(spark, sf_dir):
+    """Lines of an order run together, cut again where their parts stand; one anchor stands nowhere, one only at the end."""
+    line = F.struct("l_linenumber", "l_partkey", "l_returnflag", _text("part ", "$l_partkey", " | ", "$l_returnflag", " |").alias("t"), _text("part  ", "$l_partkey", "\n|").alias("anchor"))
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    text = F.concat(F.lit("  Lines: "), F.array_join(F.transform("l", lambda x: x["t"]), " "), F.lit(" "))
+    anchors = F.concat(F.array(F.lit("nowhere")), F.transform("l", lambda x: x["anchor"]), F.array(F.lit("Lines:")))
+    rows = o.select("l_orderkey", text.alias("text"), W.split_rows(text, anchors).alias("rows"))
+    return rows.select("l_orderkey", "rows", T.conserved(F.col("text"), F.col("rows")).alias("whole"), W.looks_flattened(F.col("text")).alias("flat"))
+
+
 @query("select o_orderkey, 'order ' || o_orderkey || '.docx' as name, case when o_orderkey % 2 = 0 then 'text/plain' else 'application/octet-stream' end as mime, o_orderkey % 3 = 0 as link from orders")
 def f28_clean_names(spark, sf_dir):
     name = F.concat(_text("C:\\in/../ .order ", "$o_orderkey"), F.lit('?".docx. '))
