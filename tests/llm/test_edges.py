@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import math
 
 import pytest
 
@@ -260,3 +261,20 @@ def test_best_fit_packing(spark, docs, empty):
     assert len(few) == len(rows) and max(per_sequence) == 2
     with pytest.raises(ValueError, match="no sequence holds"):
         pack(docs, attention=100)
+
+
+def test_lm_score_of_rows_without_ids(spark):
+    """Equal ids or none over many partitions: blocks of like shape are told apart by their words, equal blocks are equal."""
+    texts = [" ".join(f"w{(7 * k + i) % 23}" for i in range(4 + k % 3)) for k in range(40)]
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts] + [(None, texts[0])] * 5 + [(7, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    found = language_model.score(docs, Scratch(spark, "t")).collect()
+    assert len(found) == len(rows)
+    words = [t.split() + [""] for _, t in [(d, t or "") for d, t in rows]]
+    held = bool(language_model.held_out([None])[0]), bool(language_model.held_out([7])[0])
+    known = [w for ws, (d, _) in zip(words, rows, strict=True) if not held[d == 7] for w in ws]
+    assert {r.train_tokens for r in found} == {len(known)}
+    assert sorted(r.n_tokens for r in found) == sorted(map(len, words)) and all(r.n_known == r.n_tokens for r in found if known)
+    total, counts, distinct = len(known), {w: known.count(w) for w in set(known)}, len(set(known))
+    base = sorted(round(sum(math.log10((counts.get(w, 0) + 0.1) / (total + 0.1 * (distinct + 1))) for w in ws), 6) for ws in words)
+    assert sorted(round(r.base_score, 6) for r in found) == base

@@ -26,6 +26,7 @@ table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -140,7 +141,8 @@ def _tokenize(block: pa.RecordBatch) -> dict:
     endings = np.append(ending_of[last.indices.to_numpy()], np.uint8(0))
     hashes = np.append(hashes, END)
     learned = np.bincount(tokens[np.repeat(~held, np.diff(until))], minlength=len(words) + 1)
-    name = zlib.crc32(tokens.tobytes()) << 31 | zlib.crc32(repr(ids).encode()) >> 1
+    # by all that is in it: blocks of one name are equal, ids and texts, and take equal answers
+    name = int.from_bytes(hashlib.blake2b(b"".join((tokens.tobytes(), hashes.tobytes(), until.tobytes(), repr(ids).encode())), digest_size=8).digest()) >> 1
     return {
         "block": name, "doc_ids": ids, "held": held, "bounds": until, "ids": packed(tokens), "words": packed(hashes),
         "features": packed(_feature_hash(hashes)), "endings": packed(endings), "learned": packed(learned),
