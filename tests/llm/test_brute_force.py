@@ -156,14 +156,14 @@ def test_language_model(spark):
 
 def test_language_model_is_a_distribution():
     """Classes sum to one, the parts of a class do, and so do the words of a part, in the model's own terms."""
-    many = language_model.CLASSES + language_model.SUBS
+    many = language_model.CLASSES // language_model.MEMBERS + language_model.MEMBERS + language_model.SUBS
     weights = np.random.default_rng(3).normal(size=(language_model.BUCKETS, many)).astype(np.float32)
     bounds, tokens = np.array([0, 20, 50]), np.arange(50, dtype=np.int32)
     row = {"bounds": bounds.tolist(), "ids": language_model.packed(tokens), "hashes": language_model.packed(np.arange(50, dtype=np.uint32))}
 
     def chances(classes, parts):
         own = row | {"classes": language_model.packed(np.full(50, classes, dtype=np.uint16)), "parts": language_model.packed(np.full(50, parts, dtype=np.uint8))}
-        return np.exp(language_model.log_chances(*language_model.split(weights), own, language_model.SINGLES))
+        return np.exp(language_model.log_chances(language_model.split(weights), own, language_model.SINGLES))
 
     singles, room = language_model.SINGLES, range(language_model.SINGLES, language_model.CLASSES)
     total = sum(chances(c, 0) for c in range(singles)) + sum(chances(c, p) for c in room for p in range(language_model.SUBS))
@@ -176,13 +176,14 @@ def test_language_model_is_a_distribution():
 
 
 def test_language_model_scores_by_brute_force():
-    """The score of each token from the weights, one after another."""
+    """The score of each token from the weights, one after another: its group, its class in the group, its part."""
     random = np.random.default_rng(9)
-    weights = random.normal(size=(1 << 10, language_model.CLASSES + language_model.SUBS)).astype(np.float32)
+    groups, members = language_model.CLASSES // language_model.MEMBERS, language_model.MEMBERS
+    weights = random.normal(size=(1 << 10, groups + members + language_model.SUBS)).astype(np.float32)
     hashes, classes, parts = random.integers(1, 1 << 32, 30).astype(np.uint32), random.integers(0, language_model.CLASSES, 30).astype(np.uint16), random.integers(0, language_model.SUBS, 30).astype(np.uint8)
     parts[classes < language_model.SINGLES] = 0
     row = {"bounds": [0, 4, 30], "ids": language_model.packed(np.arange(30, dtype=np.int32)), "hashes": language_model.packed(hashes), "classes": language_model.packed(classes), "parts": language_model.packed(parts)}
-    got = language_model.log_chances(*language_model.split(weights), row, language_model.SINGLES)
+    got = language_model.log_chances(language_model.split(weights), row, language_model.SINGLES)
     m = 1 << 64
 
     def mixed(x):
@@ -200,10 +201,13 @@ def test_language_model_scores_by_brute_force():
             scores = weights[rows][:, columns].astype(float).sum(axis=0)
             return scores[k] - np.log(np.exp(scores - scores.max()).sum()) - scores.max()
 
-        expected = log_softmax(at, slice(0, language_model.CLASSES), classes[t])
+        def within(outcome, kind):
+            return [mixed((b * 0x9E3779B97F4A7C15 + outcome + 1 + (kind << 32)) % m) % 1024 for b in at]  # noqa: B023
+
+        group, member = divmod(int(classes[t]), members)
+        expected = log_softmax(at, slice(0, groups), group) + log_softmax(within(group, 1), slice(groups, groups + members), member)
         if classes[t] >= language_model.SINGLES:
-            inside = [mixed((b * 0x9E3779B97F4A7C15 + int(classes[t]) + 1) % m) % 1024 for b in at]
-            expected += log_softmax(inside, slice(language_model.CLASSES, None), parts[t])
+            expected += log_softmax(within(int(classes[t]), 0), slice(groups + members, None), parts[t])
         assert got[t] == pytest.approx(expected, abs=1e-4)
 
 

@@ -1,8 +1,8 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 A token's probability is that of its class given the words before it, times that of its part of the class given the same
-words and the class, times its own share of the part. Both factors are softmaxes over sums of weights of hashed features:
-a bias, the word before, the two words before (n-grams), the second and the third word before (skips). The most frequent
+words and the class, times its own share of the part. A class is drawn in two steps, a group of ``MEMBERS`` classes and the class
+in its group. All three are softmaxes over sums of weights of hashed features: a bias, the word before, the two words before (n-grams), the second and the third word before (skips). The most frequent
 tokens are classes of their own; the others are classed by how often they occur in the training texts and by a hash of
 their last letters, and a class has ``SUBS`` hashed parts, so that no vocabulary is needed to normalize. Bins of counts hold
 like shares of the training tokens, and with the training tokens the feature buckets, single tokens and bins grow
@@ -48,13 +48,14 @@ FOLDS = 10
 #: The least numbers, of a small corpus; ``Sizes`` has those of a larger one.
 SINGLES = 32
 ENDINGS = 8
-SUBS = 16  # hashed parts of a class, told apart by the second softmax
+MEMBERS = 8  # classes of a group; divides the numbers of single tokens and of ending classes
+SUBS = 16  # hashed parts of a class, told apart by the last softmax
 BINS = (1, 15, 255)  # the largest count of each bin but the last
 CLASSES = SINGLES + ENDINGS * (len(BINS) + 1)
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 ROUNDS = 4
 SLICES = 16
-BUCKETS_PER_ROOT = 8  # buckets per square root of the training tokens
+BUCKETS_PER_ROOT = 16  # buckets per square root of the training tokens
 LEVELS = 48  # counts by powers of two, from which bins are made
 TOPS = SINGLES + 8 * LEVELS  # more than there are single tokens for any number of training tokens
 TRAINERS = 8
@@ -62,7 +63,7 @@ TOKEN_BYTES = 6
 STEP = 0.5
 BATCH = 4096
 CHUNK = 1024  # tokens whose probabilities are held at once, small enough for a core's cache
-RUN = 8  # outcomes drawn together first; divides the number of classes and of parts
+RUN = 8  # outcomes drawn together first, where it divides their number
 REACH = 16.0  # the largest weight: no product of five exponentials leaves float32
 LOWEST, HIGHEST = np.exp(np.array([-REACH, REACH], dtype=np.float32))
 BLOCKS_PER_PART = 16
@@ -303,9 +304,9 @@ def features(hashes: np.ndarray, bounds: np.ndarray, many: int = BUCKETS, at: np
     return found
 
 
-def inside_class(buckets: np.ndarray, classes: np.ndarray, many: int) -> np.ndarray:
-    """Buckets of the same features together with the class, for the softmax over its parts."""
-    return (mix(buckets.astype(U) * GOLDEN + classes.astype(U) + U(1)) % U(many)).astype(np.int32)
+def inside(buckets: np.ndarray, outcomes: np.ndarray, many: int, kind: int) -> np.ndarray:
+    """Buckets of the same features together with a group (kind 1) or a class (kind 0), for the softmax over what is in it."""
+    return (mix(buckets.astype(U) * GOLDEN + outcomes.astype(U) + U(1 + (kind << 32))) % U(many)).astype(np.int32)
 
 
 def class_weights(powers: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -322,9 +323,10 @@ def class_weights(powers: np.ndarray, at: np.ndarray) -> np.ndarray:
 def draw(powers: np.ndarray, at: np.ndarray, random: np.random.Generator) -> np.ndarray:
     """An outcome drawn from the model for each token: first a run of outcomes, then one of the run."""
     many = powers.shape[1]
-    runs = many // RUN
-    members = np.repeat(np.eye(runs, dtype=np.float32), RUN, axis=0)
-    upto, inside = np.triu(np.ones((runs, runs), dtype=np.float32)), np.triu(np.ones((RUN, RUN), dtype=np.float32))
+    size = many if many % RUN else RUN
+    runs = many // size
+    members = np.repeat(np.eye(runs, dtype=np.float32), size, axis=0)
+    upto, within = np.triu(np.ones((runs, runs), dtype=np.float32)), np.triu(np.ones((size, size), dtype=np.float32))
     thresholds = random.random((2, at.shape[1], 1), dtype=np.float32)
     drawn = np.empty(at.shape[1], dtype=np.int64)
     for a in range(0, at.shape[1], CHUNK):
@@ -336,8 +338,8 @@ def draw(powers: np.ndarray, at: np.ndarray, random: np.random.Generator) -> np.
             chance = class_weights(powers, at[:, rows])
             sums = chance @ members @ upto
         run = (sums >= thresholds[0, rows] * sums[:, -1:]).argmax(axis=1)
-        sums = chance.reshape(-1, RUN).take(np.arange(len(run)) * runs + run, axis=0) @ inside
-        drawn[rows] = run * RUN + (sums >= thresholds[1, rows] * sums[:, -1:]).argmax(axis=1)
+        sums = chance.reshape(-1, size).take(np.arange(len(run)) * runs + run, axis=0) @ within
+        drawn[rows] = run * size + (sums >= thresholds[1, rows] * sums[:, -1:]).argmax(axis=1)
     return drawn
 
 
@@ -347,10 +349,10 @@ def log_chance(powers: np.ndarray, at: np.ndarray, observed: np.ndarray) -> np.n
     return np.log(chance[np.arange(len(observed)), observed] / (chance @ np.ones(chance.shape[1], dtype=np.float32)))
 
 
-def split(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The exponentials of the weights of classes and of those of parts, each in one piece."""
-    many = weights.shape[1] - SUBS
-    return tuple(np.exp(np.clip(part, -REACH, REACH)) for part in (weights[:, :many], weights[:, many:]))
+def split(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The exponentials of the weights of groups, of the classes in them and of parts, each in one piece."""
+    groups = weights.shape[1] - SUBS - MEMBERS
+    return tuple(np.exp(np.clip(part, -REACH, REACH)) for part in np.split(weights, [groups, groups + MEMBERS], axis=1))
 
 
 def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -376,44 +378,49 @@ def _step(powers: np.ndarray, visits: np.ndarray, at: np.ndarray, observed: np.n
     visits[at] = 0
 
 
-def learn(classed: np.ndarray, parted: np.ndarray, row: dict, step: float, room: int = SINGLES) -> int:
+def _outcomes(buckets: np.ndarray, classes: np.ndarray, parts: np.ndarray, many: int, room: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each softmax its number, the tokens it decides, their buckets and what was observed; a single token has no parts."""
+    every = np.arange(len(classes))
+    group, member = np.divmod(classes.astype(np.int64), MEMBERS)
+    with np.errstate(over="ignore"):
+        yield 0, every, buckets, group
+        yield 1, every, inside(buckets, group, many, 1), member
+        inner = np.flatnonzero(classes >= room)
+        if len(inner):
+            yield 2, inner, inside(buckets[:, inner], classes[inner], many, 0), parts[inner].astype(np.int64)
+
+
+def learn(tables: tuple[np.ndarray, ...], row: dict, step: float, room: int = SINGLES) -> int:
     """Gradient steps over a block's training texts, in place; returns their tokens."""
     bounds, classes, parts, hashes = _arrays(row)
     at = np.flatnonzero(np.repeat(~np.array(row["held"], dtype=bool), np.diff(bounds)))
-    visits = np.zeros(len(classed), dtype=np.int64)
+    many = len(tables[0])
+    visits = np.zeros(many, dtype=np.int64)
     random = np.random.default_rng(row["block"] & 0xFFFFFFFF)
     for a in range(0, len(at), BATCH):
         mine = at[a : a + BATCH]
         with np.errstate(over="ignore"):
-            buckets = features(hashes, bounds, len(classed), mine)
-        _step(classed, visits, buckets, classes[mine].astype(np.int64), random, step)
-        inner = classes[mine] >= room
-        if inner.any():
-            with np.errstate(over="ignore"):
-                b = inside_class(buckets[:, inner], classes[mine][inner], len(parted))
-            _step(parted, visits, b, parts[mine][inner].astype(np.int64), random, step)
+            buckets = features(hashes, bounds, many, mine)
+        for k, _, b, observed in _outcomes(buckets, classes[mine], parts[mine], many, room):
+            _step(tables[k], visits, b, observed, random, step)
     return len(at)
 
 
-def log_chances(classed: np.ndarray, parted: np.ndarray, row: dict, room: int) -> np.ndarray:
-    """Natural logarithm of each token's class and part, by the two softmaxes."""
+def log_chances(tables: tuple[np.ndarray, ...], row: dict, room: int) -> np.ndarray:
+    """Natural logarithm of each token's group, class and part, by the three softmaxes."""
     bounds, classes, parts, hashes = _arrays(row)
-    logs = np.zeros(len(classes))
+    logs, many = np.zeros(len(classes)), len(tables[0])
     for a in range(0, len(classes), CHUNK):
         own = np.arange(a, min(a + CHUNK, len(classes)))
         with np.errstate(over="ignore"):
-            buckets = features(hashes, bounds, len(classed), own)
-        logs[own] = log_chance(classed, buckets, classes[own])
-        inner = classes[own] >= room
-        own = own[inner]
-        if len(own):
-            with np.errstate(over="ignore"):
-                logs[own] += log_chance(parted, inside_class(buckets[:, inner], classes[own], len(parted)), parts[own])
+            buckets = features(hashes, bounds, many, own)
+        for k, at, b, observed in _outcomes(buckets, classes[own], parts[own], many, room):
+            logs[own[at]] += log_chance(tables[k], b, observed)
     return logs
 
 
 def train(coded: DataFrame, spark, buckets: int, classes: int, total: int, room: int) -> np.ndarray:
-    width = classes + SUBS
+    width = classes // MEMBERS + MEMBERS + SUBS
     weights = np.zeros((buckets, width), dtype=np.float32)
     height = buckets // SLICES
     shards = int(max(TRAINERS, total * TOKEN_BYTES // (ROUNDS * weights.nbytes)))
@@ -437,7 +444,7 @@ def train(coded: DataFrame, spark, buckets: int, classes: int, total: int, room:
                     if row["shard"] != now:
                         yield from finish()
                         mine, tokens, now = split(start.value), 0, row["shard"]
-                    tokens += learn(*mine, row, step, room)
+                    tokens += learn(mine, row, step, room)
             yield from finish()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,7 +502,7 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 bounds = np.array(row["bounds"])
-                outer = per_document(log_chances(*own, row, room), bounds) / np.log(10)
+                outer = per_document(log_chances(own, row, room), bounds) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.diff(bounds)), pa.array(row["known"], pa.int64()),
