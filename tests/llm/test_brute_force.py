@@ -15,6 +15,7 @@ import compare
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.functions.scratch import Scratch
 from tracewell.llm import best_fit, collocations, embeddings, extraction, language_model, mixing, neardup, packing, quality, queries, secrets, token_counts, whitening
@@ -528,39 +529,55 @@ def test_mixing_by_plain_python(spark):
             targets[s] = 2.0 * sizes[s]
         left, free = left - sum(targets[s] for s in over), free - over
     targets |= {s: left * weights[s] / sum(weights[x] for x in free) for s in free}
-    expected = {}
+    expected, goal = defaultdict(list), {}
     for s in sources:
         mine = [(k, t, n) for k, t, of, n in docs if of == s]
         whole = int(targets[s] // sizes[s]) if sizes[s] else 0
         missing = targets[s] - whole * sizes[s]
-        ranked = {}
-        for k, t, n in mine:
+        ranked = []
+        for at, (k, t, n) in enumerate(mine):
             u = (int(hashlib.md5(":".join(["7", str(k), *([] if t is None else [t])]).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
             tilt = min(2.0, max(0.5, n * len(mine) / sizes[s])) if sizes[s] else 1.0
-            ranked[k, t, n] = u / (1 - u) / tilt
+            ranked.append((u / (1 - u) / tilt, at))
         total, taken = 0, set()
-        groups = sorted(ranked.items(), key=lambda e: e[1])
-        for (k, t, n), _ in groups if missing > 0 else []:
-            words = n * sum((k, t, n) == m for m in mine)
-            if total + words > missing:
+        for _, at in sorted(ranked) if missing > 0 else []:
+            if total + mine[at][2] > missing:
                 break
-            total, taken = total + words, taken | {(k, t, n)}
-        rest = [(abs(missing - total - n), q, key) for key, q in ranked.items() for n in [key[2]] if key not in taken and abs(missing - total - n) < missing - total]
+            total, taken = total + mine[at][2], taken | {at}
+        rest = [(abs(missing - total - mine[at][2]), q, at) for q, at in ranked if at not in taken and abs(missing - total - mine[at][2]) < missing - total]
         taken |= {min(rest)[2]} if rest else set()
-        for key in mine:
-            expected[key[0]] = (key[2] * (whole + (key in taken)), targets[s])
+        for at, (k, _, n) in enumerate(mine):
+            expected[k].append(n * (whole + (at in taken)))
+            goal[k] = targets[s]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
     scratch = Scratch(spark, "t")
     got = mixing.mix(mixing.with_size_and_rank(table), scratch).collect()
     assert len(got) == len(rows)
+    found = defaultdict(list)
     for r in got:
-        assert r.taken == expected[r.doc_id][0] and r.target == pytest.approx(expected[r.doc_id][1])
+        found[r.doc_id].append(r.taken)
+        assert r.target == pytest.approx(goal[r.doc_id])
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in expected.items()}
     # longer documents come in more often, and none is shut out
     extra = [(r.mix_size, r.copies - int(r.target // r.source_size)) for r in got if r.source in ("b", "c")]
     long, short = ([c for n, c in extra if (n > 100) == side] for side in (True, False))
     assert 0 < np.mean(short) < np.mean(long) <= 1
 
 
+def test_mixing_numbers_equal_rows(spark, tmp_path):
+    """Sources of equal rows come within half a document of their targets, and the SQL agrees row by row."""
+    rows = [(1, "w " * 20, "b")] * 100 + [(2, "x " * 30, "a")] * 7 + [(None, "y " * 9, None)] * 50 + [(None, None, None)] * 3 + [(k, "z " * (k % 40), "c") for k in range(3, 90)] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("extra", F.monotonically_increasing_id())
+    table.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_mix_sources(spark, str(tmp_path))
+    compare.assert_same(got, compare.connect(str(tmp_path)), mixing.ORACLE)
+    sizes = {"b": 20, "a": 30, None: 9}
+    per = mixing.mix(mixing.with_size_and_rank(table), Scratch(spark, "t")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.countDistinct("extra").alias("n"), F.max("copies").alias("most"))
+    per = {r.source: r for r in per.collect()}
+    assert {s: r.n for s, r in per.items()} == {"b": 100, "a": 7, None: 53, "c": 174} and max(r.most for r in per.values()) <= 2
+    assert all(abs(per[s].taken - per[s].target) <= size / 2 for s, size in sizes.items())
+
+
 class Lines(HTMLParser):
     """(text, length outside links, stretch) of each block, by the standard library's parser."""
 

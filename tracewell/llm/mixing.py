@@ -13,8 +13,9 @@ slot where a source crosses its goal is sorted. Sources are ranked in ranges, an
 Tables of a row per source are broadcast up to ``SOURCES`` rows and joined by a shuffle beyond.
 
 Defined results: a null text has size 0; documents without words may be copied, which adds no words; a null
-source is a source of its own, ordered last; rows equal in id and text share one rank and are taken or left
-together; an empty table gives an empty table; further columns are kept as they are.
+source is a source of its own, ordered last; rows equal in id and text share one rank, and where only some of them fit
+they are numbered and the first ones are taken (which of them may follow the files' layout, how many never does);
+an empty table gives an empty table; further columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -80,8 +81,9 @@ def source_targets(sized: DataFrame, scratch: Scratch, weights=WEIGHTS, share: f
     return ranked.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def _plan(sized: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Per source: certain copies, inclusion probability, the last rank taken and the document that fills up."""
+def _plan(sized: DataFrame, targets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Per source: certain copies, inclusion probability and the last rank taken; and the groups of equal rows behind it
+    of which ``take`` among ``n`` rows come in: the group where the goal is crossed and the one that fills up."""
     goals = targets.select(
         F.col("source").alias("goal_source"),
         "source_size",
@@ -110,13 +112,16 @@ def _plan(sized: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
     )
     crossing = within_bound(scratch.save(crossing, "crossing"), SOURCES)
     there = ranked.join(crossing, F.col("goal_source").eqNullSafe(F.col("cross_source")) & (F.col("slot") == F.col("cross_slot")))
+    equal = there.groupBy("goal_source", "q", "mix_u", "mix_size").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("before", "missing", "cross_slot")])
     by_rank = Window.partitionBy("goal_source").orderBy("q")
-    within = there.withColumn("until", F.col("before") + F.sum("mix_size").over(by_rank))
+    within = equal.withColumn("until", F.col("before") + F.sum(F.col("mix_size") * F.col("n")).over(by_rank))
+    fits = F.col("until") <= F.col("missing")
     last = (
         within.groupBy(F.col("goal_source").alias("last_source"))
         .agg(
-            F.max(F.when(F.col("until") <= F.col("missing"), F.col("q"))).alias("last_q"),
-            F.max(F.when(F.col("until") <= F.col("missing"), F.col("until"))).alias("last_until"),
+            F.max(F.when(fits, F.col("q"))).alias("last_q"),
+            F.max(F.when(fits, F.col("until"))).alias("last_until"),
+            F.min(F.when(~fits, F.struct("q", "mix_u", "mix_size", "n"))).alias("crossed"),
             F.first("before").alias("before"),
             F.first("cross_slot").alias("cross_slot"),
             F.first("missing").alias("missing"),
@@ -125,22 +130,29 @@ def _plan(sized: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
             "last_source",
             # no document of the slot fits: all slots before it are taken, and nothing of it
             F.coalesce("last_q", F.col("cross_slot") / (F.lit(SLOTS) - F.col("cross_slot")) - 1e-12).alias("last_q"),
-            (F.col("missing") - F.coalesce("last_until", "before")).alias("gap"),
+            "crossed",
+            (F.col("missing") - F.coalesce("last_until", "before")).alias("left"),
         )
+        .withColumn("fitting", F.least("crossed.n", F.floor(F.floor("left") / F.nullif(F.col("crossed.mix_size"), F.lit(0)))))
+        .select("last_source", "last_q", "crossed", "fitting", (F.col("left") - F.coalesce(F.col("fitting") * F.col("crossed.mix_size"), F.lit(0))).alias("gap"))
     )
     last = scratch.save(last, "last")
     filling = (
         ranked.join(within_bound(last, SOURCES), F.col("goal_source").eqNullSafe(F.col("last_source")))
         .where((F.col("q") > F.col("last_q")) & (F.abs(F.col("gap") - F.col("mix_size")) < F.col("gap")))
-        .groupBy(F.col("goal_source").alias("fill_source"))
-        .agg(F.min_by("mix_u", F.struct(F.abs(F.col("gap") - F.col("mix_size")), F.col("q"))).alias("fill_u"))
+        .groupBy("goal_source")
+        .agg(F.min(F.struct(F.abs(F.col("gap") - F.col("mix_size")).alias("off"), "q", "mix_u", "mix_size")).alias("fill"))
+        .select(F.col("goal_source").alias("some_source"), F.col("fill.mix_u").alias("some_u"), F.col("fill.mix_size").alias("some_size"), F.lit(1).cast("long").alias("take"))
     )
-    plan = (
-        goals.join(last, F.col("goal_source").eqNullSafe(F.col("last_source")), "left")
-        .join(filling, F.col("goal_source").eqNullSafe(F.col("fill_source")), "left")
-        .select("goal_source", "source_size", "n_docs", "target", "certain", "chance", "last_q", "fill_u")
-    )
-    return within_bound(scratch.save(plan, "plan"), SOURCES)
+    crossed = last.where("fitting > 0").select("last_source", "crossed.mix_u", "crossed.mix_size", "fitting")
+    some = scratch.save(filling.union(crossed).groupBy("some_source", "some_u", "some_size").agg(F.sum("take").alias("take")), "some")
+    some = ranked.join(within_bound(some, SOURCES), _in_group("goal_source")).groupBy("some_source", "some_u", "some_size", "take").agg(F.count("*").alias("n"))
+    plan = goals.join(last, F.col("goal_source").eqNullSafe(F.col("last_source")), "left").select("goal_source", "source_size", "n_docs", "target", "certain", "chance", "last_q")
+    return scratch.save(plan, "plan"), scratch.save(some, "counted")
+
+
+def _in_group(source: str) -> Column:
+    return F.col(source).eqNullSafe(F.col("some_source")) & (F.col("mix_u") == F.col("some_u")) & (F.col("mix_size") == F.col("some_size"))
 
 
 def _pareto() -> Column:
@@ -157,17 +169,38 @@ def mix(sized: DataFrame, scratch: Scratch, measured: DataFrame | None = None, *
     measured: the same rows with at least source, mix_size and mix_u, where these are stored apart from texts.
     """
     measured = sized if measured is None else measured
-    plan = _plan(measured, source_targets(measured, scratch, **options), scratch)
-    added = (F.col("chance") > 0) & ((F.col("mix_q") <= F.col("last_q")) | (F.col("mix_u") == F.col("fill_u")))
-    copies = F.col("certain") + F.coalesce(added.cast("long"), F.lit(0))
+    plan, some = _plan(measured, source_targets(measured, scratch, **options), scratch)
     kept = [F.col(f"`{c}`") for c in sized.columns]
-    return (
+    placed = (
         sized.select(F.struct(*kept).alias("_row"), "source", "mix_size", "mix_u")
-        .join(plan, F.col("source").eqNullSafe(F.col("goal_source")))
+        .join(within_bound(plan, SOURCES), F.col("source").eqNullSafe(F.col("goal_source")))
+        .join(within_bound(some, SOURCES), _in_group("source"), "left")
         .withColumn("mix_q", _pareto())
-        .select("_row.*", "source_size", "target", copies.alias("copies"), (copies * F.col("mix_size")).alias("taken"))
     )
 
+    def taken(rows: DataFrame, added: Column) -> DataFrame:
+        copies = F.col("certain") + F.coalesce(added.cast("long"), F.lit(0))
+        return rows.select("_row.*", "source_size", "target", copies.alias("copies"), (copies * F.col("mix_size")).alias("taken"))
+
+    whole = (F.col("chance") > 0) & ((F.col("mix_q") <= F.col("last_q")) | (F.col("take") >= F.col("n")))
+    if some.where("take < n").isEmpty():
+        return taken(placed, whole)
+    parted = F.coalesce(F.col("take") < F.col("n"), F.lit(False))
+    tied = placed.where(parted).select("_row", "source", "mix_size", "mix_u", "source_size", "target", "certain", "take")
+    return taken(placed.where(~parted), whole).unionAll(taken(_numbered(scratch.save(tied, "tied")), F.col("number") <= F.col("take")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Number equal rows of a saved table from 1, by file and by place in it: no task sorts a whole group."""
+    group = ["source", "mix_u", "mix_size", "file"]
+    rows = rows.withColumns({"file": F.col("_metadata.file_name"), "place": F.col("_metadata.row_index")})
+    before = Window.partitionBy(*group[:-1]).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy(*group).count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    files = files.select(*[F.col(c).alias(f"of_{c}") for c in group], "before")
+    same = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("mix_u") == F.col("of_mix_u")) & (F.col("mix_size") == F.col("of_mix_size")) & (F.col("file") == F.col("of_file"))
+    number = F.row_number().over(Window.partitionBy(*group).orderBy("place"))
+    return rows.withColumn("number", number).join(files, same).withColumn("number", F.col("number") + F.col("before"))
+
 
 def copy_out(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with the columns of ``docs``. Texts are not shuffled."""
@@ -181,11 +214,12 @@ def copy_out(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
 
 
 ORACLE = r"""
-with sized as (
+with sized as materialized (
+  select *, row_number() over (partition by source, u, size) as k from (
   select doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
          (('0x' || substr(md5(concat_ws(':', '7', doc_id::varchar, text)), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double as u
-  from documents),
+  from documents)),
 src as (select source, sum(size)::bigint as source_size, count(*) as n_docs from sized group by source),
 weighed as (
   select *, case (row_number() over (order by source asc nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w,
@@ -204,23 +238,15 @@ g as (
   select *, target - certain * source_size as missing,
          case when source_size > 0 then target / source_size - certain else 0.0 end::double as chance from goals),
 ranked as (
-  select s.doc_id, s.source, s.size, s.u, g.missing,
+  select s.doc_id, s.source, s.size, s.u, s.k, g.missing,
          (s.u / (1 - s.u)) / (g.chance / (1 - g.chance) * least(2.0::double, greatest(0.5::double, (s.size * g.n_docs)::double / g.source_size))) as q
   from sized s join g on s.source is not distinct from g.source where g.chance > 0),
-cum as (select *, sum(size) over (partition by source order by q range between unbounded preceding and current row) as until from ranked),
-last as (
-  select source, coalesce(max(case when until <= missing then q end), -1.0) as last_q,
-         any_value(missing) - coalesce(max(case when until <= missing then until end), 0) as gap
-  from cum group by source),
-fill as (
-  select source, u as fill_u from (
-    select r.source, r.u, row_number() over (partition by r.source order by abs(l.gap - r.size), r.q) as k
-    from ranked r join last l on r.source is not distinct from l.source
-    where r.q > l.last_q and abs(l.gap - r.size) < l.gap) where k = 1)
-select s.doc_id, s.size, g.source_size, g.target,
-       (s.size * (g.certain + case when g.chance > 0 and
-         (coalesce((s.u / (1 - s.u)) / (g.chance / (1 - g.chance) * least(2.0::double, greatest(0.5::double, (s.size * g.n_docs)::double / g.source_size))) <= l.last_q, false) or coalesce(s.u = f.fill_u, false)) then 1 else 0 end))::bigint as taken
+cum as (select *, sum(size) over (partition by source order by q, k rows between unbounded preceding and current row) as until from ranked),
+last as (select source, any_value(missing) - coalesce(max(case when until <= missing then until end), 0) as gap from cum group by source),
+added as (
+  select source, u, size, k, until <= missing or (fits and row_number() over (partition by source, fits order by off, q, k) = 1) as extra from (
+    select c.*, abs(l.gap - c.size) as off, c.until > c.missing and abs(l.gap - c.size) < l.gap as fits from cum c join last l on c.source is not distinct from l.source))
+select s.doc_id, s.size, g.source_size, g.target, (s.size * (g.certain + case when a.extra then 1 else 0 end))::bigint as taken
 from sized s join g on s.source is not distinct from g.source
-left join last l on s.source is not distinct from l.source
-left join fill f on s.source is not distinct from f.source
+left join added a on s.source is not distinct from a.source and s.u = a.u and s.size = a.size and s.k = a.k
 """
