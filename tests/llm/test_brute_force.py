@@ -583,20 +583,21 @@ class Lines(HTMLParser):
 
     def __init__(self, page):
         super().__init__(convert_charrefs=True)
-        self.lines, self.parts, self.linked, self.stretch, self.dropped, self.links = [], [], 0, 0, [], 0
+        self.lines, self.parts, self.linked, self.stretch, self.dropped, self.links, self.articles = [], [], 0, 0, [], 0, 0
         self.feed(page)
         self.close()
         self.flush()
 
     def flush(self):
         if text := " ".join("".join(self.parts).split()):
-            self.lines.append((text, max(0, len(text) - self.linked), self.stretch))
+            self.lines.append((text, max(0, len(text) - self.linked), self.stretch, self.articles))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attributes):
         if tag in extraction.BLOCKS:
             self.flush()
         self.stretch += tag in ("article", "main")
+        self.articles += tag == "article"
         self.links += tag == "a"
         words = set((dict(attributes).get("class") or "").split())
         if tag == "br":
@@ -610,6 +611,7 @@ class Lines(HTMLParser):
         if tag in extraction.BLOCKS:
             self.flush()
         self.stretch += tag in ("article", "main")
+        self.articles -= tag == "article"
         self.links -= tag == "a"
         if self.dropped and tag == self.dropped[0]:
             self.dropped.pop()
@@ -622,12 +624,12 @@ class Lines(HTMLParser):
 
 def main_lines(lines):
     """Surge and dive, line by line."""
-    block = {i: sum(n for _, n, s in lines[i : i + 3] if s == lines[i][2]) for i in range(len(lines))}
+    block = {i: sum(n for _, n, s, _ in lines[i : i + 3] if s == lines[i][2]) for i in range(len(lines))}
     top = max(block.values(), default=0)
     keep = []
-    for stretch in sorted({s for *_, s in lines}):
-        mine = [i for i, (*_, s) in enumerate(lines) if s == stretch]
-        level = min(80, top / 2) if max(block[i] for i in mine) == top else max(80, top / 4)
+    for stretch in sorted({s for _, _, s, _ in lines}):
+        mine = [i for i, (_, _, s, _) in enumerate(lines) if s == stretch]
+        level = 0 if lines[mine[0]][3] else min(80, top / 2) if max(block[i] for i in mine) == top else max(80, top / 4)
         surges = [i for i in mine if lines[i][1] and block[i] >= level]
         if surges:
             first, last = surges[0], surges[-1]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import math
+import time
 
 import pytest
 
@@ -170,6 +171,42 @@ def test_extraction_of_odd_pages(page, text):
     assert found.startswith(ONE) if text is None else found == text
 
 
+LINKS = "<ul><li><a href=/>One</a></li><li><a href=/>Two</a></li><li><a href=/>Six</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<p title=it's>{ONE}</p><p title=it's>{TWO}</p>", f"{ONE}\n{TWO}"),  # an apostrophe inside an unquoted value
+        (f"<p \"odd>{ONE}</p><p data-x=a\"b>{TWO}</p>", f"{ONE}\n{TWO}"),  # quotes that open nothing
+        (f"<p><script data-x=it's>no('</p>')</script>{ONE}</p><p>{TWO} it's</p>", f"{ONE}\n{TWO} it's"),
+        (f"<article><p>{ONE}</p>{LINKS * 3}<p>End.</p>{LINKS}</article>", f"{ONE}\n" + "One\nTwo\nSix\n" * 3 + "End."),  # a short closing line
+        (f"<article><p>By me</p>{LINKS * 2}<p>{ONE}</p></article>", "By me\n" + "One\nTwo\nSix\n" * 2 + ONE),
+        (f"<main><p>{ONE * 9}</p></main><article><p>A short note.</p></article>", f"{ONE * 9}\nA short note."),
+        (f"<main><p>{ONE}</p>{LINKS * 3}<p>End.</p></main><p>All rights reserved</p>", f"{ONE}\n" + "One\nTwo\nSix\n" * 3 + "End."),
+        *[(f"<article><p>{ONE}</p><div class={mark}><p>{TWO}</p></div></article>", f"{ONE}\n{TWO}") for mark in ("share", "related", "social", "toolbar", "search", "skip", "pager")],
+        (f"<article><p>{ONE}</p></article><article class=ad><p>{TWO}</p></article><aside><p>{TWO}</p></aside>", ONE),
+        (f"<article><p data-id=sidebar>{ONE}</p><p data-role='nav'>{TWO}</p></article>", f"{ONE}\n{TWO}"),  # other attributes mark nothing
+        (f"<p>{ONE}</p><script>if (a > b) more", ONE),
+        (f"<p>{ONE}</p><!-- <b> never closed", ONE),
+        (f"<p>{ONE}</p><p>{TWO} <b class='x' <i", f"{ONE}\n{TWO}"),
+    ],
+)
+def test_extraction_keeps_what_is_in_the_article(page, text):
+    assert extraction.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "odd",
+    ["<span>" * 100_000 + "</b>" * 100_000, "<p " * 100_000, "<p a='" * 100_000, "<body>" * 50_000 + "<i>" * 50_000 + "<body>" * 50_000, "<span>" * 50_000 + "<nav><article>" * 20_000, "<!--" * 100_000, "<svg " * 100_000, "<script " * 100_000],
+)
+def test_extraction_is_linear(odd):
+    start = time.monotonic()
+    extraction.main_text(f"<p>{ONE}</p>{odd}")
+    assert extraction.main_text(f"<p>{ONE}</p>{odd}<p>{TWO}</p>") is not None
+    assert time.monotonic() - start < 5
+
+
 def test_extraction_of_repeated_rows(spark):
     rows = spark.createDataFrame([(1, f"<p>{ONE}</p>", "mine")] * 3 + [(None, f"<p>{TWO}</p>", None)], "page_id long, html string, length string")
     got = extraction.extract(rows).collect()
