@@ -8,10 +8,10 @@ import compare
 import pytest
 
 import __spark_entry__
-from tracewell.plans import edits, intake, pages, records, relational, retrieval, suites, trees
+from tracewell.plans import edits, intake, pages, records, relational, retrieval, suites, trees, versions
 
-SQL = {**retrieval.ORACLE, **records.ORACLE, **relational.ORACLE, **suites.ORACLE, **intake.ORACLE, **edits.ORACLE, **pages.ORACLE, **trees.ORACLE}
-QUERIES = {**retrieval.QUERIES, **records.QUERIES, **relational.QUERIES, **suites.QUERIES, **intake.QUERIES, **edits.QUERIES, **pages.QUERIES, **trees.QUERIES}
+SQL = {**retrieval.ORACLE, **records.ORACLE, **relational.ORACLE, **suites.ORACLE, **intake.ORACLE, **edits.ORACLE, **pages.ORACLE, **trees.ORACLE, **versions.ORACLE}
+QUERIES = {**retrieval.QUERIES, **records.QUERIES, **relational.QUERIES, **suites.QUERIES, **intake.QUERIES, **edits.QUERIES, **pages.QUERIES, **trees.QUERIES, **versions.QUERIES}
 
 
 @pytest.fixture(scope="module")
