@@ -38,6 +38,25 @@ def _doubled(state: DataFrame, scratch: Scratch, name: str, *grown: str) -> Data
     return state.where("up is null")
 
 
+def ancestors(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, ancestor) for every way up along links (id, parent), by doubling: round k adds the ways of up to 2 ** k links.
+
+    Ways that never end, on a cycle of parents, are an error.
+    """
+    jumps = scratch.save(links.where("parent is not null").select("id", F.col("parent").alias("ancestor")), "ways0")
+    found, turn, most = jumps, 0, jumps.count()
+    while True:
+        first = jumps.select("id", F.col("ancestor").alias("_via"))
+        turn += 1
+        longer = scratch.save(first.join(found.withColumnRenamed("id", "_via"), "_via").select("id", "ancestor"), f"ways{turn}")
+        if longer.isEmpty():
+            return found
+        if 2 ** (turn - 1) >= most:
+            raise ValueError("a cycle of parents")
+        jumps = scratch.save(first.join(jumps.withColumnRenamed("id", "_via"), "_via").select("id", "ancestor"), f"jumps{turn}")
+        found = found.unionByName(longer)
+
+
 def forest(folders: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, parent, name, depth, path, key) of every folder that hangs from a root; depth counts from 1."""
     known = folders.select(F.col("id").alias("_known"))

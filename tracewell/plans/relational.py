@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
+from tracewell.functions.scratch import Scratch
 from tracewell.operators import revisions as V
+from tracewell.operators import trees as R
 from tracewell.plans.retrieval import table
 
 QUERIES: dict = {}
@@ -154,9 +156,7 @@ def j3_self_join(spark, sf_dir):
 @query(f"with recursive {_TREE}, up as (select id, parent as ancestor from node where parent is not null union all select u.id, n.parent from up u join node n on n.id = u.ancestor where n.parent is not null) select id, ancestor from up")
 def j5_closure(spark, sf_dir):
     """Every node with each of its ancestors (read the other way: its descendants)."""
-    _tree(spark, sf_dir).createOrReplaceTempView("j5_node")
-    return spark.sql("""with recursive up as (select id, parent as ancestor from j5_node where parent is not null
-      union all select u.id, n.parent from up u join j5_node n on n.id = u.ancestor where n.parent is not null) select id, ancestor from up""")
+    return R.ancestors(_tree(spark, sf_dir).select("id", "parent"), Scratch(spark, "closure"))
 
 
 @query("select c_custkey, o_orderkey as last_order, o_totalprice from customer left join (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders) on o_custkey = c_custkey and k = 1")
