@@ -33,3 +33,11 @@ def test_closure_has_no_row_limit(spark, sf_dir):
         assert relational.QUERIES["j5_closure"](spark, sf_dir).count() > 50
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_written_files_are_read_again():
+    """A text that repeats itself shrinks more than a reader allows; the reader's limit stays."""
+    from tracewell.sources import docx
+
+    for text in ("La " * 20_000, "La", "".join(chr(97 + k * k % 26) for k in range(50_000))):
+        assert docx.docx_markdown(docx.PackageWriter().write([("title", "T"), ("text", text)])).blocks == ["# T", text.strip()]
