@@ -41,3 +41,13 @@ def test_written_files_are_read_again():
 
     for text in ("La " * 20_000, "La", "".join(chr(97 + k * k % 26) for k in range(50_000))):
         assert docx.docx_markdown(docx.PackageWriter().write([("title", "T"), ("text", text)])).blocks == ["# T", text.strip()]
+
+
+def test_long_sections_take_no_square_of_time(spark):
+    """A frame from a row to the section's end is made anew for every row: there is none."""
+    from tracewell.operators import units
+
+    text = "# T\n\n" + "\n\n".join(f"FR-{k} The user {k} pays." for k in range(2000))
+    found = units.upload_chunks(units.sections(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+    assert "1, unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert sorted(map(tuple, found.select("ordinal", "req_id").collect())) == [(k, f"FR-{k}") for k in range(2000)]
