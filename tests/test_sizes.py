@@ -51,3 +51,19 @@ def test_long_sections_take_no_square_of_time(spark):
     found = units.upload_chunks(units.sections(spark.createDataFrame([(1, text)], "doc_id long, text string")))
     assert "1, unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
     assert sorted(map(tuple, found.select("ordinal", "req_id").collect())) == [(k, f"FR-{k}") for k in range(2000)]
+
+
+def test_anchors_stand_where_a_pattern_finds_them():
+    """Plain search against the pattern it replaces; no pattern is compiled for a row."""
+    import random
+    import re
+
+    from tracewell.operators import rows
+
+    assert not hasattr(rows, "re")
+    pick = random.Random(3)
+    for _ in range(3000):
+        text = "".join(pick.choice("ab \n\u00a0|") for _ in range(pick.randint(0, 30)))
+        words = [w for w in ("".join(pick.choice("ab|") for _ in range(pick.randint(1, 3))) for _ in range(pick.randint(1, 3)))]
+        found = [m.span() for m in re.finditer(r"\s*".join(map(re.escape, words)), text)]
+        assert list(rows._stands(text, words)) == found, (text, words)

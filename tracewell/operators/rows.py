@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +19,26 @@ def looks_flattened(text: Column) -> Column:
     return ~bare.contains("\n") & (F.length(bare) - F.length(F.translate(bare, "|", "")) >= 2)
 
 
+def _stands(text: str, words: list[str]) -> Iterator[tuple[int, int]]:
+    """Where words stand one after another with any or no white space between them, from left to right without overlaps.
+
+    By plain search: anchors differ from row to row, and a pattern for each would have to be compiled."""
+    first, rest = words[0], words[1:]
+    at = text.find(first)
+    while at >= 0:
+        end = at + len(first)
+        for word in rest:
+            while text[end : end + 1].isspace():
+                end += 1
+            if not text.startswith(word, end):
+                at = text.find(first, at + 1)
+                break
+            end += len(word)
+        else:
+            yield at, end
+            at = text.find(first, end)
+
+
 def anchor_places(text: str, anchors: list[str]) -> list[int]:
     """Where rows begin: the most anchors that can stand one after another in their order, each as early as that allows.
 
@@ -30,7 +50,7 @@ def anchor_places(text: str, anchors: list[str]) -> list[int]:
         words = (anchor or "").split()
         if words:
             # later places first, so that a chain takes one place of an anchor
-            candidates += sorted(((m.start(), m.end(), k) for m in re.finditer(r"\s*".join(map(re.escape, words)), text)), reverse=True)
+            candidates += [(start, end, k) for start, end in _stands(text, words)][::-1]
     ends: list[int] = []  # the least end of a chain of each length
     chains: list[int] = []
     before: list[int] = []
