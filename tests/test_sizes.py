@@ -67,3 +67,17 @@ def test_anchors_stand_where_a_pattern_finds_them():
         words = [w for w in ("".join(pick.choice("ab|") for _ in range(pick.randint(1, 3))) for _ in range(pick.randint(1, 3)))]
         found = [m.span() for m in re.finditer(r"\s*".join(map(re.escape, words)), text)]
         assert list(rows._stands(text, words)) == found, (text, words)
+
+
+def test_lines_of_a_table_are_split_once(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.functions import text as T
+
+    plan = spark.range(1).select(T.table_pieces(F.col("id").cast("string")).alias("p"), T.looks_table(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 2
+    texts = ["T\n| a |\n|---|\n| 1 |\n| 2 |", "plain", "| a |", "| a |\n|:-|", "", None, "x\n\n| a | b |\n| c |"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.table_pieces(F.col("t")).alias("p"), T.looks_table(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [(r.p, r.x) for r in df] == [
+        (["T\n| a |\n| 1 |", "T\n| a |\n| 2 |"], True), (["plain"], False), (["| a |"], False), (["| a |\n|:-|"], True), ([""], False), ([None], None), (["x\n| a | b |\n| c |"], True),
+    ]
