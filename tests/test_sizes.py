@@ -81,3 +81,21 @@ def test_lines_of_a_table_are_split_once(spark):
     assert [(r.p, r.x) for r in df] == [
         (["T\n| a |\n| 1 |", "T\n| a |\n| 2 |"], True), (["plain"], False), (["| a |"], False), (["| a |\n|:-|"], True), ([""], False), ([None], None), (["x\n| a | b |\n| c |"], True),
     ]
+
+
+def test_batches_send_no_text_to_python(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.operators import batches
+
+    inputs = spark.range(300).select(F.sha2(F.col("id").cast("string"), 256).alias("embed_hash"), F.repeat(F.col("id").cast("string"), 100).alias("text"))
+    found = batches.token_batches(inputs, inputs.where("false"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "_fill(tokens#" in plan
+    rows = found.collect()
+    sizes = Counter(r.batch for r in rows)
+    tokens = Counter()
+    for r in rows:
+        tokens[r.batch] += r.tokens
+    assert len(rows) == 300 and len({r.embed_hash for r in rows}) == 300 and all(r.text for r in rows)
+    assert all(n == 1 or (n <= 64 and tokens[b] <= 3500) for b, n in sizes.items())

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: The most texts and estimated tokens of a batch, and the characters of a token.
 BATCH_TEXTS, BATCH_TOKENS, TOKEN_CHARS = 64, 3500, 4
@@ -23,16 +24,21 @@ def token_batches(inputs: DataFrame, cache: DataFrame, ratio: float = 1.0) -> Da
     fresh = fresh.groupBy("embed_hash").agg(F.min("text").alias("text"))
     fresh = fresh.withColumn("tokens", F.greatest(F.lit(1), F.floor(F.length("text") / TOKEN_CHARS * ratio).cast("int")))
 
-    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch, texts, total = 0, 0, 0
-        for frame in frames:
-            named = []
-            for tokens in frame["tokens"]:
-                if texts and (texts == BATCH_TEXTS or total + tokens > BATCH_TOKENS):
-                    batch, texts, total = batch + 1, 0, 0
-                texts, total = texts + 1, total + tokens
-                named.append(batch)
-            yield frame.assign(batch=named)
-
-    filled = fresh.mapInPandas(fill, "embed_hash string, text string, tokens int, batch long")
-    return filled.withColumn("batch", F.concat_ws("-", F.spark_partition_id().cast("string"), F.col("batch").cast("string")))
+    # only numbers go to Python; the texts stay where they are, and are not held by the batch
+    name = F.concat_ws("-", F.spark_partition_id().cast("string"), _filled("tokens").cast("string"))
+    return fresh.select("embed_hash", "text", "tokens", name.alias("batch"))
+
+
+def _fill(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    batch, texts, total = 0, 0, 0
+    for frame in frames:
+        named = []
+        for tokens in frame.tolist():
+            if texts and (texts == BATCH_TEXTS or total + tokens > BATCH_TOKENS):
+                batch, texts, total = batch + 1, 0, 0
+            texts, total = texts + 1, total + tokens
+            named.append(batch)
+        yield pd.Series(named, dtype="int64")
+
+
+_filled = F.pandas_udf(_fill, LongType()).asNondeterministic()
