@@ -99,3 +99,13 @@ def test_batches_send_no_text_to_python(spark):
         tokens[r.batch] += r.tokens
     assert len(rows) == 300 and len({r.embed_hash for r in rows}) == 300 and all(r.text for r in rows)
     assert all(n == 1 or (n <= 64 and tokens[b] <= 3500) for b, n in sizes.items())
+
+
+def test_outcomes_need_no_ordinals(spark, monkeypatch):
+    """Live rows are numbered only when they are asked for."""
+    from tracewell.operators import edits
+
+    monkeypatch.setattr(edits, "_numbered", lambda *_: 1 / 0)
+    live = spark.createDataFrame([("a", 1, 0, None, "x")], "row_id string, doc_id long, ordinal long, req_id string, text string")
+    log = spark.createDataFrame([("o", 1, None, "edit", "a", None, ["y"], None)], "op string, seq long, doc_id long, kind string, row_id string, expected string, pieces array<string>, req_ids array<string>")
+    assert [r.outcome for r in edits.fold(live, log, Scratch(spark, "t"))["outcomes"].collect()] == ["applied"]
