@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.functions.scratch import Scratch
 
@@ -109,3 +110,32 @@ def test_outcomes_need_no_ordinals(spark, monkeypatch):
     live = spark.createDataFrame([("a", 1, 0, None, "x")], "row_id string, doc_id long, ordinal long, req_id string, text string")
     log = spark.createDataFrame([("o", 1, None, "edit", "a", None, ["y"], None)], "op string, seq long, doc_id long, kind string, row_id string, expected string, pieces array<string>, req_ids array<string>")
     assert [r.outcome for r in edits.fold(live, log, Scratch(spark, "t"))["outcomes"].collect()] == ["applied"]
+
+
+def test_similar_pairs_carry_no_words(spark, monkeypatch):
+    """Word sets go to units of pairs, not to each pair; all pairs, as by brute force, in one unit or in many."""
+    import random
+
+    from tracewell.operators import alignment
+
+    pick = random.Random(5)
+    texts = [" ".join(f"w{min(pick.randrange(1, 60), pick.randrange(1, 60))}" for _ in range(pick.choice((1, 4, 12, 13, 30)))) for _ in range(120)] + ["", "a"]
+    a, b = texts[:70], texts[50:]
+    expected = {}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            s, t = ({w for w in v.split() if len(w) > 1} for v in (x, y))
+            if s and t and len(s & t) / len(s | t) >= 0.45:
+                expected[i, j] = len(s & t) / len(s | t)
+    live, new = (spark.createDataFrame(list(enumerate(v)), "idx long, text string") for v in (a, b))
+    for limits in ({}, {"UNIT_PAIRS": 7, "UNIT_SETS": 9, "SLICE": 2}):
+        for name, value in limits.items():
+            monkeypatch.setattr(alignment, name, value)
+        found = alignment.similar_pairs(live, new)
+        assert {(r.live_idx, r.new_idx): r.similarity for r in found.collect()} == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "CoGroups" in plan
+    scoped = [v.withColumn("scope", F.col("idx") % 2) for v in (live, new)]
+    found = alignment.similar_pairs(*scoped, by=("scope",)).collect()
+    assert {(r.live_idx, r.new_idx) for r in found} == {k for k in expected if k[0] % 2 == k[1] % 2}
+    assert alignment.similar_pairs(live.limit(0), new).count() == 0
