@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from tracewell.functions.scratch import Scratch
 from tracewell.operators import trees
 
@@ -74,3 +76,16 @@ def test_draft_rows(spark):
     assert got[1].basis_hash == md5(f"{got[1].content_hash}\x1f7:{md5('now')},8:{md5('gone')},9:null")
     assert got[3].content_hash == md5("[]") and got[3].basis_hash == md5(md5("[]") + "\x1f")
     assert trees.draft_rows(tables[0].limit(0), *tables[1:], ["title", "kind"], Scratch(spark, "t")).collect() == []
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    """No task sorts a share of the rows that grows with them; places stay gapless."""
+    monkeypatch.setattr(trees, "RANGE_ROWS", 10)
+    keys = random.Random(5).sample(range(1000), 300)
+    scratch = Scratch(spark, "test-ranges")
+    rows = trees.numbered(spark.createDataFrame([([k // 7, k],) for k in keys], "key array<long>"), scratch)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan and [(r.position, r.key[1]) for r in rows.orderBy("key").collect()] == list(enumerate(sorted(keys)))
+    sizes = [r["count"] for r in spark.read.parquet(f"{scratch.root}/position_ranges").groupBy(F.shiftright("_own", 33)).count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 30
+    assert trees.numbered(spark.createDataFrame([], "key array<long>"), Scratch(spark, "test-none")).count() == 0

@@ -19,6 +19,7 @@ from tracewell.functions import text as T
 from tracewell.functions.scratch import Scratch
 
 FOLDER, CASE = 0, 1
+RANGE_ROWS = 100_000  # about as many rows are sorted in one task
 
 
 def _node(kind: int) -> Column:
@@ -70,13 +71,20 @@ def forest(folders: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def numbered(rows: DataFrame, scratch: Scratch, key: str = "key", into: str = "position") -> DataFrame:
-    """Rows with their place, from 0, in the order of ``key``: sorted inside ranges, after the rows of the ranges before."""
-    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = scratch.save(rows.repartitionByRange(ranges, key).withColumn("_range", F.spark_partition_id()), f"{into}_ranges")
+    """Rows with their place, from 0, in the order of ``key``: sorted inside ranges, after the rows of the ranges before.
+
+    There are more ranges for more rows, so a task sorts about as many of any table.
+    """
+    given = scratch.save(rows, f"{into}_given")  # read to find the ranges and again to deal rows to them
+    ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-given.count() // RANGE_ROWS))
+    # a sorted range numbers its own rows in the lower 33 bits
+    ranged = given.repartitionByRange(ranges, key).sortWithinPartitions(key).withColumn("_own", F.monotonically_increasing_id())
+    ranged = scratch.save(ranged, f"{into}_ranges").withColumn("_range", F.shiftright("_own", 33))
+    scratch.drop(f"{into}_given")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     offsets = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return ranged.join(F.broadcast(offsets), "_range").withColumn(into, place).drop("_range", "_before")
+    place = F.col("_before") + F.col("_own").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(offsets), "_range").withColumn(into, place).drop("_range", "_own", "_before")
 
 
 def tree(folders: DataFrame, cases: DataFrame, scratch: Scratch) -> DataFrame:
