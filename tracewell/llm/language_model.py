@@ -63,7 +63,6 @@ TOKEN_BYTES = 6
 STEP = 0.5
 BATCH = 4096
 CHUNK = 1024  # tokens whose probabilities are held at once, small enough for a core's cache
-RUN = 8  # outcomes drawn together first, where it divides their number
 REACH = 16.0  # the largest weight: no product of five exponentials leaves float32
 LOWEST, HIGHEST = np.exp(np.array([-REACH, REACH], dtype=np.float32))
 BLOCKS_PER_PART = 16
@@ -299,14 +298,17 @@ def features(hashes: np.ndarray, bounds: np.ndarray, many: int = BUCKETS, at: np
     one, two, three = (np.where(place >= k, hashes[np.maximum(at - k, 0)].astype(U), U(1 << 32) + U(k)) for k in (1, 2, 3))
     # n-grams: the word before, the two before; skips: the second and the third before alone
     seeds = np.stack([one * U(4) + U(1), (mix(one) + two) * U(4) + U(2), two * U(4) + U(3), mix(three) * U(4) + U(3)])
-    found = np.zeros((5, len(at)), dtype=np.int32)
-    found[1:] = mix(seeds) % U(many - 1) + U(1)
+    found = np.zeros((5, len(at)), dtype=np.int64)
+    mixed = mix(seeds)
+    found[1:] = mixed - mixed // U(many - 1) * U(many - 1) + U(1)  # the remainder, which numpy takes one by one
     return found
 
 
 def inside(buckets: np.ndarray, outcomes: np.ndarray, many: int, kind: int) -> np.ndarray:
     """Buckets of the same features together with a group (kind 1) or a class (kind 0), for the softmax over what is in it."""
-    return (mix(buckets.astype(U) * GOLDEN + outcomes.astype(U) + U(1 + (kind << 32))) % U(many)).astype(np.int32)
+    seeds = buckets.view(U) * GOLDEN
+    seeds += outcomes.view(U) + U(1 + (kind << 32))
+    return (mix(seeds) & U(many - 1)).view(np.int64)  # many is a power of two
 
 
 def class_weights(powers: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -321,25 +323,19 @@ def class_weights(powers: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def draw(powers: np.ndarray, at: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """An outcome drawn from the model for each token: first a run of outcomes, then one of the run."""
+    """An outcome drawn from the model for each token: how many running sums lie below a threshold."""
     many = powers.shape[1]
-    size = many if many % RUN else RUN
-    runs = many // size
-    members = np.repeat(np.eye(runs, dtype=np.float32), size, axis=0)
-    upto, within = np.triu(np.ones((runs, runs), dtype=np.float32)), np.triu(np.ones((size, size), dtype=np.float32))
-    thresholds = random.random((2, at.shape[1], 1), dtype=np.float32)
+    upto = np.tril(np.ones((many, many), dtype=np.float32))
+    thresholds = random.random(at.shape[1], dtype=np.float32)
     drawn = np.empty(at.shape[1], dtype=np.int64)
     for a in range(0, at.shape[1], CHUNK):
         rows = slice(a, a + CHUNK)
-        chance = class_weights(powers, at[:, rows])
-        sums = chance @ members @ upto
-        if not (sums[:, -1].min() > 0 and np.isfinite(sums[:, -1].max())):  # weights outran float32
+        sums = upto @ class_weights(powers, at[:, rows]).T  # outcomes by tokens: each step runs over all tokens
+        if not (sums[-1].min() > 0 and np.isfinite(sums[-1].max())):  # weights outran float32
             np.clip(powers, LOWEST, HIGHEST, out=powers)
-            chance = class_weights(powers, at[:, rows])
-            sums = chance @ members @ upto
-        run = (sums >= thresholds[0, rows] * sums[:, -1:]).argmax(axis=1)
-        sums = chance.reshape(-1, size).take(np.arange(len(run)) * runs + run, axis=0) @ within
-        drawn[rows] = run * size + (sums >= thresholds[1, rows] * sums[:, -1:]).argmax(axis=1)
+            sums = upto @ class_weights(powers, at[:, rows]).T
+        # the last sum is above every threshold
+        drawn[rows] = np.add.reduce((sums[:-1] <= thresholds[rows] * sums[-1]).view(np.uint8), axis=0, dtype=np.uint8)
     return drawn
 
 
@@ -352,6 +348,7 @@ def log_chance(powers: np.ndarray, at: np.ndarray, observed: np.ndarray) -> np.n
 def split(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The exponentials of the weights of groups, of the classes in them and of parts, each in one piece."""
     groups = weights.shape[1] - SUBS - MEMBERS
+    weights = weights.view(np.float32)  # an array that was sent has a type of its own, equal to this one, with which ufunc.at is 30 times slower
     return tuple(np.exp(np.clip(part, -REACH, REACH)) for part in np.split(weights, [groups, groups + MEMBERS], axis=1))
 
 
@@ -360,22 +357,23 @@ def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.array(row["bounds"]), unpacked(row["classes"], np.uint16)[ids], unpacked(row["parts"], np.uint8)[ids], unpacked(row["hashes"], np.uint32)[ids]
 
 
-def _step(powers: np.ndarray, visits: np.ndarray, at: np.ndarray, observed: np.ndarray, random: np.random.Generator, step: float) -> None:
+def _step(powers: np.ndarray, visits: np.ndarray, at: np.ndarray, observed: np.ndarray, random: np.random.Generator, gains: np.ndarray) -> None:
     """A stochastic gradient step of one softmax: the observed outcome gains what one drawn from the model loses.
 
-    Weights are held as exponentials, so a sum is a product and a token costs no exponential for each outcome.
+    Weights are held as exponentials, so a sum is a product and a token costs no exponential for each outcome; ``gains`` has the factor of
+    a bucket that so many tokens of the batch visit.
     """
     many, flat = powers.shape[1], powers.reshape(-1)
     drawn = draw(powers, at, random)
     wrong = np.flatnonzero(drawn != observed)  # elsewhere gain and loss are one
-    np.add.at(visits, at.reshape(-1), 1)
-    for feature in at:
-        own = feature[wrong].astype(np.int64)
-        gain = np.exp((step / (visits[own] / many**0.5 + 4)).astype(np.float32))
-        own *= many
-        np.multiply.at(flat, own + observed[wrong], gain)
-        np.divide.at(flat, own + drawn[wrong], gain)
-    visits[at] = 0
+    every = at.reshape(-1)
+    np.add.at(visits, every, 1)
+    own = at.take(wrong, axis=1)
+    gain = gains.take(visits.take(own)).reshape(-1)
+    own *= many
+    np.multiply.at(flat, (own + observed[wrong]).reshape(-1), gain)
+    np.divide.at(flat, (own + drawn[wrong]).reshape(-1), gain)
+    visits[every] = 0
 
 
 def _outcomes(buckets: np.ndarray, classes: np.ndarray, parts: np.ndarray, many: int, room: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -387,7 +385,7 @@ def _outcomes(buckets: np.ndarray, classes: np.ndarray, parts: np.ndarray, many:
         yield 1, every, inside(buckets, group, many, 1), member
         inner = np.flatnonzero(classes >= room)
         if len(inner):
-            yield 2, inner, inside(buckets[:, inner], classes[inner], many, 0), parts[inner].astype(np.int64)
+            yield 2, inner, inside(buckets.take(inner, axis=1), classes[inner].astype(np.int64), many, 0), parts[inner].astype(np.int64)
 
 
 def learn(tables: tuple[np.ndarray, ...], row: dict, step: float, room: int = SINGLES) -> int:
@@ -396,13 +394,14 @@ def learn(tables: tuple[np.ndarray, ...], row: dict, step: float, room: int = SI
     at = np.flatnonzero(np.repeat(~np.array(row["held"], dtype=bool), np.diff(bounds)))
     many = len(tables[0])
     visits = np.zeros(many, dtype=np.int64)
+    gains = [np.exp((step / (np.arange(5 * BATCH + 1) / t.shape[1] ** 0.5 + 4)).astype(np.float32)) for t in tables]
     random = np.random.default_rng(row["block"] & 0xFFFFFFFF)
     for a in range(0, len(at), BATCH):
         mine = at[a : a + BATCH]
         with np.errstate(over="ignore"):
             buckets = features(hashes, bounds, many, mine)
         for k, _, b, observed in _outcomes(buckets, classes[mine], parts[mine], many, room):
-            _step(tables[k], visits, b, observed, random, step)
+            _step(tables[k], visits, b, observed, random, gains[k])
     return len(at)
 
 
