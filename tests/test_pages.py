@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,15 @@ def test_a_wide_blank_is_no_column():
     assert texts([line("Name:", 40, 100, 40), line("Gate", 300, 100, 40), line("Words that go on over all of the page and more", 40, 130, 500)]) == ["Name: Gate", "Words that go on over all of the page and more"]
 
 
+def test_spans_are_read_by_column():
+    """Each page has its own spans, whatever part of a batch is read."""
+    page = lambda k, n: [{"x0": k, "y0": i, "x1": k + 1, "y1": i + 1, "size": 9.5, "bold": i == 1, "text": f"{k} {i}"} for i in range(n)]
+    given = pa.array([page(0, 2), page(1, 0), page(2, 3), page(3, 1)])
+    for part in (given, given.slice(1), given.slice(2, 1)):
+        got = [[(s.x0, s.y0, s.x1, s.y1, s.size, s.bold, s.text) for s in spans] for spans in pages.page_spans(part)]
+        assert got == [[tuple(s[k] for k in ("x0", "y0", "x1", "y1", "size", "bold", "text")) for s in spans] for spans in part.to_pylist()]
+
+
 @pytest.fixture(scope="module")
 def report(spark):
     rows = []

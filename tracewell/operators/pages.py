@@ -52,6 +52,16 @@ class Span:
 Row = list[Span]
 
 
+def page_spans(pages: pa.ListArray) -> Iterator[list[Span]]:
+    """The spans of each page, read column by column: a dictionary for each span takes longer than its page's layout."""
+    every = pages.flatten()
+    columns = dict(zip((f.name for f in every.type), every.flatten(), strict=True))
+    boxes = (columns[k].cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False).tolist() for k in ("x0", "y0", "x1", "y1", "size"))
+    spans = list(map(Span, *boxes, columns["bold"].to_pylist(), columns["text"].to_pylist()))
+    bounds = (pages.offsets.to_numpy() - pages.offsets[0].as_py()).tolist()
+    return (spans[a:b] for a, b in zip(bounds, bounds[1:], strict=False))
+
+
 def rows_of(spans: list[Span], rtl: bool) -> list[Row]:
     """Spans side by side, from top to bottom: each overlaps the row's first by half of the lower one's height."""
     out: list[Row] = []
@@ -217,8 +227,7 @@ def blocks(spans: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                spans = [Span(*(float(s[k]) for k in ("x0", "y0", "x1", "y1")), s["size"], s["bold"], s["text"]) for s in r["spans"]]
+            for r, spans in zip(batch.drop_columns(["spans"]).to_pylist(), page_spans(batch.column("spans")), strict=True):
                 height = r["height"] or max(s.y1 for s in spans)
                 for k, b in enumerate(page_blocks(spans, height, bool(r["rtl"]))):
                     out.append(b | {"doc_id": r["doc_id"], "page": r["page"], "block": k, "sizes": list(b["sizes"].items())})
