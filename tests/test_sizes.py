@@ -139,3 +139,22 @@ def test_similar_pairs_carry_no_words(spark, monkeypatch):
     found = alignment.similar_pairs(*scoped, by=("scope",)).collect()
     assert {(r.live_idx, r.new_idx) for r in found} == {k for k in expected if k[0] % 2 == k[1] % 2}
     assert alignment.similar_pairs(live.limit(0), new).count() == 0
+
+
+def test_similar_pairs_write_no_candidates(spark, monkeypatch):
+    """Sets that share rare words but are not similar: no table grows with the pairs of them."""
+    from tracewell.operators import alignment
+
+    rows, save = {}, Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    sets = [[" ".join(f"w{k:02}" for k in range(12) if k != i % 6 + shift) for i in range(100)] for shift in (0, 6)]
+    live, new = (spark.createDataFrame(list(enumerate(v)), "idx long, text string") for v in sets)
+    assert alignment.similar_pairs(live, new, least=0.9).count() == 0
+    assert alignment.similar_pairs(live, new, least=0.8).count() == 10_000  # ten of twelve words each
+    assert max(rows.values()) <= 100
