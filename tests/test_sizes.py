@@ -158,3 +158,28 @@ def test_similar_pairs_write_no_candidates(spark, monkeypatch):
     assert alignment.similar_pairs(live, new, least=0.9).count() == 0
     assert alignment.similar_pairs(live, new, least=0.8).count() == 10_000  # ten of twelve words each
     assert max(rows.values()) <= 100
+
+
+def test_equal_rows_take_no_round_each(spark, monkeypatch):
+    """Pairs of equal scores: the same pairs as in their order one by one, in rounds or in the last task."""
+    import random
+
+    from tracewell.operators import alignment
+
+    pick, names, save = random.Random(3), [], Scratch.save
+    ties = [(f"l{i:02}", f"n{j:02}", 0.5) for i in range(12) for j in range(12)]
+    ties += [(f"m{pick.randrange(20)}", f"ö{pick.randrange(20)}", pick.choice((0.5, 0.6, 0.7))) for _ in range(60)]
+    ties = list({(x, y): (x, y, s) for x, y, s in ties}.values())
+    expected, live, new = set(), set(), set()
+    for s, y, x in sorted(((s, y.encode(), x) for x, y, s in ties), reverse=True):
+        if x not in live and y not in new:
+            expected.add((x, y.decode(), s))
+            live.add(x)
+            new.add(y)
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: names.append(name) or save(self, df, name))
+    rows = spark.createDataFrame(ties, "live_idx string, new_idx string, score double")
+    found = lambda: {tuple(r) for r in alignment.greedy_pairs(rows, Scratch(spark, "t")).collect()}
+    assert found() == expected and not [n for n in names if n.startswith("taken")]
+    monkeypatch.setattr(alignment, "LAST_PAIRS", 100)
+    assert found() == expected and "taken1" in names and "taken9" not in names
+    assert alignment.greedy_pairs(rows.limit(0), Scratch(spark, "t")).count() == 0
