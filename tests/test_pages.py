@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
+from tracewell.functions.scratch import Scratch
 from tracewell.operators import pages
 
 SPAN = "doc_id long, page int, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, text string, width double, height double"
@@ -87,6 +88,23 @@ def test_structure(report):
     assert report[2].text == "<!-- page:1 -->\n\nReport of May, page 1\n\nTwo pages are few, so that what stands at their edges stays in the text\n\n<!-- page:2 -->\n\nReport of May, page 2"
 
 
+def test_structure_reads_blocks_twice(spark):
+    """Once for what a document's blocks have in common, once to join it; odd rows as before."""
+    body = lambda doc, page, k, text, size=10.0, edge=False, kind="text", sizes=None: (doc, page, k, kind, text, size, False, edge, {size: 1} if sizes is None and size is not None else sizes)
+    rows = [body(1, page, 0, f"Head {page}", 30.0, True) for page in (1, 2, 3)]  # a running line has no rank
+    rows += [body(1, 1, k, f"Size {size}", size) for k, size in enumerate((24.0, 22.0, 20.0, 18.0, 16.0, 14.0), 1)]  # no more than four have
+    rows += [body(1, 2, k, f"Text {k}", sizes={10.0: 50, 9.0: 900}) for k in range(1, 9)] + [body(1, 3, 1, "12", 40.0), body(1, 3, 2, None, 40.0, True), body(1, 3, 3, "| a |", None, kind="table", sizes={})]
+    rows += [body(None, page, 0, "Null 1", 30.0, True) for page in (1, 2, 3)] + [body(2, 1, 0, "Twice"), body(2, 1, 0, "Twice"), body(3, 1, 0, "| b |", None, kind="table", sizes={})]
+    found = Scratch(spark, "t").save(spark.createDataFrame(rows, pages.BLOCKS).repartition(3), "blocks")
+    made = pages.structured(found)
+    levels = {(24.0, 2), (22.0, 3), (20.0, 4), (18.0, 5), (16.0, None), (14.0, None)}
+    expected = [(1, 1, f"{'#' * (level or 0)} Size {size}".strip(), level) for size, level in levels] + [(1, 2, f"Text {k}", None) for k in range(1, 9)] + [(1, 3, "| a |", None)]
+    expected += [(None, page, "Null 1", None) for page in (1, 2, 3)] + [(2, 1, "Twice", None)] * 2 + [(3, 1, "| b |", None)]
+    assert sorted(((r.doc_id, r.page, r.markdown, r.level) for r in made.collect()), key=str) == sorted(expected, key=str)
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Join") == 1
+
+
 ARABIC = "يجب على النظام أن يسمح للمستخدم بإدارة الطلبات والمدفوعات من خلال اللوحة الرئيسية (FR-12) في 24.5 ثانية"
 
 

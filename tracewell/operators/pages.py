@@ -236,34 +236,62 @@ def blocks(spans: DataFrame) -> DataFrame:
     return pages.select(F.col("doc_id").cast("long").alias("doc_id"), "page", "spans", "height", "rtl").mapInArrow(run, BLOCKS)
 
 
-def body_sizes(found: DataFrame) -> DataFrame:
-    """(doc_id, body): the median size, each weighing as many as its characters up to 50; two middle ones are averaged."""
-    counted = found.select("doc_id", F.explode("sizes").alias("at", "n")).groupBy("doc_id", "at").agg(F.least(F.sum("n"), F.lit(SIZE_WEIGHT)).alias("n"))
+def _edge_line() -> Column:
+    """What a block at an edge says, whatever its digits; null elsewhere."""
+    return F.when(F.col("edge"), T.line_fingerprint(F.col("text")))
+
+
+def _is_page_number() -> Column:
+    return F.rlike(F.lower("text"), F.lit(PAGE_NUMBER))
+
+
+def _notes(found: DataFrame) -> DataFrame:
+    """What blocks say of their document, read once and summed up; each row notes one of these:
+
+    a page; a size ``at`` and its weight ``n``; what stands ``times`` at edges as ``line``, and the size of a possible ``heading`` with the largest
+    size that rounds to it.
+    """
+    columns = {"page": "int", "at": "double", "n": "long", "line": "string", "heading": "double", "size": "double", "times": "long"}
+    note = lambda **said: F.struct(*[said.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in columns.items()])
+    may_head = (F.col("kind") == "text") & (F.length("text") <= HEADING_CHARS) & ~_is_page_number()
+    shown = note(line=_edge_line(), heading=F.when(may_head, F.round("size", 1)), size=F.when(may_head, F.col("size")), times=F.lit(1))
+    sizes = F.map_entries(F.coalesce("sizes", F.create_map().cast("map<double,long>")))
+    every = F.concat(F.array(note(page=F.col("page")), shown), F.transform(sizes, lambda e: note(at=e["key"], n=e["value"])))
+    return found.select("doc_id", F.inline(every)).groupBy("doc_id", "page", "at", "line", "heading").agg(F.sum("n").alias("n"), F.max("size").alias("size"), F.sum("times").alias("times"))
+
+
+def body_sizes(notes: DataFrame) -> DataFrame:
+    """Notes with their document's ``body``: the median size, each weighing as many as its characters up to 50; two middle ones are averaged."""
     of = Window.partitionBy("doc_id")
-    run = counted.withColumn("until", F.sum("n").over(of.orderBy("at"))).withColumn("every", F.sum("n").over(of))
+    n = F.when(F.col("at").isNotNull(), F.least("n", F.lit(SIZE_WEIGHT)))
+    run = notes.withColumn("until", F.sum(n).over(of.orderBy("at"))).withColumn("every", F.sum(n).over(of))
     low = F.min(F.when(F.col("until") * 2 >= F.col("every"), F.col("at")))
     high = F.min(F.when(F.col("until") * 2 > F.col("every"), F.col("at")))
-    return run.groupBy("doc_id").agg(((low + high) / 2).alias("body"))
+    return run.withColumn("body", (low.over(of) + high.over(of)) / 2).drop("until", "every")
 
 
-def without_running(found: DataFrame) -> DataFrame:
-    """Blocks without page numbers and the lines at the edges that stand on most pages, whatever their digits."""
-    marked = found.withColumn("print", T.line_fingerprint(F.col("text")))
-    pages = found.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
-    on = marked.where("edge").groupBy("doc_id", "print").agg(F.count("*").alias("times"))
+def about_documents(found: DataFrame) -> DataFrame:
+    """(doc_id, running, headings): the lines at the edges that stand on most pages, and the largest sizes of headings, without those lines."""
+    of = Window.partitionBy("doc_id")
+    pages, times = F.count("page").over(of), F.sum("times").over(Window.partitionBy("doc_id", "line"))
+    noted = _notes(found).withColumn("often", times).withColumn("pages", pages)
     most = F.greatest(F.lit(float(RUNNING_PAGES)), RUNNING_SHARE * F.col("pages"))
-    running = on.join(pages, "doc_id").where((F.col("pages") >= RUNNING_PAGES) & (F.col("times") >= most)).select("doc_id", "print", F.lit(True).alias("edge"))
-    left = marked.join(running, ["doc_id", "print", "edge"], "left_anti").drop("print")
-    return left.where(~F.rlike(F.lower("text"), F.lit(PAGE_NUMBER)))
+    runs = F.col("line").isNotNull() & (F.col("pages") >= RUNNING_PAGES) & (F.col("often") >= most)
+    large = F.col("heading").isNotNull() & ~F.col("runs") & (F.col("size") >= HEADING_RATIO * F.col("body"))
+    told = body_sizes(noted.withColumn("runs", runs)).groupBy("doc_id").agg(F.collect_set(F.when(F.col("runs"), F.col("line"))).alias("running"), F.collect_set(F.when(large, F.col("heading"))).alias("headings"))
+    return told.withColumn("headings", F.slice(F.sort_array("headings", asc=False), 1, LEVELS))
+
+
+def without_running(told: DataFrame) -> DataFrame:
+    """Blocks, each with its document's running lines, without these and page numbers."""
+    return told.where(~F.coalesce(F.array_contains("running", _edge_line()), F.lit(False))).where(~_is_page_number())
 
 
 def structured(found: DataFrame) -> DataFrame:
     """Blocks (doc_id, page, block, level, markdown): headings by size, then by weight; bold labels; text; tables."""
-    left = without_running(found)
-    sized = left.join(body_sizes(found), "doc_id", "left").withColumn("at", F.round("size", 1))
-    large = (F.col("kind") == "text") & (F.col("size") >= HEADING_RATIO * F.col("body")) & (F.length("text") <= HEADING_CHARS)
-    ranks = sized.where(large).select("doc_id", "at").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("at"))))
-    leveled = sized.join(ranks.where(F.col("rank") <= LEVELS), ["doc_id", "at"], "left")
+    # blocks are read twice: for what their documents have in common, summed up, and joined with it
+    left = without_running(found.join(about_documents(found), "doc_id", "left"))
+    leveled = left.withColumn("rank", F.nullif(F.array_position("headings", F.round("size", 1)), F.lit(0)))
     by_size = F.when(F.col("rank").isNotNull() & (F.length("text") <= HEADING_CHARS), F.least(F.col("rank") + 1, F.lit(DEEPEST)))
     short = (F.col("kind") == "text") & F.col("bold") & (F.length("text") <= BOLD_CHARS) & ~F.rlike("text", F.lit(NO_HEADING_END))
     label = by_size.isNull() & short & T.is_sub_label(F.col("text"))
