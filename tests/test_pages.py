@@ -103,6 +103,8 @@ def test_structure_reads_blocks_twice(spark):
     assert sorted(((r.doc_id, r.page, r.markdown, r.level) for r in made.collect()), key=str) == sorted(expected, key=str)
     plan = made._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan") == 2 and plan.count("Join") == 1
+    # sorted once for all that is known of a document, and on each side of the join
+    assert made._jdf.queryExecution().executedPlan().toString().count("Sort [") <= 3
 
 
 ARABIC = "يجب على النظام أن يسمح للمستخدم بإدارة الطلبات والمدفوعات من خلال اللوحة الرئيسية (FR-12) في 24.5 ثانية"

@@ -264,7 +264,7 @@ def body_sizes(notes: DataFrame) -> DataFrame:
     """Notes with their document's ``body``: the median size, each weighing as many as its characters up to 50; two middle ones are averaged."""
     of = Window.partitionBy("doc_id")
     n = F.when(F.col("at").isNotNull(), F.least("n", F.lit(SIZE_WEIGHT)))
-    run = notes.withColumn("until", F.sum(n).over(of.orderBy("at"))).withColumn("every", F.sum(n).over(of))
+    run = notes.withColumn("until", F.sum(n).over(of.orderBy("at", "line"))).withColumn("every", F.sum(n).over(of))
     low = F.min(F.when(F.col("until") * 2 >= F.col("every"), F.col("at")))
     high = F.min(F.when(F.col("until") * 2 > F.col("every"), F.col("at")))
     return run.withColumn("body", (low.over(of) + high.over(of)) / 2).drop("until", "every")
@@ -273,8 +273,9 @@ def body_sizes(notes: DataFrame) -> DataFrame:
 def about_documents(found: DataFrame) -> DataFrame:
     """(doc_id, running, headings): the lines at the edges that stand on most pages, and the largest sizes of headings, without those lines."""
     of = Window.partitionBy("doc_id")
-    pages, times = F.count("page").over(of), F.sum("times").over(Window.partitionBy("doc_id", "line"))
-    noted = _notes(found).withColumn("often", times).withColumn("pages", pages)
+    # a note has a size or a line, so one order serves both and notes are sorted once
+    same_line = of.orderBy("at", "line").rangeBetween(Window.currentRow, Window.currentRow)
+    noted = _notes(found).withColumn("often", F.sum("times").over(same_line)).withColumn("pages", F.count("page").over(of))
     most = F.greatest(F.lit(float(RUNNING_PAGES)), RUNNING_SHARE * F.col("pages"))
     runs = F.col("line").isNotNull() & (F.col("pages") >= RUNNING_PAGES) & (F.col("often") >= most)
     large = F.col("heading").isNotNull() & ~F.col("runs") & (F.col("size") >= HEADING_RATIO * F.col("body"))
