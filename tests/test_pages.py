@@ -95,11 +95,13 @@ def test_structure_reads_blocks_twice(spark):
     rows += [body(1, 1, k, f"Size {size}", size) for k, size in enumerate((24.0, 22.0, 20.0, 18.0, 16.0, 14.0), 1)]  # no more than four have
     rows += [body(1, 2, k, f"Text {k}", sizes={10.0: 50, 9.0: 900}) for k in range(1, 9)] + [body(1, 3, 1, "12", 40.0), body(1, 3, 2, None, 40.0, True), body(1, 3, 3, "| a |", None, kind="table", sizes={})]
     rows += [body(None, page, 0, "Null 1", 30.0, True) for page in (1, 2, 3)] + [body(2, 1, 0, "Twice"), body(2, 1, 0, "Twice"), body(3, 1, 0, "| b |", None, kind="table", sizes={})]
+    rows += [body(4, 1, 0, f"Odd {k}", float("nan"), True, sizes={10.0: 9}) for k in "ab"] + [body(4, 1, 2, "Odd c", 20.0)]  # sizes that are no number are one size
     found = Scratch(spark, "t").save(spark.createDataFrame(rows, pages.BLOCKS).repartition(3), "blocks")
     made = pages.structured(found)
     levels = {(24.0, 2), (22.0, 3), (20.0, 4), (18.0, 5), (16.0, None), (14.0, None)}
     expected = [(1, 1, f"{'#' * (level or 0)} Size {size}".strip(), level) for size, level in levels] + [(1, 2, f"Text {k}", None) for k in range(1, 9)] + [(1, 3, "| a |", None)]
     expected += [(None, page, "Null 1", None) for page in (1, 2, 3)] + [(2, 1, "Twice", None)] * 2 + [(3, 1, "| b |", None)]
+    expected += [(4, 1, "## Odd a", 2), (4, 1, "## Odd b", 2), (4, 1, "### Odd c", 3)]
     assert sorted(((r.doc_id, r.page, r.markdown, r.level) for r in made.collect()), key=str) == sorted(expected, key=str)
     plan = made._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan") == 2 and plan.count("Join") == 1

@@ -280,7 +280,8 @@ def about_documents(found: DataFrame) -> DataFrame:
     runs = F.col("line").isNotNull() & (F.col("pages") >= RUNNING_PAGES) & (F.col("often") >= most)
     large = F.col("heading").isNotNull() & ~F.col("runs") & (F.col("size") >= HEADING_RATIO * F.col("body"))
     told = body_sizes(noted.withColumn("runs", runs)).groupBy("doc_id").agg(F.collect_set(F.when(F.col("runs"), F.col("line"))).alias("running"), F.collect_set(F.when(large, F.col("heading"))).alias("headings"))
-    return told.withColumn("headings", F.slice(F.sort_array("headings", asc=False), 1, LEVELS))
+    # collect_set keeps sizes apart that are no numbers
+    return told.withColumn("headings", F.slice(F.sort_array(F.array_distinct("headings"), asc=False), 1, LEVELS))
 
 
 def without_running(told: DataFrame) -> DataFrame:
